@@ -151,12 +151,14 @@ def bucket_wide(
     n_buckets: int = 24,
     forward_fill: bool = False,
     name_fmt: str = "{alias} Hour {h}",
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """A8 (and A9 with ``forward_fill``): per-bucket statistics pivoted wide.
 
     One conditional aggregation per (measure, bucket) straight from the rows:
     a single shuffle by entity, fixed output schema (buckets ``0..n-1``), no
     separate pivot job. Rows outside ``[0, n_buckets)`` buckets are ignored.
+    ``extra`` aggregates (e.g. whole-entity stats, A10) ride in the same pass.
 
     Forward fill (W2 applied before the pivot in the reference) is done on the
     wide row: a bucket that has rows takes the last non-null value of the
@@ -171,15 +173,18 @@ def bucket_wide(
     for m in measures:
         for h in range(n_buckets):
             aggs.append(_bucket_stat(m, F.col("__bkt") == h).alias(name_fmt.format(alias=m.alias, h=h)))
-    wide = rows.groupBy(entity).agg(*aggs, *(present if forward_fill else []))
+    extra = list(extra)
+    wide = rows.groupBy(entity).agg(*aggs, *extra, *(present if forward_fill else []))
     if not forward_fill:
         return wide
+    extra_names = [c for c in wide.columns if c not in {entity} and not c.startswith("__has")
+                   and c not in {name_fmt.format(alias=m.alias, h=h) for m in measures for h in range(n_buckets)}]
     filled = []
     for m in measures:
         for h in range(n_buckets):
             chain = F.coalesce(*[F.col(name_fmt.format(alias=m.alias, h=k)) for k in range(h, -1, -1)])
             filled.append(F.when(F.col(f"__has{h}").isNotNull(), chain).alias(name_fmt.format(alias=m.alias, h=h)))
-    return wide.select(entity, *filled)
+    return wide.select(entity, *filled, *extra_names)
 
 
 def bucket_long(
@@ -224,10 +229,13 @@ def long_with_closing_row(
 
     ``closing`` holds (entity, bucket_col, ...) rows, e.g. the discharge hour
     ``ceil(LOS * 24)`` with the outcome; columns missing on either side become
-    null (diagonal concat, U1) before the forward fill (W1).
+    null (diagonal concat, U1) before the forward fill (W1). At an equal bucket
+    the closing row sorts last.
     """
-    stacked = buckets.unionByName(closing, allowMissingColumns=True)
-    return forward_fill(stacked, entity, [bucket_col], fill_cols)
+    stacked = buckets.withColumn("__closing", F.lit(0)).unionByName(
+        closing.withColumn("__closing", F.lit(1)), allowMissingColumns=True
+    )
+    return forward_fill(stacked, entity, [bucket_col, "__closing"], fill_cols).drop("__closing")
 
 
 def start_stop(
