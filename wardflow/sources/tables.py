@@ -58,7 +58,7 @@ def write_csv(df: DataFrame, path: str, *, decimals: int | None = None) -> None:
         fmt = "0." + "0" * decimals if decimals > 0 else "0"
         df = df.select(
             *[
-                F.format_number(F.col(f.name), fmt).alias(f.name)
+                F.call_function("format_number", F.col(f.name), F.lit(fmt)).alias(f.name)
                 if isinstance(f.dataType, (T.DoubleType, T.FloatType))
                 else F.col(f.name)
                 for f in df.schema.fields
