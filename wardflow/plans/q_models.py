@@ -1 +1,85 @@
-"""Catalogue queries."""
+"""Catalogue queries: models on the per-entity feature table.
+
+Fits are rows-only checks (model output depends on the optimiser); the scoring
+hook L8 with the deterministic length scorer has an oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardflow.functions.text import parse_probability, parse_probability_sql
+from wardflow.operators.metrics import bootstrap_auc
+from wardflow.operators.ml import (
+    batch_score,
+    feature_kind,
+    fit_classifier,
+    fit_glm_logit,
+    length_scorer,
+    positive_probability,
+    predictions_table,
+    prepare_columns,
+)
+from wardflow.operators.sampling import class_balanced_sample
+from wardflow.plans.q_timeline import flagship
+from wardflow.plans.registry import register
+from wardflow.sources.tables import read_table
+
+CATEGORICAL = ["segment", "region"]
+
+
+def feature_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    f = flagship(spark, sf_dir).withColumn("label", F.col("outcome").cast("int"))
+    # acctbal defines the outcome, so it is not a feature
+    numeric = [c for c in f.columns if c not in {"user_id", "split", "outcome", "label", "acctbal", *CATEGORICAL}]
+    assert feature_kind(numeric) == "stats"
+    # fits make several passes over the (one row per entity) table: keep it cached
+    return prepare_columns(f, numeric, CATEGORICAL).persist(), numeric
+
+
+def _predictions(spark, sf_dir, scored: DataFrame, model_name: str, model_args: str, num_shots: int) -> DataFrame:
+    ci = bootstrap_auc(scored.withColumn("__g", F.lit(1)), ["__g"], "label", "predicted_probability", "user_id",
+                       n_boot=100, seed=42).select("auc_ci_lower", "auc_ci_upper")
+    return predictions_table(scored, model_name=model_name, model_args=model_args, num_shots=num_shots,
+                             id_col="user_id", label_col="label", ci=ci)
+
+
+@register("l3_logistic")
+def l3_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data, numeric = feature_table(spark, sf_dir)
+    train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
+    model = fit_glm_logit(train, "label", numeric, CATEGORICAL)
+    scored = model.transform(test).withColumnRenamed("prediction", "predicted_probability")
+    return _predictions(spark, sf_dir, scored, "logistic_glm", "baseline_stats", 0)
+
+
+@register("l4_gbt")
+def l4_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data, numeric = feature_table(spark, sf_dir)
+    train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
+    model = fit_classifier(train, "label", numeric, CATEGORICAL, estimator="gbt", seed=42)
+    return _predictions(spark, sf_dir, positive_probability(model, test), "gbt", "baseline_stats", 0)
+
+
+@register("l6_few_shot_fit")
+def l6_few_shot_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data, numeric = feature_table(spark, sf_dir)
+    train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
+    shots = 8
+    sample = class_balanced_sample(train, "label", "user_id", shots, seed=42).drop("sample_rank")
+    model = fit_classifier(sample, "label", numeric, CATEGORICAL, estimator="logistic", reg=0.1)
+    return _predictions(spark, sf_dir, positive_probability(model, test), "few_shot_logistic", "stats", shots)
+
+
+@register(
+    "l8_batch_score",
+    f"""
+SELECT doc_id, printf('%.2f', (length(text) % 100) / 100.0) AS answer,
+       {parse_probability_sql("printf('%.2f', (length(text) % 100) / 100.0)")} AS probability
+FROM documents""",
+)
+def l8_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = batch_score(d, "text", length_scorer, out="answer")
+    return scored.select("doc_id", "answer", parse_probability("answer").alias("probability"))
