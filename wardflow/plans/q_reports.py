@@ -84,7 +84,10 @@ pm AS (SELECT a.model, a.model_args, a.num_shots, a.auc,
     "m11_long_metrics",
     _POINT_SQL + """
 SELECT model, model_args, num_shots, metric, round(score, 6) AS score FROM (
-  UNPIVOT pm ON auc, accuracy, f1, precision, recall INTO NAME metric VALUE score)""",
+""" + "\n  UNION ALL\n".join(
+        f"  SELECT model, model_args, num_shots, '{m}' AS metric, {m} AS score FROM pm"
+        for m in ("auc", "accuracy", "f1", "precision", "recall")
+    ) + ")",
 )
 def m11_long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return double_round(long_metrics(_point_metrics(spark, sf_dir), G3, ["auc", "accuracy", "f1", "precision", "recall"]))
