@@ -87,3 +87,14 @@ def test_bootstrap_ci_covers_point_and_binned_agrees(spark):
         b = binned[g]
         assert abs(b.auc_ci_lower - r.auc_ci_lower) < 0.06 and abs(b.auc_ci_upper - r.auc_ci_upper) < 0.06
     assert row["oneclass"].n_boot_used == 0 and row["oneclass"].auc is None
+
+
+def test_bootstrap_block_and_sql_paths_agree(spark):
+    _, df = _preds(spark)
+    a = {r.g: r for r in bootstrap_auc(df, ["g"], "y", "p", "id", n_boot=150, method="blocks").collect()}
+    b = {r.g: r for r in bootstrap_auc(df, ["g"], "y", "p", "id", n_boot=150, method="sql").collect()}
+    assert a.keys() == b.keys()
+    for g in a:
+        for f in ("auc", "auc_mean", "auc_std", "auc_ci_lower", "auc_ci_upper", "n_boot_used"):
+            x, y = a[g][f], b[g][f]
+            assert (x is None and y is None) or abs(x - y) < 1e-9, (g, f, x, y)

@@ -1,0 +1 @@
+"""wardflow: PySpark-native operators for entity time series, features, sampling, text, models and evaluation."""

@@ -98,3 +98,17 @@ def mixed_uniform_sql(key_sql: str, counter_sql: str, seed: int) -> str:
         extra = k if i == 0 else c
         x = f"((({x}) * {mul} + {add} + {extra}) % {p})"
     return f"((CAST({x} AS DOUBLE) + 0.5) / {float(p)!r})"
+
+
+def mixed_uniform_np(keys, counters, seed: int):
+    """NumPy form of ``mixed_uniform`` for a (keys x counters) grid; bit-identical."""
+    import numpy as np
+
+    p = MIX_PRIME
+    k = np.mod(np.asarray(keys, dtype=np.int64), p)[:, None]
+    c = np.asarray(counters, dtype=np.int64)[None, :]
+    x = (k * 48271 + c * 16807 + (int(seed) % p) * 69621) % p
+    for i, (mul, add, shift) in enumerate(_MIX_ROUNDS):
+        x = x ^ (x >> shift)
+        x = (x * mul + add + (k if i == 0 else c)) % p
+    return (x.astype(np.float64) + 0.5) / float(p)

@@ -170,6 +170,7 @@ def bootstrap_auc(
     n_boot: int = 100,
     seed: int = 42,
     binned: bool = False,
+    method: str = "blocks",
 ) -> DataFrame:
     """AUC with a bootstrap distribution per group.
 
@@ -186,10 +187,18 @@ def bootstrap_auc(
     replacement; Poisson weights draw n on average, so intervals agree in
     distribution, not in digits.
 
+    ``method="blocks"`` (default for the row-level form) evaluates the
+    replicates in vectorised chunks over range partitions
+    (``operators/bootstrap_blocks.py``); ``method="sql"`` expands rows x
+    replicates as DataFrame rows. Both use the same weights and give the same
+    numbers (the SQL form is the oracle's).
+
     ``binned=True`` first collapses rows to (score, label) counts c and draws
     one Poisson(c) weight per bin and replicate (the sum of c Poisson(1)), so
     the cost grows with distinct scores, not rows.
     """
+    if method not in ("blocks", "sql"):
+        raise ValueError("method must be 'blocks' or 'sql'")
     names = list(group_cols)
     # one 64-bit id replaces the (possibly string) group keys on the B-fold data
     base = clean_scored(df, label, score).withColumn("__gid", F.xxhash64(*[F.col(c) for c in names]))
@@ -221,7 +230,7 @@ def bootstrap_auc(
             F.sum(F.col("__w") * F.col("__y")).alias("pos"),
             F.sum(F.col("__w") * (F.lit(1.0) - F.col("__y"))).alias("neg"),
         )
-    else:
+    elif method == "sql":
         # Weights from the counter-based integer hash of (key, replicate): cheap,
         # whole-stage-codegen friendly and reproducible in SQL. The uniform is
         # its own projection, so the inverse-CDF sum refers to an attribute.
@@ -233,8 +242,13 @@ def bootstrap_auc(
         grid = grid.withColumn("__u", mixed_uniform(F.col(key), F.col("rep"), seed))
         weighted = grid.withColumn("__w", poisson_weight(F.col("__u")).cast("double"))
         hist = score_histogram(weighted, [*group_cols, "rep"], label, score, weight=F.col("__w"))
-    hist = hist.filter((F.col("pos") > 0) | (F.col("neg") > 0))
-    per_rep = auc_from_histogram(hist, [*group_cols, "rep"], out="__auc").filter(F.col("__auc").isNotNull())
+    if binned or method == "sql":
+        hist = hist.filter((F.col("pos") > 0) | (F.col("neg") > 0))
+        per_rep = auc_from_histogram(hist, [*group_cols, "rep"], out="__auc").filter(F.col("__auc").isNotNull())
+    else:
+        from wardflow.operators.bootstrap_blocks import replicate_aucs
+
+        per_rep = replicate_aucs(base, label, score, key, n_boot=n_boot, seed=seed)
     dist = per_rep.groupBy(*group_cols).agg(
         F.avg("__auc").alias("auc_mean"),
         F.stddev_pop("__auc").alias("auc_std"),

@@ -1,0 +1,6 @@
+"""Structured Streaming.
+
+The reference reads every input whole and has no streaming operator (no
+watermark, window, state or late data), so there is nothing to rebuild here;
+the batch operators are plain DataFrame transformations.
+"""
