@@ -75,4 +75,4 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_has_an_operator_prefix():
     for name in entry.queries():
-        assert name.split("_")[0][0] in "qpfjanxmwlvs", name
+        assert name.split("_")[0][0] in "qpfjanxmwlvso", name

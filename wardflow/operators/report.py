@@ -144,3 +144,9 @@ def result_table(
     )
     grid = row_keys.select(*row_cols).distinct().join(wide, row_cols, "left")
     return grid.select(*row_cols, *[F.coalesce(F.col(mod), F.lit("--")).alias(mod) for mod in models])
+
+
+def contains_ci(c: Column | str, text: str) -> Column:
+    """case-insensitive substring test; null -> false."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.lower(col).contains(text.lower()), F.lit(False))

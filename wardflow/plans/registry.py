@@ -38,6 +38,7 @@ def load_all() -> None:
         q_reports,
         q_sampling,
         q_survival,
+        q_tables,
         q_text,
         q_timeline,
     )

@@ -67,15 +67,31 @@ def write_csv(df: DataFrame, path: str, *, decimals: int | None = None) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_csv_by_name(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
+    """S4 for files whose header order differs from ``schema``: read as text
+    columns named by the header (no type inference pass), then select and cast
+    the schema's columns by name. Files of one call must share a header."""
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(
+        paths if isinstance(paths, str) else list(paths)
+    )
+    return raw.select(
+        *[(F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+          for f in schema.fields],
+        F.col("_metadata.file_name").alias("__file"),
+    )
+
+
 def read_with_provenance(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, *, file_col: str = "file_name"
+    spark: SparkSession, path_groups: Sequence[str | Sequence[str]], schema: T.StructType, *, file_col: str = "file_name"
 ) -> DataFrame:
-    """One multi-path CSV read that keeps each row's source file name.
-
-    Empty files contribute no rows, so the reference's size check is implicit.
-    """
-    df = read_csv(spark, paths, schema)
-    return df.withColumn(file_col, F.col("_metadata.file_name"))
+    """Union of several file families (e.g. one glob per result family,
+    each with its own column order), columns matched by header name, each row
+    keeping its source file name. Empty files contribute no rows."""
+    parts = [read_csv_by_name(spark, g, schema).withColumnRenamed("__file", file_col) for g in path_groups]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def write_text(df: DataFrame, text_col: str, path: str) -> None:
