@@ -19,7 +19,9 @@ _WS = r"[ \t\n\x0B\f\r]"
 # The cleaning steps of a generated note, in order (pattern, replacement).
 CLEAN_STEPS = [
     (r"[ \t]+", " "),
-    (_WS + r"*\n" + _WS + "*", "\n"),
+    # a blank run that contains a newline becomes one newline (same matches as
+    # "blank* newline blank*", without backtracking over long runs)
+    (r"[ \t\x0B\f\r]*\n" + _WS + "*", "\n"),
     (r"\n{3,}", "\n\n"),
     ("STRIP", ""),
     (_WS + r"+\.", "."),

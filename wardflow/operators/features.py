@@ -155,36 +155,38 @@ def bucket_wide(
 ) -> DataFrame:
     """A8 (and A9 with ``forward_fill``): per-bucket statistics pivoted wide.
 
-    One conditional aggregation per (measure, bucket) straight from the rows:
-    a single shuffle by entity, fixed output schema (buckets ``0..n-1``), no
-    separate pivot job. Rows outside ``[0, n_buckets)`` buckets are ignored.
-    ``extra`` aggregates (e.g. whole-entity stats, A10) ride in the same pass.
-
-    Forward fill (W2 applied before the pivot in the reference) is done on the
-    wide row: a bucket that has rows takes the last non-null value of the
-    measure among buckets up to itself; buckets with no row stay null
-    (no densifying, quirk Q7). This equals ``last(ignorenulls)`` over the
-    per-bucket rows ordered by bucket.
+    Rows are first reduced to one row per (entity, bucket) (partial + final
+    aggregation on both keys, so a hot entity is split by its buckets), then
+    pivoted with fixed values ``0..n_buckets-1`` (fixed schema, no extra job to
+    find the values). Rows outside those buckets are ignored. ``extra``
+    aggregates (e.g. whole-entity stats, A10) are computed from the rows by
+    entity and joined on the entity key (both sides already hash-partitioned
+    by it).
+
+    Forward fill (W2) runs on the per-bucket rows before the pivot: a bucket
+    that has a row takes the last non-null value of the measure up to itself;
+    buckets with no row stay null (no densifying, quirk Q7). The window holds
+    at most ``n_buckets`` rows per entity.
     """
-    bucket = time_bucket(t, width)
-    rows = df.withColumn("__bkt", bucket)
-    aggs: list[Column] = []
-    present = [F.max(F.when(F.col("__bkt") == h, F.lit(1))).alias(f"__has{h}") for h in range(n_buckets)]
-    for m in measures:
-        for h in range(n_buckets):
-            aggs.append(_bucket_stat(m, F.col("__bkt") == h).alias(name_fmt.format(alias=m.alias, h=h)))
+    names = [m.alias for m in measures]
+    per_bucket = bucket_long(df, entity, t, measures, width=width, bucket_col="__bkt").filter(
+        (F.col("__bkt") >= 0) & (F.col("__bkt") < n_buckets)
+    )
+    if forward_fill:
+        per_bucket = fill_forward(per_bucket, entity, "__bkt", names)
+    wide = per_bucket.groupBy(entity).pivot("__bkt", list(range(n_buckets))).agg(
+        *[F.first(F.col(n)).alias(n) for n in names]
+    )
+    pivot_name = (lambda h, n: f"{h}_{n}") if len(names) > 1 else (lambda h, n: f"{h}")
+    wide = wide.select(
+        entity,
+        *[F.col(f"`{pivot_name(h, m.alias)}`").alias(name_fmt.format(alias=m.alias, h=h))
+          for m in measures for h in range(n_buckets)],
+    )
     extra = list(extra)
-    wide = rows.groupBy(entity).agg(*aggs, *extra, *(present if forward_fill else []))
-    if not forward_fill:
-        return wide
-    extra_names = [c for c in wide.columns if c not in {entity} and not c.startswith("__has")
-                   and c not in {name_fmt.format(alias=m.alias, h=h) for m in measures for h in range(n_buckets)}]
-    filled = []
-    for m in measures:
-        for h in range(n_buckets):
-            chain = F.coalesce(*[F.col(name_fmt.format(alias=m.alias, h=k)) for k in range(h, -1, -1)])
-            filled.append(F.when(F.col(f"__has{h}").isNotNull(), chain).alias(name_fmt.format(alias=m.alias, h=h)))
-    return wide.select(entity, *filled, *extra_names)
+    if extra:
+        wide = wide.join(df.groupBy(entity).agg(*extra), entity, "inner")
+    return wide
 
 
 def bucket_long(
@@ -205,7 +207,7 @@ def bucket_long(
     return df.withColumn(bucket_col, time_bucket(t, width)).groupBy(entity, bucket_col).agg(*aggs, *extra)
 
 
-def forward_fill(df: DataFrame, entity: str, order: str | Sequence[str], cols: Sequence[str]) -> DataFrame:
+def fill_forward(df: DataFrame, entity: str, order: str | Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Carry the last non-null value forward inside each entity.
 
     All columns share one window spec, so the plan has one Sort + Window.
@@ -218,6 +220,9 @@ def forward_fill(df: DataFrame, entity: str, order: str | Sequence[str], cols: S
     )
 
 
+forward_fill = fill_forward  # W1/W2 under the reference's name
+
+
 def long_with_closing_row(
     buckets: DataFrame,
     closing: DataFrame,
@@ -235,7 +240,7 @@ def long_with_closing_row(
     stacked = buckets.withColumn("__closing", F.lit(0)).unionByName(
         closing.withColumn("__closing", F.lit(1)), allowMissingColumns=True
     )
-    return forward_fill(stacked, entity, [bucket_col, "__closing"], fill_cols).drop("__closing")
+    return fill_forward(stacked, entity, [bucket_col, "__closing"], fill_cols).drop("__closing")
 
 
 def start_stop(

@@ -24,6 +24,7 @@ from wardflow.operators.ml import (
 from wardflow.operators.sampling import class_balanced_sample
 from wardflow.plans.q_timeline import flagship
 from wardflow.plans.registry import register
+from wardflow.session import spread
 from wardflow.sources.tables import read_table
 
 CATEGORICAL = ["segment", "region"]
@@ -80,6 +81,6 @@ SELECT doc_id, printf('%.2f', (length(text) % 100) / 100.0) AS answer,
 FROM documents""",
 )
 def l8_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     scored = batch_score(d, "text", length_scorer, out="answer")
     return scored.select("doc_id", "answer", parse_probability("answer").alias("probability"))

@@ -9,6 +9,7 @@ from wardflow.functions import text as X
 from wardflow.operators.sampling import fold_block, shots_ladder, stratified_split
 from wardflow.plans.registry import register
 from wardflow.plans.q_timeline import FLAGSHIP_SQL, flagship
+from wardflow.session import spread
 from wardflow.sources.tables import parse_id_text, parse_records, read_table
 
 
@@ -21,7 +22,7 @@ SELECT doc_id, md5({X.clean_text_sql("text")}) AS clean_md5, length({X.clean_tex
 FROM documents""",
 )
 def x1_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").select("doc_id", X.clean_text("text").alias("__c"))
+    d = spread(read_table(spark, sf_dir, "documents")).select("doc_id", X.clean_text("text").alias("__c"))
     return d.select("doc_id", F.md5("__c").alias("clean_md5"), F.length("__c").alias("clean_chars"))
 
 

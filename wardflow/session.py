@@ -81,3 +81,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def data_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's cores when the input has fewer
+    partitions than that (a small or single-file table feeding a CPU-heavy row
+    step). With many input partitions - the large-data case - the plan is left
+    unchanged, so no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
