@@ -98,3 +98,18 @@ def test_bootstrap_block_and_sql_paths_agree(spark):
         for f in ("auc", "auc_mean", "auc_std", "auc_ci_lower", "auc_ci_upper", "n_boot_used"):
             x, y = a[g][f], b[g][f]
             assert (x is None and y is None) or abs(x - y) < 1e-9, (g, f, x, y)
+
+
+def test_bootstrap_blocks_exact_with_ties_across_chunks(spark):
+    from wardflow.operators.bootstrap_blocks import replicate_aucs
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(9)
+    rows = [("g", i, rnd.randint(0, 1), float(rnd.randint(0, 2))) for i in range(3000)]  # 3 scores, big tie groups
+    df = spark.createDataFrame(rows, "g string, id long, y int, p double")
+    sql = {r.g: r for r in bootstrap_auc(df, ["g"], "y", "p", "id", n_boot=40, method="sql").collect()}
+    base = df.withColumn("__gid", F.lit(7).cast("long"))
+    small = replicate_aucs(base, "y", "p", "id", n_boot=40, seed=42, chunk_rows=97)
+    dist = small.agg(F.avg("__auc").alias("m"), F.count(F.lit(1)).alias("n")).first()
+    assert dist.n == sql["g"].n_boot_used
+    assert abs(dist.m - sql["g"].auc_mean) < 1e-9

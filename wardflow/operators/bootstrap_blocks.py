@@ -40,74 +40,95 @@ SEGMENT_SCHEMA = T.StructType([
 ])
 
 
-def _segments(n_boot: int, seed: int):
+def _segments(n_boot: int, seed: int, chunk_rows: int = CHUNK_ROWS):
+    """Per-partition walk over rows sorted by (group, score).
+
+    State of the open segment (one group inside this partition): ``below`` =
+    negative weight of all completed scores, ``num`` = AUC numerator of
+    completed scores, and the *open* tie group (last score seen, its positive
+    and negative weights), which may continue into the next chunk or batch.
+    A score is completed when a larger score (or the segment end) arrives, so
+    ties are exact however the rows are chunked. Memory: one chunk x replicates.
+    """
     cdf = np.array(poisson_cdf())
     reps = np.arange(n_boot, dtype=np.int64)
 
-    def emit(gid, seg, within, pos, neg):
-        return pd.DataFrame({"__gid": np.full(n_boot, gid, dtype=np.int64), "__seg": np.full(n_boot, seg),
-                             "rep": reps.astype(np.int32), "__within": within, "__pos": pos, "__neg": neg})
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None  # [gid, seg_start, within, pos, neg] of the open segment
-        pending = None  # rows of the last (gid, score) tie group, held for the next batch
-
-        def consume(df: pd.DataFrame):
-            nonlocal state
-            out = []
-            gids = df["__gid"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, gids[1:] != gids[:-1]])
-            ends = np.r_[starts[1:], len(df)]
-            for a, b in zip(starts, ends):
-                gid = int(gids[a])
-                part = df.iloc[a:b]
-                if state is None or state[0] != gid:
-                    if state is not None:
-                        out.append(emit(*state))
-                    state = [gid, float(part["__s"].iloc[0]), np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)]
-                for c0 in range(0, len(part), CHUNK_ROWS):
-                    chunk = part.iloc[c0:c0 + CHUNK_ROWS]
-                    u = mixed_uniform_np(chunk["__key"].to_numpy(), reps, seed)
-                    w = np.searchsorted(cdf, u, side="left").astype(np.float64)
-                    y = chunk["__y"].to_numpy(dtype=np.float64)[:, None]
-                    s = chunk["__s"].to_numpy()
-                    bounds = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-                    pos = np.add.reduceat(w * y, bounds, axis=0)
-                    neg = np.add.reduceat(w * (1.0 - y), bounds, axis=0)
-                    below = np.cumsum(neg, axis=0) - neg + state[4][None, :]
-                    state[2] += np.sum(pos * (below + neg / 2.0), axis=0)
-                    state[3] += pos.sum(axis=0)
-                    state[4] += neg.sum(axis=0)
-            return out
+        st = None  # dict: gid, seg, below, num, pos, neg, open_s, open_pos, open_neg
+
+        def close(state):
+            state["num"] += state["open_pos"] * (state["below"] + state["open_neg"] / 2.0)
+            state["below"] += state["open_neg"]
+            state["pos"] += state["open_pos"]
+            state["neg"] += state["open_neg"]
+            return pd.DataFrame({
+                "__gid": np.full(n_boot, state["gid"], dtype=np.int64), "__seg": np.full(n_boot, state["seg"]),
+                "rep": reps.astype(np.int32), "__within": state["num"], "__pos": state["pos"], "__neg": state["neg"],
+            })
+
+        def fold(state, keys, y, s):
+            u = mixed_uniform_np(keys, reps, seed)
+            w = np.searchsorted(cdf, u, side="left").astype(np.float64)
+            bounds = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            pos = np.add.reduceat(w * y[:, None], bounds, axis=0)
+            neg = np.add.reduceat(w * (1.0 - y)[:, None], bounds, axis=0)
+            scores = s[bounds]
+            first = 0
+            if scores[0] == state["open_s"]:
+                state["open_pos"] = state["open_pos"] + pos[0]
+                state["open_neg"] = state["open_neg"] + neg[0]
+                first = 1
+            if first == len(scores):
+                return
+            # the open group is complete: a larger score follows
+            state["num"] += state["open_pos"] * (state["below"] + state["open_neg"] / 2.0)
+            state["below"] += state["open_neg"]
+            state["pos"] += state["open_pos"]
+            state["neg"] += state["open_neg"]
+            mid_pos, mid_neg = pos[first:-1], neg[first:-1]
+            if len(mid_pos):
+                below = np.cumsum(mid_neg, axis=0) - mid_neg + state["below"][None, :]
+                state["num"] += np.sum(mid_pos * (below + mid_neg / 2.0), axis=0)
+                state["below"] += mid_neg.sum(axis=0)
+                state["pos"] += mid_pos.sum(axis=0)
+                state["neg"] += mid_neg.sum(axis=0)
+            state["open_s"], state["open_pos"], state["open_neg"] = scores[-1], pos[-1].copy(), neg[-1].copy()
 
         for batch in batches:
-            if pending is not None:
-                batch = pd.concat([pending, batch], ignore_index=True)
-                pending = None
             if batch.empty:
                 continue
-            last_g, last_s = batch["__gid"].iloc[-1], batch["__s"].iloc[-1]
-            tail = (batch["__gid"] == last_g) & (batch["__s"] == last_s)
-            pending = batch[tail]
-            ready = batch[~tail]
-            if len(ready):
-                yield from consume(ready.reset_index(drop=True))
-        if pending is not None and len(pending):
-            yield from consume(pending.reset_index(drop=True))
-        if state is not None:
-            yield emit(*state)
+            gids = batch["__gid"].to_numpy()
+            keys_all = batch["__key"].to_numpy()
+            y_all = batch["__y"].to_numpy(dtype=np.float64)
+            s_all = batch["__s"].to_numpy(dtype=np.float64)
+            starts = np.flatnonzero(np.r_[True, gids[1:] != gids[:-1]])
+            ends = np.r_[starts[1:], len(batch)]
+            for a, b in zip(starts, ends):
+                gid = int(gids[a])
+                if st is None or st["gid"] != gid:
+                    if st is not None:
+                        yield close(st)
+                    z = np.zeros(n_boot)
+                    st = {"gid": gid, "seg": float(s_all[a]), "below": z.copy(), "num": z.copy(), "pos": z.copy(),
+                          "neg": z.copy(), "open_s": None, "open_pos": z.copy(), "open_neg": z.copy()}
+                for c0 in range(a, b, chunk_rows):
+                    c1 = min(b, c0 + chunk_rows)
+                    fold(st, keys_all[c0:c1], y_all[c0:c1], s_all[c0:c1])
+        if st is not None:
+            yield close(st)
 
     return run
 
 
-def replicate_aucs(base: DataFrame, label: str, score: str, key: str, *, n_boot: int, seed: int) -> DataFrame:
+def replicate_aucs(base: DataFrame, label: str, score: str, key: str, *, n_boot: int, seed: int,
+                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(__gid, rep, __auc) for every replicate with both classes. ``base`` has ``__gid``."""
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     rows = base.select(
         "__gid", F.col(key).cast("long").alias("__key"), F.col(label).cast("int").alias("__y"),
         F.col(score).cast("double").alias("__s"),
     ).repartitionByRange(parts, "__gid", "__s").sortWithinPartitions("__gid", "__s")
-    seg = rows.mapInPandas(_segments(n_boot, seed), SEGMENT_SCHEMA)
+    seg = rows.mapInPandas(_segments(n_boot, seed, chunk_rows), SEGMENT_SCHEMA)
     w = Window.partitionBy("__gid", "rep").orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("__negbefore", F.coalesce(F.sum("__neg").over(w), F.lit(0.0)))
     num = F.sum(F.col("__within") + F.col("__pos") * F.col("__negbefore"))
