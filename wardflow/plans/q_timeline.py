@@ -282,3 +282,29 @@ def j5_interval_flag_hourly_buckets(spark: SparkSession, sf_dir: str) -> DataFra
     )
     return flagged.select(ENTITY, "event_id", "in_interval")
 
+
+
+# --- J3 / J7 / J8: per-entity tables attached to per-bucket rows -------------------------------
+
+@register(
+    "j3_j7_attach",
+    f"""
+WITH {TIMELINE_SQL},
+pd AS (SELECT user_id, CAST(floor(t / {DAY!r}) AS BIGINT) AS day, count(*) AS n_events FROM tl GROUP BY 1, 2),
+ent AS (SELECT user_id, max(t) / {DAY!r} AS los_days FROM tl GROUP BY 1),
+sc AS (SELECT o_custkey AS user_id, count(*) AS n_orders, sum(o_totalprice) AS order_total FROM orders GROUP BY 1)
+SELECT pd.user_id, pd.day, pd.n_events, round(ent.los_days, 6) AS los_days, sc.n_orders,
+       round(sc.order_total, 6) AS order_total
+FROM pd LEFT JOIN ent ON pd.user_id = ent.user_id LEFT JOIN sc ON pd.user_id = sc.user_id""",
+)
+def j3_j7_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A per-entity aggregate (length of stay) and J3: a per-entity score
+    table (order totals) attached to per-(entity, day) rows by left joins."""
+    tl = timeline(spark, sf_dir)
+    per_day = tl.groupBy(ENTITY, time_bucket(TIME, DAY).alias("day")).agg(F.count(F.lit(1)).alias("n_events"))
+    ent = tl.groupBy(ENTITY).agg((F.max(TIME) / F.lit(DAY)).alias("los_days"))
+    orders = read_table(spark, sf_dir, "orders")
+    scores = orders.groupBy(F.col("o_custkey").alias(ENTITY)).agg(
+        F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("order_total")
+    )
+    return double_round(attach(attach(per_day, ent, ENTITY, "left"), scores, ENTITY, "left"))
