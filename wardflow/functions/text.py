@@ -171,7 +171,7 @@ def parse_quartile(answer: Column | str) -> Column:
 
 def parse_quartile_sql(x: str) -> str:
     a = f"lower(regexp_replace(CAST({x} AS VARCHAR), '^{_WS}+|{_WS}+$', '', 'g'))"
-    whens = " ".join(f"WHEN contains({a}, '{label}') THEN {mid}" for label, mid in QUARTILES)
+    whens = " ".join(f"WHEN contains({a}, '{label}') THEN CAST({mid} AS DOUBLE)" for label, mid in QUARTILES)
     return f"(CASE {whens} END)"
 
 

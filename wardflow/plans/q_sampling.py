@@ -101,5 +101,5 @@ def n3_prompt_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     sample = shots_ladder(lab.join(docs, "doc_id"), "quality", "doc_id", _BLOCK_SHOTS, seed=42)
     blocks = fold_block(sample, ["num_shots"], "doc_id", "text", seed=42)
-    return blocks.select("num_shots", F.md5("block").alias("block_md5"), F.length("block").alias("block_chars"),
+    return blocks.select("num_shots", F.md5("block").alias("block_md5"), F.length("block").cast("long").alias("block_chars"),
                          "n_examples")

@@ -73,7 +73,8 @@ def v2_horizon_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH {_SURV_SQL}
 SELECT l_linestatus, count(*) AS n, count(*) FILTER (WHERE event) AS n_events,
-       sum(CASE WHEN event AND dur <= {HORIZON!r} THEN 1 ELSE 0 END) AS n_events_by_horizon, {HORIZON!r} AS horizon
+       sum(CASE WHEN event AND dur <= {HORIZON!r} THEN 1 ELSE 0 END) AS n_events_by_horizon,
+       CAST({HORIZON!r} AS DOUBLE) AS horizon
 FROM s GROUP BY l_linestatus""",
 )
 def v7_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +130,7 @@ WITH {_SURV_SQL},
 c AS (SELECT least(dur, {HORIZON!r}) AS t, event AND dur <= {HORIZON!r} AS e, l_discount AS r FROM s),
 cell AS (SELECT t, r, count(*) AS n, count(*) FILTER (WHERE e) AS d FROM c GROUP BY t, r),
 pairs AS (
-  SELECT sum(a.d * b.n * CASE WHEN b.r < a.r THEN 1.0 WHEN b.r = a.r THEN 0.5 ELSE 0.0 END) AS num,
+  SELECT CAST(sum(a.d * b.n * CASE WHEN b.r < a.r THEN 1.0 WHEN b.r = a.r THEN 0.5 ELSE 0.0 END) AS DOUBLE) AS num,
          sum(a.d * b.n)::DOUBLE AS den
   FROM cell a JOIN cell b ON b.t > a.t WHERE a.d > 0)
 SELECT round(num / den, 6) AS concordance, round(num, 6) AS concordant_pairs, round(den, 6) AS comparable_pairs

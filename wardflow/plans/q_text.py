@@ -23,7 +23,7 @@ FROM documents""",
 )
 def x1_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(read_table(spark, sf_dir, "documents")).select("doc_id", X.clean_text("text").alias("__c"))
-    return d.select("doc_id", F.md5("__c").alias("clean_md5"), F.length("__c").alias("clean_chars"))
+    return d.select("doc_id", F.md5("__c").alias("clean_md5"), F.length("__c").cast("long").alias("clean_chars"))
 
 
 # --- X2 / X4: natural-language record per entity -----------------------------------------------
@@ -218,4 +218,4 @@ SELECT doc_id, num_shots, md5(prompt) AS prompt_md5, length(prompt) AS prompt_ch
 )
 def x13_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prompts(spark, sf_dir, _PROMPT_SHOTS)
-    return p.select("doc_id", "num_shots", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
+    return p.select("doc_id", "num_shots", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("prompt_chars"))
