@@ -105,7 +105,7 @@ c AS (SELECT l_linestatus, score,
              sum(neg) OVER (PARTITION BY l_linestatus ORDER BY score DESC) AS cn,
              sum(pos) OVER (PARTITION BY l_linestatus) AS p_tot,
              sum(neg) OVER (PARTITION BY l_linestatus) AS n_tot FROM h)
-SELECT l_linestatus, score AS threshold, round(cn / n_tot, 6) AS fpr, round(cp / p_tot, 6) AS tpr FROM c
+SELECT l_linestatus, round(score, 6) AS threshold, round(cn / n_tot, 6) AS fpr, round(cp / p_tot, 6) AS tpr FROM c
 UNION ALL
 SELECT DISTINCT l_linestatus, CAST('inf' AS DOUBLE), 0.0, 0.0 FROM h""",
 )

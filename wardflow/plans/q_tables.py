@@ -32,7 +32,7 @@ c AS (SELECT model, model_args, score,
              sum(neg) OVER (PARTITION BY model, model_args ORDER BY score DESC) AS cn,
              sum(pos) OVER (PARTITION BY model, model_args) AS p_tot,
              sum(neg) OVER (PARTITION BY model, model_args) AS n_tot FROM h)
-SELECT model, model_args, score AS threshold,
+SELECT model, model_args, round(score, 6) AS threshold,
        round(CASE WHEN n_tot > 0 THEN cn / n_tot END, 6) AS fpr, round(CASE WHEN p_tot > 0 THEN cp / p_tot END, 6) AS tpr
 FROM c
 UNION ALL SELECT DISTINCT model, model_args, CAST('inf' AS DOUBLE), 0.0, 0.0 FROM h""",
