@@ -12,11 +12,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def epoch_micros(ts: Column | str) -> Column:
-    """Microseconds since the epoch of a timestamp / timestamp_ntz column (UTC)."""
+def epoch_micros(ts: Column | str, *, ntz: bool = False) -> Column:
+    """Microseconds since the epoch. For ``timestamp_ntz`` input (``ntz=True``) the
+    wall-clock value is read as UTC with an exact microsecond difference, so the
+    result does not depend on the session time zone (no DST shifts)."""
     c = F.col(ts) if isinstance(ts, str) else ts
+    if ntz:
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
     return F.unix_micros(c.cast("timestamp"))
 
 
@@ -35,7 +40,8 @@ def relative_seconds(
     even for a hot entity); joining it back is planned by AQE: broadcast when
     the measured table is small, sort-merge join with skew splitting otherwise.
     """
-    us = epoch_micros(ts_col)
+    ntz = isinstance(df.schema[ts_col].dataType, T.TimestampNTZType)
+    us = epoch_micros(ts_col, ntz=ntz)
     if origins is None:
         origins = df.groupBy(entity).agg(F.min(us).alias(origin_col))
     joined = df.join(origins, on=entity, how="inner")

@@ -88,7 +88,9 @@ def spread(df: DataFrame) -> DataFrame:
     partitions than that (a small or single-file table feeding a CPU-heavy row
     step). With many input partitions - the large-data case - the plan is left
     unchanged, so no shuffle is added at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Connect session): leave the plan as is
+        return df
+    return df.repartition(cores) if parts < cores else df
