@@ -65,3 +65,15 @@ def test_concordance_matches_brute_force(spark):
     got = concordance(df, "t", "e", "r").first().concordance
     t, e, r = zip(*rows)
     assert abs(got - brute_c(t, e, r)) < 1e-12
+
+
+def test_cox_two_level_scan_path_agrees(spark, monkeypatch):
+    import wardflow.operators.survival as S
+
+    rnd = random.Random(6)
+    rows = [(i, float(rnd.randint(1, 30)), rnd.random() < 0.6, rnd.gauss(0, 1), rnd.random()) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, t double, e boolean, x1 double, x2 double")
+    a = S.fit_cox(df, "t", "e", ["x1", "x2"], penalizer=0.1)
+    monkeypatch.setattr(S, "SINGLE_WINDOW_MAX_TIMES", 0)
+    b = S.fit_cox(df, "t", "e", ["x1", "x2"], penalizer=0.1)
+    assert np.allclose(a.beta, b.beta, atol=1e-10)

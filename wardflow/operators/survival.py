@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,15 +85,25 @@ def _time_table(data: DataFrame, xs: list[str], beta: np.ndarray, duration: str,
     return data.groupBy(F.col(duration).alias("__t")).agg(*aggs).withColumn("__g", F.lit(0))
 
 
-def _risk_sets(times: DataFrame, p: int) -> DataFrame:
+# Distinct-time tables up to this many rows are scanned with one window (they
+# are aggregates, one row per distinct time); larger ones use the two-level scan.
+SINGLE_WINDOW_MAX_TIMES = 1_000_000
+
+
+def _risk_sets(times: DataFrame, p: int, *, single_window: bool = False) -> DataFrame:
     """Reverse running sums over time: risk-set totals R0, R1, R2 at each time (T >= t)."""
     cols = ["s0"] + [f"s1_{i}" for i in range(p)] + [f"s2_{i}_{j}" for i in range(p) for j in range(i, p)]
+    if single_window:
+        w = Window.partitionBy("__g").orderBy(F.col("__t").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        return times.select("*", *[F.sum(c).over(w).alias(f"r_{c}") for c in cols])
     return prefix_sum(times, ["__g"], ["__t"], cols, float_bin("__t"), descending=True, inclusive=True, prefix="r_")
 
 
-def _step_sums(data: DataFrame, xs: list[str], beta: np.ndarray, duration: str, event: str):
+def _step_sums(data: DataFrame, xs: list[str], beta: np.ndarray, duration: str, event: str,
+               single_window: bool = False):
     p = len(xs)
-    rs = _risk_sets(_time_table(data, xs, beta, duration, event), p).filter(F.col("d") > 0)
+    rs = _risk_sets(_time_table(data, xs, beta, duration, event), p, single_window=single_window).filter(
+        F.col("d") > 0)
     aggs = [F.sum("e_eta").alias("e_eta"), F.sum(F.col("d") * F.log("r_s0")).alias("dlog"), F.sum("d").alias("d")]
     aggs += [F.sum(f"ex_{i}").alias(f"ex_{i}") for i in range(p)]
     aggs += [F.sum(F.col("d") * F.col(f"r_s1_{i}") / F.col("r_s0")).alias(f"m1_{i}") for i in range(p)]
@@ -128,8 +138,10 @@ def fit_cox(
         F.col(duration).cast("double").alias(duration), F.col(event).cast("boolean").alias(event),
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in xs],
     )
-    stats = base.agg(F.count(F.lit(1)).alias("n"),
+    stats = base.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(duration).alias("__nt"),
                      *[F.avg(c).alias(f"m_{c}") for c in xs], *[F.stddev_pop(c).alias(f"s_{c}") for c in xs]).collect()[0]
+    # size check (like a broadcast threshold): few distinct times -> one window
+    single = int(stats["__nt"]) <= SINGLE_WINDOW_MAX_TIMES // 2
     n = int(stats["n"])
     mean = np.array([stats[f"m_{c}"] or 0.0 for c in xs])
     scale = np.array([(stats[f"s_{c}"] or 0.0) or 1.0 for c in xs])
@@ -140,7 +152,7 @@ def fit_cox(
     converged, it, ll, info, n_events = False, 0, float("nan"), np.eye(len(xs)), 0.0
     try:
         for it in range(1, max_iter + 1):
-            ll, grad, info, n_events = _step_sums(std, xs, beta, duration, event)
+            ll, grad, info, n_events = _step_sums(std, xs, beta, duration, event, single)
             # penalised mean objective: ll/n - penalizer/2 |b|^2
             g = grad / n - penalizer * beta
             h = info / n + penalizer * np.eye(len(xs))
@@ -149,7 +161,7 @@ def fit_cox(
             if np.max(np.abs(step)) < tol:
                 converged = True
                 break
-        ll, grad, info, n_events = _step_sums(std, xs, beta, duration, event)
+        ll, grad, info, n_events = _step_sums(std, xs, beta, duration, event, single)
     finally:
         std.unpersist()
     cov = np.linalg.inv(info + n * penalizer * np.eye(len(xs)))
