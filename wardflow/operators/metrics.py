@@ -201,8 +201,9 @@ def bootstrap_auc(
         raise ValueError("method must be 'blocks' or 'sql'")
     names = list(group_cols)
     # one 64-bit id replaces the (possibly string) group keys on the B-fold data
-    base = clean_scored(df, label, score).withColumn("__gid", F.xxhash64(*[F.col(c) for c in names]))
-    group_names = base.select("__gid", *names).distinct()
+    gid = F.xxhash64(*[F.col(c) for c in names]) if names else F.lit(0).cast("long")
+    base = clean_scored(df, label, score).withColumn("__gid", gid)
+    group_names = base.groupBy("__gid").agg(*[F.first(c).alias(c) for c in names])
     base = base.drop(*names)
     group_cols = ["__gid"]
     point = auc(base, group_cols, label, score)
@@ -255,12 +256,25 @@ def bootstrap_auc(
         F.percentile(F.col("__auc"), F.array(F.lit(0.025), F.lit(0.975))).alias("__ci"),
         F.count(F.lit(1)).alias("n_boot_used"),
     )
-    out = point.select(*group_cols, "auc").join(dist, on=list(group_cols), how="left")
-    out = out.join(group_names, on="__gid", how="inner")
-    return out.select(
-        *names, "auc", "auc_mean", "auc_std",
-        F.col("__ci")[0].alias("auc_ci_lower"), F.col("__ci")[1].alias("auc_ci_upper"),
-        F.coalesce(F.col("n_boot_used"), F.lit(0)).alias("n_boot_used"),
+    # Assemble point AUC, replicate statistics and group names per group id with a
+    # union and one aggregate (no joins: a constant group key would otherwise be
+    # folded into a cartesian join).
+    stats = ["auc", "auc_mean", "auc_std", "auc_ci_lower", "auc_ci_upper", "n_boot_used"]
+    parts = [
+        point.select("__gid", "auc"),
+        dist.select("__gid", "auc_mean", "auc_std", F.col("__ci")[0].alias("auc_ci_lower"),
+                    F.col("__ci")[1].alias("auc_ci_upper"), "n_boot_used"),
+        group_names,
+    ]
+    stacked = parts[0]
+    for p_ in parts[1:]:
+        stacked = stacked.unionByName(p_, allowMissingColumns=True)
+    out = stacked.groupBy("__gid").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in names + stats],
+        F.max(F.when(F.col(names[0]).isNotNull() if names else F.lit(True), F.lit(1))).alias("__named"),
+    )
+    return out.filter(F.col("__named").isNotNull()).select(
+        *names, *stats[:-1], F.coalesce(F.col("n_boot_used"), F.lit(0)).alias("n_boot_used"),
     )
 
 

@@ -97,26 +97,20 @@ def glm_summary_rows(model: PipelineModel) -> list[tuple]:
 
 def predictions_table(
     scored: DataFrame, *, model_name: str, model_args: str, num_shots: int, id_col: str, label_col: str,
-    prob_col: str = "predicted_probability", ci: DataFrame | None = None,
+    prob_col: str = "predicted_probability", ci: tuple[float | None, float | None] = (None, None),
 ) -> DataFrame:
     """The one predictions schema of every model: constants, CI bounds, id,
-    label (0/1) and probability. ``ci`` is a one-row frame with
-    ``auc_ci_lower``/``auc_ci_upper`` attached by an equi-join on the model name."""
-    out = scored.select(
+    label (0/1) and probability. ``ci`` holds the two run-level numbers
+    (``auc_ci_lower``, ``auc_ci_upper``), attached as constants."""
+    lo, hi = ci
+    return scored.select(
         F.lit(model_name).alias("model_name"), F.lit(model_args).alias("model_args"),
         F.lit(int(num_shots)).alias("num_shots"),
+        F.lit(lo).cast("double").alias("auc_ci_lower"), F.lit(hi).cast("double").alias("auc_ci_upper"),
         F.col(id_col).cast("string").alias("global_icu_stay_id"),
         F.col(label_col).cast("int").alias("actual_label"),
         F.col(prob_col).cast("double").alias("predicted_probability"),
     )
-    if ci is None:
-        return out.select("model_name", "model_args", "num_shots", F.lit(None).cast("double").alias("auc_ci_lower"),
-                          F.lit(None).cast("double").alias("auc_ci_upper"), "global_icu_stay_id", "actual_label",
-                          "predicted_probability")
-    ci = ci.select(F.lit(model_name).alias("model_name"), "auc_ci_lower", "auc_ci_upper")
-    return out.join(F.broadcast(ci), "model_name", "left").select(
-        "model_name", "model_args", "num_shots", "auc_ci_lower", "auc_ci_upper", "global_icu_stay_id",
-        "actual_label", "predicted_probability")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

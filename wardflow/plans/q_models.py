@@ -40,10 +40,14 @@ def feature_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str
 
 
 def _predictions(spark, sf_dir, scored: DataFrame, model_name: str, model_args: str, num_shots: int) -> DataFrame:
-    ci = bootstrap_auc(scored.withColumn("__g", F.lit(1)), ["__g"], "label", "predicted_probability", "user_id",
-                       n_boot=100, seed=42).select("auc_ci_lower", "auc_ci_upper")
+    """L7 table of a fitted model; the run's bootstrap CI (two numbers, one small
+    job after the fit) is attached as constants."""
+    scored = scored.persist()
+    ci = bootstrap_auc(scored.withColumn("__g", F.lit(model_name)), ["__g"], "label", "predicted_probability",
+                       "user_id", n_boot=100, seed=42).select("auc_ci_lower", "auc_ci_upper").first()
+    bounds = (ci["auc_ci_lower"], ci["auc_ci_upper"]) if ci is not None else (None, None)
     return predictions_table(scored, model_name=model_name, model_args=model_args, num_shots=num_shots,
-                             id_col="user_id", label_col="label", ci=ci)
+                             id_col="user_id", label_col="label", ci=bounds)
 
 
 @register("l3_logistic")
