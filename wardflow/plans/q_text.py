@@ -219,3 +219,48 @@ SELECT doc_id, num_shots, md5(prompt) AS prompt_md5, length(prompt) AS prompt_ch
 def x13_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prompts(spark, sf_dir, _PROMPT_SHOTS)
     return p.select("doc_id", "num_shots", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("prompt_chars"))
+
+
+def quartile_prompts(spark: SparkSession, sf_dir: str, shots: list[int]) -> DataFrame:
+    """X13, quartile template: each example is prefix + text + suffix + end token +
+    its outcome as the extreme quartile label + completion token; the test row's
+    prompt is the example block followed by its own unanswered query."""
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    data = stratified_split(lab.join(docs, "doc_id", "inner"), "doc_id", "lang", out="split")
+    train = data.filter(F.col("split") == "train").withColumn(
+        "example", X.quartile_example(F.col("text"), F.col("quality")))
+    test = data.filter(F.col("split") == "test")
+    sample = shots_ladder(train, "quality", "doc_id", shots, seed=42)
+    blocks = fold_block(sample, ["num_shots"], "doc_id", "example", seed=42)
+    ladder = F.explode(F.array(*[F.lit(s) for s in shots])).alias("num_shots")
+    rows = test.select("doc_id", "text", ladder).join(F.broadcast(blocks), "num_shots", "left")
+    return rows.select("doc_id", "num_shots",
+                       X.quartile_prompt(F.col("text"), F.col("block"), F.col("num_shots")).alias("prompt"))
+
+
+@register(
+    "x13_quartile_prompts",
+    f"""
+WITH lab AS (SELECT l.doc_id, l.quality, d.lang, d.text FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+sp AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) - 1
+                      < round(0.8 * count(*) OVER (PARTITION BY lang)) THEN 'train' ELSE 'test' END AS split FROM lab),
+tr AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) - 1 AS rk,
+              {X.sql_literal(X.QUARTILE_PREFIX)} || text || {X.sql_literal(X.QUARTILE_SUFFIX)} || {X.sql_literal(X.END_INPUT)}
+              || CASE WHEN quality = 1 THEN {X.sql_literal(X.QUARTILES[3][0])} ELSE {X.sql_literal(X.QUARTILES[0][0])} END
+              || {X.sql_literal(X.END_COMPLETION)} || chr(10) AS example
+       FROM sp WHERE split = 'train'),
+b AS (SELECT CAST(n.n AS INTEGER) AS num_shots,
+             string_agg(example, '' ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) AS block
+      FROM tr JOIN (SELECT unnest({_PROMPT_SHOTS}) AS n) n ON tr.rk < n.n GROUP BY n.n),
+p AS (SELECT t.doc_id, b.num_shots,
+             CASE WHEN b.num_shots > 0 AND b.block IS NOT NULL AND b.block <> '' THEN b.block ELSE '' END ||
+             {X.sql_literal(X.QUARTILE_PREFIX)} || t.text || {X.sql_literal(X.QUARTILE_SUFFIX)} ||
+             {X.sql_literal(" " + X.END_INPUT)} AS prompt
+      FROM sp t, b WHERE t.split = 'test')
+SELECT doc_id, num_shots, md5(prompt) AS prompt_md5, CAST(length(prompt) AS BIGINT) AS prompt_chars FROM p""",
+)
+def x13_quartile_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = quartile_prompts(spark, sf_dir, _PROMPT_SHOTS)
+    return p.select("doc_id", "num_shots", F.md5("prompt").alias("prompt_md5"),
+                    F.length("prompt").cast("long").alias("prompt_chars"))
