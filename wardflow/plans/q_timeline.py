@@ -203,7 +203,7 @@ def f2_in_or_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {STATIC_SQL},
 ser AS (SELECT user_id, count(*) AS n_events, sum(value) AS value_sum FROM events GROUP BY user_id),
 info AS (SELECT st.user_id, st.region, ser.n_events, ser.value_sum FROM st LEFT JOIN ser ON st.user_id = ser.user_id),
-ids AS (SELECT DISTINCT c_custkey AS user_id FROM customer WHERE c_mktsegment = 'BUILDING' OR c_custkey < 50)
+ids AS (SELECT DISTINCT c_custkey AS user_id FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))
 SELECT ids.user_id, info.region, info.n_events, round(info.value_sum, 6) AS value_sum
 FROM info RIGHT JOIN ids ON info.user_id = ids.user_id""",
 )
@@ -212,7 +212,7 @@ def j1_j4_left_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     ser = ev.groupBy(ENTITY).agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("value_sum"))
     info = attach(static_info(spark, sf_dir).select(ENTITY, "region"), ser, ENTITY, how="left")
     cust = read_table(spark, sf_dir, "customer")
-    ids = cust.filter((F.col("c_mktsegment") == "BUILDING") | (F.col("c_custkey") < 50)).select(
+    ids = cust.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(
         F.col("c_custkey").alias(ENTITY)
     )
     return double_round(restrict_to_universe(info, ids, ENTITY).select(ENTITY, "region", "n_events", "value_sum"))
