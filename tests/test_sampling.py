@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from wardflow.operators.sampling import class_balanced_sample, fold_block, shots_ladder, stratified_split
 
 

@@ -1,6 +1,5 @@
 import re
 
-from pyspark.sql import functions as F
 
 from wardflow.functions.labels import condition_label, file_labels, label_01, model_label
 from wardflow.functions.text import clean_text, normalize_name, parse_probability, parse_quartile

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from wardflow.operators.timeline import align_full_join, align_union, flag_in_intervals, observation_window
 
 
