@@ -120,7 +120,7 @@ def flag_in_intervals(
     end: str,
     *,
     out: str = "in_interval",
-    bucket_width: float = 86400.0,
+    bucket_width: float = 3600.0,
 ) -> DataFrame:
     """J5 + J6: add boolean ``out`` = the point lies in some interval of its entity,
     both ends closed. One row out per point row: overlapping intervals never
@@ -131,8 +131,10 @@ def flag_in_intervals(
     maximum is computed in two levels over time buckets of ``bucket_width``
     seconds: a carry-in (max end of intervals starting in earlier buckets of the
     entity, from a window over the small per-bucket table) and a running max
-    inside (entity, bucket). A hot entity is therefore split by its buckets.
-    Null bounds never match (``between`` with null is not true).
+    inside (entity, bucket). A hot entity is therefore split by its buckets
+    (default 1 h: 720 buckets per 30 days; the per-entity carry table has one
+    row per non-empty bucket). Null bounds never match (``between`` with null
+    is not true).
     """
     b = "__b"
     valid = F.col(entity).isNotNull() & F.col(t).isNotNull()

@@ -265,7 +265,7 @@ def j5_interval_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    "j5_interval_flag_hourly_buckets",
+    "j5_interval_flag_day_buckets",
     f"""
 WITH {TIMELINE_SQL},
 {MEASUREMENTS_SQL},
@@ -274,11 +274,12 @@ SELECT m.user_id, m.event_id,
        EXISTS (SELECT 1 FROM iv WHERE iv.user_id = m.user_id AND m.t BETWEEN iv.s AND iv.e) AS in_interval
 FROM meas m""",
 )
-def j5_interval_flag_hourly_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Same flag with 1 h sweep buckets: 6 h intervals cross buckets, so the carry-in path is exercised."""
+def j5_interval_flag_day_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same flag with 1-day sweep buckets (the default is 1 h; both cross bucket
+    boundaries with 6 h intervals, so the carry-in path is exercised)."""
     tl = timeline(spark, sf_dir)
     flagged = flag_in_intervals(
-        measurements(tl), intervals(tl), ENTITY, TIME, "s", "e", out="in_interval", bucket_width=3600.0
+        measurements(tl), intervals(tl), ENTITY, TIME, "s", "e", out="in_interval", bucket_width=86400.0
     )
     return flagged.select(ENTITY, "event_id", "in_interval")
 
