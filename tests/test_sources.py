@@ -68,3 +68,14 @@ def test_input_checks(spark):
         check_feature_options(hourly=True, minmax=True)
     with pytest.raises(ValueError):
         check_feature_options(forward_fill=True)
+
+
+def test_write_sorted_and_shape(spark):
+    from wardflow.sources.tables import shape, write_sorted
+
+    d = tempfile.mkdtemp(prefix="wardflow-test-")
+    df = spark.createDataFrame([("b", 2.0), ("a", 5.0), ("a", 1.0), ("b", 1.0)], "k string, t double")
+    write_sorted(df, os.path.join(d, "o"), "k", "t", partitions=2)
+    back = spark.read.parquet(os.path.join(d, "o"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert shape(df) is None and shape(df, debug=True) == (4, 2)

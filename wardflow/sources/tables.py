@@ -156,3 +156,20 @@ def check_feature_options(*, hourly: bool = False, stats: bool = False, minmax:
         raise ValueError("stats and minmax cannot be combined")
     if forward_fill and not hourly:
         raise ValueError("forward_fill needs hourly")
+
+
+def write_sorted(df: DataFrame, path: str, entity: str, time: str, *, partitions: int | None = None) -> None:
+    """O1: write ordered by (entity, time). Range partitioning on both keys (not a
+    hash on the entity) splits a hot entity over several files by time; rows
+    are sorted inside each partition, so readers see entity-time runs."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    (df.repartitionByRange(n, entity, time).sortWithinPartitions(entity, time)
+       .write.mode("overwrite").parquet(path))
+
+
+def shape(df: DataFrame, *, debug: bool = False) -> tuple[int, int] | None:
+    """(rows, columns) as a progress fact - runs a count job, so only when
+    ``debug`` is set; otherwise returns None without touching the data."""
+    if not debug:
+        return None
+    return df.count(), len(df.columns)
