@@ -40,3 +40,25 @@ def test_observation_window_closed_and_clipped(spark):
     df = spark.createDataFrame([(-1.0,), (0.0,), (86400.0,), (86401.0,)], "t double")
     got = sorted(r.t for r in observation_window(df, "t", 0.0, 86400.0, clip_end=86399.0).collect())
     assert got == [0.0, 86399.0]
+
+
+def test_interval_flag_hot_entity_random(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n = 6000
+    ent = np.where(rng.random(n) < 1 / 3, 0, rng.integers(1, 40, n))  # entity 0 holds a third
+    t = rng.random(n) * 30 * 86400
+    m = 400
+    ient = np.where(rng.random(m) < 1 / 3, 0, rng.integers(1, 40, m))
+    s = rng.random(m) * 30 * 86400
+    e = s + rng.exponential(6 * 3600, m) * np.where(rng.random(m) < 0.1, 20, 1)  # some span many buckets
+    pts = spark.createDataFrame([(i, int(a), float(b)) for i, (a, b) in enumerate(zip(ent, t))],
+                                "pid long, k long, t double")
+    ivs = spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(ient, s, e)],
+                                "k long, s double, e double")
+    want = np.array([np.any((ient == a) & (s <= b) & (b <= e)) for a, b in zip(ent, t)])
+    for width in (600.0, 3600.0, 86400.0):
+        got = dict(flag_in_intervals(pts, ivs, "k", "t", "s", "e", out="f", bucket_width=width)
+                   .select("pid", "f").collect())
+        assert np.array_equal(np.array([got[i] for i in range(n)]), want), width
