@@ -101,16 +101,6 @@ def x2_record_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _X3_EXCLUDE = ["user_id", "split", "outcome"]
 
 
-@register(
-    "x3_feature_text",
-    None,
-)
-def x3_feature_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = flagship(spark, sf_dir)
-    cols = [(fld.name, fld.dataType) for fld in f.schema.fields]
-    return f.select("user_id", X.feature_sentences(cols, exclude=_X3_EXCLUDE, sort_cols=True).alias("features"))
-
-
 def _x3_sql() -> str:
     # Column list and types of the flagship output (fixed schema).
     dbl = [f"{v}_{s}" for v in ("click", "view", "signup") for s in ("mean", "std", "min", "max")]
@@ -127,9 +117,11 @@ def _x3_sql() -> str:
     return f"WITH fs AS ({FLAGSHIP_SQL})\nSELECT user_id, concat_ws(' ', {parts}) AS features FROM fs"
 
 
-from wardflow.plans.registry import ORACLE  # noqa: E402
-
-ORACLE["x3_feature_text"] = _x3_sql().strip()
+@register("x3_feature_text", _x3_sql())
+def x3_feature_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = flagship(spark, sf_dir)
+    cols = [(fld.name, fld.dataType) for fld in f.schema.fields]
+    return f.select("user_id", X.feature_sentences(cols, exclude=_X3_EXCLUDE, sort_cols=True).alias("features"))
 
 
 # --- S8-S10: text lines round trip (id by regex; id<TAB>text) -------------------------------------
