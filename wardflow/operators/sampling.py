@@ -67,8 +67,7 @@ def class_balanced_sample(
     """
     if n <= 0:
         raise ValueError("n must be positive")
-    ranked = hash_rank(df, [label], key, seed, rank_col=rank_col)
-    return ranked.filter(F.col(rank_col) < n)
+    return hash_rank(df, [label], key, seed, rank_col=rank_col, max_rank=n)
 
 
 def sample_counts(df: DataFrame, label: str, n: int) -> DataFrame:
@@ -98,7 +97,7 @@ def shots_ladder(
     shots = sorted({int(s) for s in shots if int(s) > 0})
     if not shots:
         raise ValueError("shots must contain a positive value")
-    ranked = hash_rank(df, [label], key, seed, rank_col=rank_col).filter(F.col(rank_col) < shots[-1])
+    ranked = hash_rank(df, [label], key, seed, rank_col=rank_col, max_rank=shots[-1])
     ladder = F.array(*[F.lit(s) for s in shots])
     return ranked.withColumn(shots_col, F.explode(F.filter(ladder, lambda s: F.col(rank_col) < s)))
 

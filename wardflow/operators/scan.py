@@ -110,23 +110,32 @@ def hash_rank(
     *,
     rank_col: str = "rank",
     hash_col: str = "__hash",
+    max_rank: int | None = None,
 ) -> DataFrame:
     """0-based exact rank of each row inside its group in ``md5(key:seed), key`` order.
 
     Equal to ``row_number() over (partition by group order by md5(key||':'||seed),
-    key) - 1`` but computed with ``prefix_sum`` on hash bins, so a group of any
-    size is spread over many tasks. ``key_col`` must be unique within a group.
+    key) - 1`` but computed with per-bin offsets, so a group of any size is
+    spread over many tasks. ``key_col`` must be unique within a group.
+
+    With ``max_rank`` only rows of rank < max_rank are returned, and rows in hash
+    bins whose offset already reaches ``max_rank`` are dropped *before* the
+    window: a few-shot sample of n rows sorts a handful of bins per group, not
+    the whole group.
     """
     from wardflow.functions.random import hash_key
 
-    hashed = df.withColumn(hash_col, hash_key(F.col(key_col), F.lit(seed))).withColumn("__one", F.lit(1))
-    ranked = prefix_sum(
-        hashed,
-        group_cols,
-        [hash_col, key_col],
-        ["__one"],
-        hash_bin(F.col(hash_col)),
-        inclusive=False,
-        prefix="__cum",
-    )
-    return ranked.withColumnRenamed("__cum__one", rank_col).drop("__one", hash_col)
+    g = list(group_cols)
+    b = "__bin"
+    hashed = df.withColumn(hash_col, hash_key(F.col(key_col), F.lit(seed))).withColumn(b, hash_bin(F.col(hash_col)))
+    totals = hashed.groupBy(*g, b).agg(F.count(F.lit(1)).alias("__tot"))
+    w_bins = Window.partitionBy(*g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*g, b, F.coalesce(F.sum("__tot").over(w_bins), F.lit(0)).alias("__off"))
+    if max_rank is not None:
+        offsets = offsets.filter(F.col("__off") < max_rank)
+    rows = hashed.join(offsets, on=[*g, b], how="inner")
+    w_in = Window.partitionBy(*g, b).orderBy(hash_col, key_col)
+    ranked = rows.withColumn(rank_col, (F.col("__off") + F.row_number().over(w_in) - 1).cast("long"))
+    if max_rank is not None:
+        ranked = ranked.filter(F.col(rank_col) < max_rank)
+    return ranked.select(*df.columns, rank_col)
