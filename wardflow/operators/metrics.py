@@ -314,9 +314,12 @@ def summary_metrics(
     Groups with fewer than 2 rows or a single class are dropped (as the reference does).
     """
     d = clean_scored(df, label, score)
+    # both classes present <=> min(label) < max(label) (0/1 labels): a plain
+    # aggregate instead of a distinct count
+    y = F.col(label).cast("int")
     valid = d.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("__n"), F.countDistinct(F.col(label).cast("int")).alias("__k")
-    ).filter((F.col("__n") >= 2) & (F.col("__k") == 2)).select(*group_cols)
+        F.count(F.lit(1)).alias("__n"), F.min(y).alias("__lo"), F.max(y).alias("__hi")
+    ).filter((F.col("__n") >= 2) & (F.col("__lo") < F.col("__hi"))).select(*group_cols)
     boot = bootstrap_auc(d, group_cols, label, score, key, n_boot=n_boot, seed=seed, binned=binned)
     ap = average_precision_from_histogram(score_histogram(d, group_cols, label, score), group_cols)
     thr = threshold_metrics(d, group_cols, label, score, threshold=threshold)
