@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-HEAVY = {"m9_summary_metrics", "m6_percentile_ci", "m6_percentile_ci_binned", "l3_logistic", "l4_gbt",
+HEAVY = {"m6_percentile_ci_binned", "l3_logistic", "l4_gbt",
          "l6_few_shot_fit", "v4_survival_at_h", "v5_concordance"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
