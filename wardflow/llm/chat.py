@@ -80,7 +80,7 @@ def best_paths(nodes: DataFrame, tree: str, node: str, parent: str, score: str,
     for k in range(len(jumps) - 1, -1, -1):
         up = (walk.join(jumps[k].filter("up IS NOT NULL"), ["t", "n"])
               .select("t", "rank", "path_score", (F.col("position") - (1 << k)).alias("position"), F.col("up").alias("n")))
-        walk = walk.union(up)
+        walk = checkpoint(walk.union(up))
     return walk.select(F.col("t").alias("tree_key"), F.col("n").alias("node_key"), "rank", "position", "path_score")
 
 
