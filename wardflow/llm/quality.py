@@ -97,7 +97,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str,
     return [round(UNIT * (math.log(t + smoothing) - math.log(r + smoothing) - shift)) for t, r in zip(target, raw)]
 
 
-def judge(docs: DataFrame, ratios: list[int], text: str = "text", least: float = -0.25) -> DataFrame:
+def judge(docs: DataFrame, ratios: list[int], text: str = "text", least: float = -0.1) -> DataFrame:
     """Adds the base counts, ``score`` (mean log ratio per n-gram; 0 without words) and ``kept``.
 
     A document stays if the base rules do not fail it and its summed ratio is

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from wardflow.llm.chat import OP9_SQL, op9_chat_formatting
 from wardflow.llm.decontaminate import op10_decontamination
+from wardflow.llm.near import op4_near_dedup
 from wardflow.llm.quality import op3_quality_rules
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op9_chat_formatting, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_near_dedup, op9_chat_formatting, op10_decontamination)}
 ORACLE = {"op9_chat_formatting": OP9_SQL.strip()}
