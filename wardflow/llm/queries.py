@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from wardflow.llm.chat import OP9_SQL, op9_chat_formatting
 from wardflow.llm.decontaminate import op10_decontamination
+from wardflow.llm.language import op6_language_id
+from wardflow.llm.lines import OP1_SQL, op1_line_dedup
+from wardflow.llm.mixing import op7_mixing
 from wardflow.llm.near import op4_near_dedup
 from wardflow.llm.quality import op3_quality_rules
+from wardflow.llm.toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_near_dedup, op9_chat_formatting, op10_decontamination)}
-ORACLE = {"op9_chat_formatting": OP9_SQL.strip()}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_near_dedup, op6_language_id, op7_mixing,
+                                   op8_toxicity, op9_chat_formatting, op10_decontamination)}
+ORACLE = {"op1_line_dedup": OP1_SQL.strip(), "op9_chat_formatting": OP9_SQL.strip()}

@@ -72,6 +72,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # len rows + 1: words of row r are first[r]:first[r + 1]
+    prefix: np.ndarray | None = None  # words x lengths: hashes of the first bytes, 0 for a word that is no longer
 
     @property
     def row(self) -> np.ndarray:
@@ -100,10 +101,10 @@ def row_groups(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int,
         i = j
 
 
-def words(data: np.ndarray, bounds: np.ndarray, lut: np.ndarray) -> Words:
+def words(data: np.ndarray, bounds: np.ndarray, lut: np.ndarray, prefixes: tuple[int, ...] = ()) -> Words:
     """Words of the rows whose byte ranges are ``bounds[r]:bounds[r + 1]``, hashed with A-Z lower-cased."""
     lo, hi = int(bounds[0]), int(bounds[-1])
-    starts, ends, hashes = [], [], []
+    starts, ends, hashes, stems = [], [], [], []
     edges = np.unique(bounds)
     at = lo
     while at < hi:
@@ -130,14 +131,22 @@ def words(data: np.ndarray, bounds: np.ndarray, lut: np.ndarray) -> Words:
         acc = np.zeros(len(seg) + 1, dtype=U64)
         np.cumsum(BYTE_HASH[LOWER[seg]] * up[: len(seg)], out=acc[1:])
         hashes.append(mix((acc[e] - acc[s]) * down[s] + (e - s).astype(U64)))
+        if prefixes:
+            some = np.zeros((len(s), len(prefixes)), dtype=U64)
+            for k, n in enumerate(prefixes):
+                long = np.flatnonzero(e - s > n)
+                some[long, k] = mix((acc[s[long] + n] - acc[s[long]]) * down[s[long]] + U64(n), 40)
+            stems.append(some)
         starts.append(s + at)
         ends.append(e + at)
         at = to
     if not starts:
         empty = np.zeros(0, dtype=np.int64)
-        return Words(empty, empty, empty.astype(U64), np.zeros(len(bounds), dtype=np.int64))
+        return Words(empty, empty, empty.astype(U64), np.zeros(len(bounds), dtype=np.int64),
+                     np.zeros((0, len(prefixes)), dtype=U64) if prefixes else None)
     start = np.concatenate(starts)
-    return Words(start, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(start, bounds))
+    return Words(start, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(start, bounds),
+                 np.concatenate(stems) if prefixes else None)
 
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
