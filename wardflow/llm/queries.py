@@ -10,7 +10,10 @@ from wardflow.llm.mixing import op7_mixing
 from wardflow.llm.near import op4_near_dedup
 from wardflow.llm.quality import op3_quality_rules
 from wardflow.llm.toxicity import op8_toxicity
+from wardflow.llm.urls import op2_url_filter
+from wardflow.llm.warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_near_dedup, op6_language_id, op7_mixing,
-                                   op8_toxicity, op9_chat_formatting, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_quality_rules, op4_near_dedup, op5_warc,
+                                   op6_language_id, op7_mixing, op8_toxicity, op9_chat_formatting,
+                                   op10_decontamination)}
 ORACLE = {"op1_line_dedup": OP1_SQL.strip(), "op9_chat_formatting": OP9_SQL.strip()}
