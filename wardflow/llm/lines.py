@@ -198,7 +198,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
         for raw, gone in zip(column.cast(pa.binary()).to_pylist(), lose.to_pylist()):
             parts = (raw or b"").split(b"\n")
             before.append(len(parts))
-            if gone:
+            if gone and raw is not None:
                 gone = {(x["a"], x["b"]) for x in gone}
                 parts = [x for x in parts if line_digest(x, least) not in gone]
                 raw = b"\n".join(parts)

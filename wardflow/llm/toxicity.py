@@ -45,7 +45,7 @@ tú tu tus te ti usted ustedes vosotros vos
 toi ton ta tes vous votre vos
 """.split()
 # Characters that stand for letters in obfuscated words.
-STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 FEATURES = ["fixed_density", "fixed_count", "mined_density", "mined_count", "mined_best", "you_density", "you_near",
             "capitals", "shouted", "exclaims", "questions", "symbols", "obfuscated", "hidden_insults", "log_words"]
 
@@ -115,7 +115,8 @@ def features(column: pa.Array, mined: np.ndarray, strength: np.ndarray) -> np.nd
         plain = np.ascontiguousarray(to_letter[raw])
         t = W.words(raw, cut, joined)
         stands = np.concatenate([[0], np.cumsum(stand_in[raw])])
-        both = (stands[t.end] - stands[t.start] > 0) & letter[raw[np.minimum(t.start, len(raw) - 1)]] if len(raw) else np.zeros(0, bool)
+        real = np.concatenate([[0], np.cumsum(letter[raw])])
+        both = (stands[t.end] > stands[t.start]) & (real[t.end] > real[t.start])
         hidden = np.zeros(len(t.hash), dtype=bool)
         some = np.flatnonzero(both)
         if len(some):
