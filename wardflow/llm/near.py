@@ -11,10 +11,11 @@ at similarity 0.8 with probability 1.2e-7.
 Documents with the same shingle set are one class and enter with one
 representative, so groups of copies form no pairs. Inside a band bucket pairs
 are not enumerated: each round links all members to one centre, components are
-updated, and only buckets that still hold several components go on. When the
-cross-component pairs left are few, or rounds no longer shrink the buckets, all
-that are left are tested, so at the end every pair of a bucket is either in one component or has
-been compared. Candidates pass a collision-corrected Jaccard estimate (five
+updated, and only buckets that still hold several components go on. When rounds
+no longer shrink them, the members outside a bucket's largest component are
+compared with all its members in bounded blocks inside tasks, so at the end
+every pair of a bucket is either in one component or has been compared.
+Candidates pass a collision-corrected Jaccard estimate (five
 standard deviations wide) and are then confirmed on their full shingle sets.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ ROWS, BANDS, MANTISSA = 5, 40, 10
 REGISTERS = ROWS * BANDS
 #: chance that two different minima share a register: 0.17 * 2**-mantissa bits for sets of about equal size
 COLLISION = 0.17 / (1 << MANTISSA)
+#: rows of a block when all members of a bucket are compared
+BLOCK = 2048
 SKETCH = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("sig_a", T.LongType()),
                        T.StructField("sig_b", T.LongType()), T.StructField("registers", T.BinaryType())])
 
@@ -153,6 +157,48 @@ def confirm(pairs: DataFrame, nodes: DataFrame, size: int, percent: int) -> Data
     return both.select("a", "b", "r_a", "r_b", "t_a", "t_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def across_components(live: DataFrame, nodes: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the components that share a bucket, by comparing all their members.
+
+    ``live`` has the rows (key, id, component) of the buckets that hold several
+    components. A bucket's members outside its largest component meet all its
+    members, in blocks of about ``block`` by ``block`` documents, on their full
+    shingle sets inside the task. A member's first link to each component is
+    returned, so the result does not grow with the square of a bucket.
+    """
+    per = live.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    largest = per.groupBy("key").agg(F.max(F.struct("c", "component")).alias("x"), F.sum("c").alias("m")).select(
+        "key", F.col("x.component").alias("main"), F.ceil(F.col("m") / block).cast("int").alias("across"),
+        F.ceil((F.col("m") - F.col("x.c")) / block).cast("int").alias("down"))
+    rows = live.join(largest, "key").join(nodes.select("id", "text"), "id")
+    spot = lambda n: F.pmod(F.xxhash64("id", "key"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.select("key", upto("down").alias("i"), spot("across").alias("j"), F.lit(False).alias("asks"), "id", "component", "text")
+    asking = rows.filter("component <> main").select("key", spot("down").alias("i"), upto("across").alias("j"),
+                                                      F.lit(True).alias("asks"), "id", "component", "text")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        data, offsets = W.text_buffer(pa.array(group["text"], pa.large_string()))
+        h, first = W.shingle_sets(W.words(data, offsets, W.not_blank()), size)
+        asks, ids, component = group["asks"].to_numpy(), group["id"].to_numpy(), group["component"].to_numpy()
+        n = np.diff(first)
+        values, dense = np.unique(h, return_inverse=True)
+        mark = np.zeros(len(values), dtype=bool)
+        found = set()
+        for r in np.flatnonzero(asks):
+            own = dense[first[r]: first[r + 1]]
+            mark[own] = True
+            common = np.diff(np.concatenate([[0], np.cumsum(mark[dense])])[first])
+            mark[own] = False
+            linked = ~asks & (component != component[r]) & (100 * common >= percent * (n + n[r] - common))
+            for c in np.unique(component[linked]):
+                other = ids[linked & (component == c)].min()
+                found.add((min(ids[r], other), max(ids[r], other)))
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    return members.union(asking).groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable over
     links) and ``kept`` (it is that document).
@@ -186,19 +232,16 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
         named = live.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
             "key", "id", F.coalesce("component", "id").alias("component"))
         per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        mixed = per.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq")).filter("m * m > sq")
+        mixed = per.groupBy("key").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
         live_named = checkpoint(named.join(mixed.select("key"), "key"))
-        left = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-        if not left["rows"]:
+        rows = mixed.agg(F.sum("m")).first()[0]
+        if not rows:
             break
-        if left["pairs"] <= 2 * left["rows"] or rows_before is not None and left["rows"] > 0.8 * rows_before:
-            other = live_named.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
-            pairs = (live_named.join(other, "key").filter("component < component2")
-                     .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
-            links = checkpoint(links.union(confirm(pairs, nodes, size, percent)))
+        if rows_before is not None and rows > 0.8 * rows_before:
+            links = checkpoint(links.union(across_components(live_named, nodes, size, percent)))
             labels = components(links)
             break
-        turn, rows_before = turn + 1, left["rows"]
+        turn, rows_before = turn + 1, rows
         centres = live_named.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("centre"))
         starred = checkpoint(live_named.join(centres, "key"))
         centre_of = live_named.select("key", F.col("id").alias("centre"), F.col("component").alias("component2"))
