@@ -6,6 +6,7 @@ from wardflow.operators.metrics import (
     bootstrap_auc,
     roc_points,
     score_histogram,
+    summary_metrics,
     threshold_metrics,
 )
 
@@ -113,3 +114,27 @@ def test_bootstrap_blocks_exact_with_ties_across_chunks(spark):
     dist = small.agg(F.avg("__auc").alias("m"), F.count(F.lit(1)).alias("n")).first()
     assert dist.n == sql["g"].n_boot_used
     assert abs(dist.m - sql["g"].auc_mean) < 1e-9
+
+
+def test_string_ids_null_groups_and_split_ties(spark):
+    rnd = random.Random(4)
+    rows = [(a, b, f"mimic_{i}", rnd.randint(0, 1), rnd.choice([0.0, 0.0, 0.5, 1.0]))
+            for a, b in ((None, "a"), ("a", None), ("a", "a"), (None, None)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, h string, id string, y int, p double").repartition(4)
+    key = lambda r: (r.g, r.h)
+    blocks = {key(r): r for r in bootstrap_auc(df, ["g", "h"], "y", "p", "id", n_boot=30).collect()}
+    sql = {key(r): r for r in bootstrap_auc(df, ["g", "h"], "y", "p", "id", n_boot=30, method="sql").collect()}
+    assert set(blocks) == set(sql) == {(None, "a"), ("a", None), ("a", "a"), (None, None)}
+    for k, r in blocks.items():
+        assert r.auc_std > 0 and abs(r.auc_mean - sql[k].auc_mean) < 1e-12 and abs(r.auc_std - sql[k].auc_std) < 1e-12
+    both = {key(r): r.AUC for r in summary_metrics(df, ["g", "h"], "y", "p", "id", n_boot=10).collect()}
+    assert set(both) == set(blocks)
+
+
+def test_infinite_scores_are_ordered(spark):
+    rows = [("g", i, int(i > 4), s) for i, s in enumerate([float("-inf"), -1.0, 0.0, float("inf"), 2.0, 1e300, float("inf"), 3.0])]
+    df = spark.createDataFrame(rows, "g string, id long, y int, p double")
+    ys, ps = [r[2] for r in rows], [r[3] for r in rows]
+    assert abs(auc(df, ["g"], "y", "p").first().auc - brute_auc(ys, ps)) < 1e-12
+    ap = average_precision_from_histogram(score_histogram(df, ["g"], "y", "p"), ["g"]).first().ap
+    assert abs(ap - brute_ap(ys, ps)) < 1e-12

@@ -28,3 +28,10 @@ def test_fold_block_is_ordered_and_bounded(spark):
     df = spark.createDataFrame([(i, "g", f"<{i}>") for i in range(6)], "k long, g string, x string")
     r = fold_block(df, ["g"], "k", "x").first()
     assert r.n_examples == 6 and sorted(r.block.replace(">", "> ").split()) == sorted(f"<{i}>" for i in range(6))
+
+
+def test_rows_without_a_stratum_are_split_too(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else f"s{i % 2}") for i in range(100)], "id long, g string")
+    got = stratified_split(df, "id", "g").groupBy("g", "split").count().collect()
+    assert {(r.g, r.split): r["count"] for r in got} == {
+        (None, "train"): 16, (None, "test"): 4, ("s0", "train"): 32, ("s0", "test"): 8, ("s1", "train"): 32, ("s1", "test"): 8}

@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardflow.functions.random import mixed_uniform, poisson_weight, uniform
-from wardflow.operators.scan import float_bin, prefix_sum
+from wardflow.functions.random import key_bits, mixed_uniform, poisson_weight
+from wardflow.operators.scan import float_bin, join_groups, prefix_sum
 
 SCORE = "score"
 
@@ -96,7 +96,7 @@ def roc_points(df: DataFrame, group_cols: Sequence[str], label: str, score: str)
     hist = score_histogram(df, group_cols, label, score)
     h = prefix_sum(hist, group_cols, [SCORE], ["pos", "neg"], float_bin(SCORE), descending=True, prefix="c_")
     tot = hist.groupBy(*group_cols).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
-    pts = h.join(tot, on=list(group_cols), how="inner").select(
+    pts = join_groups(h, tot, list(group_cols)).select(
         *group_cols,
         F.col(SCORE).alias("threshold"),
         F.when(F.col("__N") > 0, F.col("c_neg") / F.col("__N")).alias("fpr"),
@@ -143,21 +143,9 @@ def threshold_metrics(
     )
 
 
-def _poisson_of_mean(u: Column, u2: Column, mean: Column, small_limit: float = 200.0) -> Column:
-    """Poisson(mean) draw from uniforms: exact inverse CDF up to ``small_limit``,
-    rounded normal approximation beyond."""
-    kmax = F.ceil(mean + 12.0 * F.sqrt(mean) + 12.0).cast("int")
-    init = F.struct(F.exp(-mean).alias("pmf"), F.exp(-mean).alias("cdf"), F.lit(0).alias("n"))
-
-    def step(acc: Column, k: Column) -> Column:
-        pmf = acc["pmf"] * mean / (k + 1)
-        return F.struct(pmf.alias("pmf"), (acc["cdf"] + pmf).alias("cdf"),
-                        (acc["n"] + F.when(acc["cdf"] < u, 1).otherwise(0)).alias("n"))
-
-    exact = F.aggregate(F.sequence(F.lit(0), kmax), init, step)["n"]
-    z = F.sqrt(-2.0 * F.log(F.greatest(u, F.lit(1e-300)))) * F.cos(2.0 * 3.141592653589793 * u2)
-    approx = F.greatest(F.round(mean + F.sqrt(mean) * z), F.lit(0.0)).cast("int")
-    return F.when(mean <= small_limit, exact).otherwise(approx)
+# A cell of c rows is the sum of c // CELL_DRAW Poisson(CELL_DRAW) draws and
+# c % CELL_DRAW Poisson(1) draws: exact for every c.
+CELL_DRAW = 32
 
 
 def bootstrap_auc(
@@ -179,10 +167,9 @@ def bootstrap_auc(
     interpolation) and ``n_boot_used`` (replicates with both classes; the rest
     are skipped as in the reference).
 
-    Resampling is a Poisson(1) bootstrap: replicate r gives row ``key`` (an
-    integer) the weight Poisson(1) drawn from ``mixed_uniform(key, r, seed)`` -
-    reproducible, no shuffle
-    of rows, and each replicate is reduced to a weighted score histogram right
+    Resampling is a Poisson(1) bootstrap: replicate r gives row ``key`` (an id
+    of any type) the weight Poisson(1) drawn from ``mixed_uniform(key_bits(key),
+    r, seed)`` - reproducible, no shuffle of rows, and each replicate is reduced to a weighted score histogram right
     after the (map-side) expansion. The reference draws exactly n rows with
     replacement; Poisson weights draw n on average, so intervals agree in
     distribution, not in digits.
@@ -193,17 +180,19 @@ def bootstrap_auc(
     replicates as DataFrame rows. Both use the same weights and give the same
     numbers (the SQL form is the oracle's).
 
-    ``binned=True`` first collapses rows to (score, label) counts c and draws
-    one Poisson(c) weight per bin and replicate (the sum of c Poisson(1)), so
-    the cost grows with distinct scores, not rows.
+    ``binned=True`` first collapses rows to (score, label) counts c and draws a
+    Poisson(c) weight per cell and replicate as a sum of exact draws for
+    ``CELL_DRAW`` rows or one, so the cost grows with rows / ``CELL_DRAW``.
+
+    Null group keys are groups of their own.
     """
     if method not in ("blocks", "sql"):
         raise ValueError("method must be 'blocks' or 'sql'")
     names = list(group_cols)
     # one 64-bit id replaces the (possibly string) group keys on the B-fold data
-    gid = F.xxhash64(*[F.col(c) for c in names]) if names else F.lit(0).cast("long")
+    gid = F.xxhash64(*[x for c in names for x in (F.col(c), F.col(c).isNull())]) if names else F.lit(0).cast("long")
     base = clean_scored(df, label, score).withColumn("__gid", gid)
-    group_names = base.groupBy("__gid").agg(*[F.first(c).alias(c) for c in names])
+    group_names = base.groupBy("__gid").agg(F.lit(1).alias("__named"), *[F.first(c).alias(c) for c in names])
     base = base.drop(*names)
     group_cols = ["__gid"]
     point = auc(base, group_cols, label, score)
@@ -212,21 +201,15 @@ def bootstrap_auc(
             F.count(F.lit(1)).cast("double").alias("__c")
         )
         cell_key = [F.col(g) for g in group_cols] + [F.col(SCORE), F.col("__y")]
-        draws = F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(n_boot - 1)),
-                lambda r: F.struct(
-                    r.alias("rep"),
-                    uniform(*cell_key, r, F.lit(seed)).alias("u"),
-                    uniform(*cell_key, r, F.lit(seed), F.lit("z")).alias("u2"),
-                ),
-            )
-        ).alias("__d")
-        grid = cells.select("*", draws).select(
-            *cells.columns, F.col("__d.rep").alias("rep"), F.col("__d.u").alias("__u"), F.col("__d.u2").alias("__u2")
-        )
-        w = _poisson_of_mean(F.col("__u"), F.col("__u2"), F.col("__c"))
-        weighted = grid.withColumn("__w", w.cast("double")).filter(F.col("__w") > 0)
+        # one row per draw of a cell and replicate
+        full, rest = F.floor(F.col("__c") / CELL_DRAW).cast("int"), (F.col("__c") % CELL_DRAW).cast("int")
+        pieces = cells.withColumn("__full", full).select(
+            "*", F.explode(F.sequence(F.lit(0), full + rest - 1)).alias("__part"))
+        pieces = pieces.withColumn("__bits", key_bits(F.concat_ws(":", *[c.cast("string") for c in cell_key], F.col("__part"))))
+        grid = pieces.repartition("__bits").select(*pieces.columns, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+        grid = grid.withColumn("__u", mixed_uniform(F.col("__bits"), F.col("rep"), seed))
+        draw = F.when(F.col("__part") < F.col("__full"), poisson_weight(F.col("__u"), float(CELL_DRAW))).otherwise(poisson_weight(F.col("__u")))
+        weighted = grid.withColumn("__w", draw.cast("double")).filter(F.col("__w") > 0)
         hist = weighted.groupBy(*group_cols, "rep", SCORE).agg(
             F.sum(F.col("__w") * F.col("__y")).alias("pos"),
             F.sum(F.col("__w") * (F.lit(1.0) - F.col("__y"))).alias("neg"),
@@ -239,8 +222,9 @@ def bootstrap_auc(
         # against n*B rows of work): a small or single-file input would
         # otherwise expand and aggregate in one task.
         parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        grid = base.repartition(parts, F.col(key)).select(*group_cols, key, label, score, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-        grid = grid.withColumn("__u", mixed_uniform(F.col(key), F.col("rep"), seed))
+        grid = base.withColumn("__bits", key_bits(F.col(key))).repartition(parts, F.col("__bits")).select(
+            *group_cols, "__bits", label, score, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+        grid = grid.withColumn("__u", mixed_uniform(F.col("__bits"), F.col("rep"), seed))
         weighted = grid.withColumn("__w", poisson_weight(F.col("__u")).cast("double"))
         hist = score_histogram(weighted, [*group_cols, "rep"], label, score, weight=F.col("__w"))
     if binned or method == "sql":
@@ -270,8 +254,7 @@ def bootstrap_auc(
     for p_ in parts[1:]:
         stacked = stacked.unionByName(p_, allowMissingColumns=True)
     out = stacked.groupBy("__gid").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in names + stats],
-        F.max(F.when(F.col(names[0]).isNotNull() if names else F.lit(True), F.lit(1))).alias("__named"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in names + stats], F.max("__named").alias("__named"),
     )
     return out.filter(F.col("__named").isNotNull()).select(
         *names, *stats[:-1], F.coalesce(F.col("n_boot_used"), F.lit(0)).alias("n_boot_used"),
@@ -325,9 +308,7 @@ def summary_metrics(
     thr = threshold_metrics(d, group_cols, label, score, threshold=threshold)
     g = list(group_cols)
     return (
-        valid.join(boot, g, "inner")
-        .join(ap, g, "inner")
-        .join(thr, g, "inner")
+        join_groups(join_groups(join_groups(valid, boot, g), ap, g), thr, g)
         .select(
             *g,
             F.col("auc").alias("AUC"),

@@ -34,21 +34,16 @@ def stratified_split(
 
     ``df`` has one row per entity. In each stratum of n entities exactly
     ``round(train_frac * n)`` get ``train``: those first in ``md5(entity:seed)``
-    order. The rank is exact and distributed (``hash_rank``); the stratum sizes
-    come from a grouped count.
+    order. Rank and stratum size are exact and distributed (``hash_rank``). A null
+    stratum is a stratum of its own, as in the reference.
     """
-    ranked = hash_rank(df, [stratum], entity, seed, rank_col="__rank")
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
-    return (
-        ranked.join(sizes, on=stratum, how="inner")
-        .withColumn(
-            out,
-            F.when(F.col("__rank") < F.round(F.lit(train_frac) * F.col("__n")), F.lit(train_label)).otherwise(
-                F.lit(test_label)
-            ),
-        )
-        .drop("__rank", "__n")
-    )
+    ranked = hash_rank(df, [stratum], entity, seed, rank_col="__rank", size_col="__n")
+    return ranked.withColumn(
+        out,
+        F.when(F.col("__rank") < F.round(F.lit(train_frac) * F.col("__n")), F.lit(train_label)).otherwise(
+            F.lit(test_label)
+        ),
+    ).drop("__rank", "__n")
 
 
 def class_balanced_sample(

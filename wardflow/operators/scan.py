@@ -12,7 +12,7 @@ The helpers here compute the same running totals in two levels:
    offset is added back with an equi-join on (group, bin).
 
 The result is identical to the single window (it is the same sum, split at bin
-boundaries). Group keys must not be null.
+boundaries). A null group key is a group of its own.
 """
 
 from __future__ import annotations
@@ -40,7 +40,30 @@ def float_bin(x: Column | str, per_octave: int = BINS_PER_OCTAVE) -> Column:
     e = F.floor(F.log2(a))
     m = a / F.pow(F.lit(2.0), e) - 1.0
     code = (e + _EXP_OFFSET) * per_octave + F.floor(m * per_octave)
-    return F.when(x > 0, code).when(x < 0, -code).otherwise(F.lit(0)).cast("long")
+    end = F.lit(4 * _EXP_OFFSET * per_octave)  # beyond every finite double
+    infinite = a == F.lit(float("inf"))
+    return (F.when(infinite & (x > 0), end).when(infinite, -end)
+            .when(x > 0, code).when(x < 0, -code).otherwise(F.lit(0)).cast("long"))
+
+
+def null_safe_keys(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Adds non-null key columns that are equal exactly where ``cols`` are (null equals null).
+
+    Joins and windows on them keep one hash partitioning, which a ``<=>`` join would not.
+    """
+    names = [f"__{part}{i}" for i in range(len(cols)) for part in ("k", "z")]
+    keys = [k for c in cols for k in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull())]
+    return df.select("*", *[k.alias(n) for n, k in zip(names, keys)]), names
+
+
+def join_groups(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two per-group tables on ``cols``, null matching null."""
+    other = right.select(*[F.col(c).alias(f"__r_{c}") if c in cols else F.col(c) for c in right.columns])
+    on = None
+    for c in cols:
+        same = F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+        on = same if on is None else on & same
+    return left.join(other, on, how).drop(*[f"__r_{c}" for c in cols])
 
 
 def hash_bin(hex_col: Column | str, digits: int = 4) -> Column:
@@ -71,9 +94,9 @@ def prefix_sum(
     duplicates the running sum follows an arbitrary but fixed order among them.
     ``inclusive=False`` gives the sum over strictly earlier rows.
     """
-    group_cols = list(group_cols)
     b = "__bin"
-    binned = df.withColumn(b, bin_col)
+    binned, group_cols = null_safe_keys(df, list(group_cols))
+    binned = binned.withColumn(b, bin_col)
     totals = binned.groupBy(*group_cols, b).agg(*[F.sum(v).alias(f"__tot_{v}") for v in value_cols])
     bin_w = (
         Window.partitionBy(*group_cols)
@@ -111,6 +134,7 @@ def hash_rank(
     rank_col: str = "rank",
     hash_col: str = "__hash",
     max_rank: int | None = None,
+    size_col: str | None = None,
 ) -> DataFrame:
     """0-based exact rank of each row inside its group in ``md5(key:seed), key`` order.
 
@@ -121,16 +145,18 @@ def hash_rank(
     With ``max_rank`` only rows of rank < max_rank are returned, and rows in hash
     bins whose offset already reaches ``max_rank`` are dropped *before* the
     window: a few-shot sample of n rows sorts a handful of bins per group, not
-    the whole group.
+    the whole group. ``size_col`` adds the size of the row's group (from the bin
+    totals, without another pass).
     """
     from wardflow.functions.random import hash_key
 
-    g = list(group_cols)
     b = "__bin"
-    hashed = df.withColumn(hash_col, hash_key(F.col(key_col), F.lit(seed))).withColumn(b, hash_bin(F.col(hash_col)))
+    keyed, g = null_safe_keys(df, list(group_cols))
+    hashed = keyed.withColumn(hash_col, hash_key(F.col(key_col), F.lit(seed))).withColumn(b, hash_bin(F.col(hash_col)))
     totals = hashed.groupBy(*g, b).agg(F.count(F.lit(1)).alias("__tot"))
     w_bins = Window.partitionBy(*g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*g, b, F.coalesce(F.sum("__tot").over(w_bins), F.lit(0)).alias("__off"))
+    offsets = totals.select(*g, b, F.coalesce(F.sum("__tot").over(w_bins), F.lit(0)).alias("__off"),
+                            F.sum("__tot").over(Window.partitionBy(*g)).alias(size_col or "__size"))
     if max_rank is not None:
         offsets = offsets.filter(F.col("__off") < max_rank)
     rows = hashed.join(offsets, on=[*g, b], how="inner")
@@ -138,4 +164,4 @@ def hash_rank(
     ranked = rows.withColumn(rank_col, (F.col("__off") + F.row_number().over(w_in) - 1).cast("long"))
     if max_rank is not None:
         ranked = ranked.filter(F.col(rank_col) < max_rank)
-    return ranked.select(*df.columns, rank_col)
+    return ranked.select(*df.columns, rank_col, *([size_col] if size_col else []))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardflow.functions.labels import model_label, model_label_sql
-from wardflow.functions.random import mixed_uniform_sql, poisson_weight_sql
+from wardflow.functions.random import key_bits_sql, mixed_uniform_sql, poisson_weight_sql
 from wardflow.operators.metrics import (
     auc,
     average_precision_from_histogram,
@@ -210,10 +210,10 @@ def m4_threshold_metrics_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_sql(pred_sql: str, group: str, key: str, n_boot: int, seed: int = 42, extra_select: str = "") -> str:
     """DuckDB form of ``bootstrap_auc`` (row-level Poisson weights from md5)."""
-    u = mixed_uniform_sql(key, "rep", seed)
+    u = mixed_uniform_sql("bits", "rep", seed)
     return f"""
 WITH {pred_sql},
-base AS (SELECT * FROM pred WHERE label IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)),
+base AS (SELECT *, {key_bits_sql(key)} AS bits FROM pred WHERE label IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)),
 {_hist_sql(group).replace("FROM pred WHERE label IS NOT NULL AND score IS NOT NULL", "FROM base")},
 pt AS ({_auc_sql(group)}),
 w AS (SELECT b.*, r.range AS rep, {poisson_weight_sql(u)} AS wt FROM base b CROSS JOIN range(0, {n_boot}) r),
@@ -236,6 +236,29 @@ def m5_bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return double_round(bootstrap_auc(p, ["lang"], "label", "score", "doc_id", n_boot=100, seed=42))
 
 
+@register(
+    "m5_bootstrap_string_id",
+    bootstrap_sql(DOC_PRED_SQL.replace("SELECT d.doc_id", "SELECT 'doc_' || d.doc_id AS sid, d.doc_id"), "lang", "sid", 50, seed=7))
+def m5_bootstrap_string_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 with the string ids of the predictions schema."""
+    p = doc_predictions(spark, sf_dir).withColumn("sid", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
+    return double_round(bootstrap_auc(p, ["lang"], "label", "score", "sid", n_boot=50, seed=7))
+
+
+_LINE_ID = "l_orderkey || ':' || l_linenumber || ':' || l_partkey"
+
+
+@register(
+    "m5_bootstrap_ties",
+    bootstrap_sql(LINE_PRED_SQL.replace("SELECT l_linestatus", f"SELECT {_LINE_ID} AS id, l_linestatus"), "l_linestatus", "id", 20))
+def m5_bootstrap_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 where a few scores are shared by all rows (each spread over several tasks)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    p = li.select("l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_discount").alias("score"),
+                  F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey").alias("id"))
+    return double_round(bootstrap_auc(p, ["l_linestatus"], "label", "score", "id", n_boot=20, seed=42))
+
+
 @register("m6_percentile_ci", bootstrap_sql(DOC_PRED_SQL, "lang", "doc_id", 1000))
 def m6_percentile_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = doc_predictions(spark, sf_dir)
