@@ -65,20 +65,21 @@ def best_paths(nodes: DataFrame, tree: str, node: str, parent: str, score: str,
         if not still or still == open_before:
             break
         open_before = still
-        jumps.append(state.select("t", "n", "up"))
+        jumps.append(state.filter("up IS NOT NULL").select("t", "n", "up"))
         above = state.select("t", F.col("n").alias("up"), F.col("up").alias("up2"),
                              F.col("total").alias("total2"), F.col("hops").alias("hops2"))
-        state = checkpoint(state.join(above, ["t", "up"], "left").select(
-            "t", "n", F.col("up2").alias("up"),
-            (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-            (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops")))
+        # nodes that have reached their root stay as they are
+        risen = state.filter("up IS NOT NULL").join(above, ["t", "up"]).select(
+            "t", "n", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"),
+            (F.col("hops") + F.col("hops2")).alias("hops"))
+        state = checkpoint(state.filter("up IS NULL").union(risen))
 
     ends = state.filter("up IS NULL").join(leaves, ["t", "n"], "left_semi")
     order = Window.partitionBy("t").orderBy(F.desc("total"), F.desc("hops"), "n")
     walk = (ends.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_tree)
             .select("t", "rank", F.col("total").alias("path_score"), (F.col("hops") - 1).alias("position"), "n"))
     for k in range(len(jumps) - 1, -1, -1):
-        up = (walk.join(jumps[k].filter("up IS NOT NULL"), ["t", "n"])
+        up = (walk.join(jumps[k], ["t", "n"])
               .select("t", "rank", "path_score", (F.col("position") - (1 << k)).alias("position"), F.col("up").alias("n")))
         walk = checkpoint(walk.union(up))
     return walk.select(F.col("t").alias("tree_key"), F.col("n").alias("node_key"), "rank", "position", "path_score")
