@@ -2,25 +2,30 @@
 a ridge-penalised Cox proportional-hazards fit, survival at a horizon, hazard
 ratios and cohort summaries.
 
-The Cox fit is Newton's method on the Breslow partial likelihood. One step is
-one Spark job: rows are reduced to one row per distinct time (sums of
-``w = exp(x.b)``, ``w x`` and ``w x x'``), risk-set totals are reverse running
-sums over time (two-level ``prefix_sum``, so many distinct times are fine), and
-only the gradient (p values) and Hessian (p x p) reach the driver, where the
-p x p system is solved. Covariates are standardised first (stable ``exp``);
+The Cox fit is Newton's method on the Breslow partial likelihood. A step has
+two passes. The first sums ``w = exp(x.b)`` and ``w x`` per distinct time; the
+two-level ``prefix_sum`` turns them into risk-set totals R0 and R1 and the
+cumulative hazard H(t). The second uses that the sum over event times of
+``d R2 / R0`` is the sum over rows of ``w H(T) x x'``: each task reduces its rows
+to one p x p matrix, so no p x p value per time or row exists, and p can be in
+the hundreds with as many distinct times as rows. Only the summed gradient and
+Hessian reach the driver. Covariates are standardised first (stable ``exp``);
 coefficients are reported on the original scale. Ties follow Breslow and the
 penalty is ``penalizer / 2 * |b|^2`` on the standardised scale added to the
 mean negative log-likelihood, so digits differ from libraries using Efron ties.
+A missing covariate counts as 0 everywhere: in the fit, in the baseline hazard
+and in scoring.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,60 +71,84 @@ class CoxModel:
     def linear_predictor(self, df_cols: Sequence[Column] | None = None) -> Column:
         """x.b on the standardised scale (the scale the baseline hazard refers to)."""
         terms = [
-            ((F.col(c) - F.lit(float(m))) / F.lit(float(s))) * F.lit(float(b))
+            ((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(float(m))) / F.lit(float(s))) * F.lit(float(b))
             for c, m, s, b in zip(self.covariates, self.mean, self.scale, self.beta_std)
         ]
         return sum(terms, F.lit(0.0))
 
 
-def _time_table(data: DataFrame, xs: list[str], beta: np.ndarray, duration: str, event: str) -> DataFrame:
-    """Per distinct time: S0, S1, S2 of the rows ending there, event count and event x-sums."""
-    eta = sum((F.col(x) * F.lit(float(b)) for x, b in zip(xs, beta)), F.lit(0.0))
-    w = F.exp(eta)
-    e = F.col(event).cast("double")
-    aggs = [F.sum(w).alias("s0"), F.sum(e).alias("d"), F.sum(e * eta).alias("e_eta")]
-    p = len(xs)
-    aggs += [F.sum(w * F.col(xs[i])).alias(f"s1_{i}") for i in range(p)]
-    aggs += [F.sum(e * F.col(xs[i])).alias(f"ex_{i}") for i in range(p)]
-    aggs += [F.sum(w * F.col(xs[i]) * F.col(xs[j])).alias(f"s2_{i}_{j}") for i in range(p) for j in range(i, p)]
-    return data.groupBy(F.col(duration).alias("__t")).agg(*aggs).withColumn("__g", F.lit(0))
-
-
-# Distinct-time tables up to this many rows are scanned with one window (they
-# are aggregates, one row per distinct time); larger ones use the two-level scan.
-SINGLE_WINDOW_MAX_TIMES = 1_000_000
-
-
-def _risk_sets(times: DataFrame, p: int, *, single_window: bool = False) -> DataFrame:
-    """Reverse running sums over time: risk-set totals R0, R1, R2 at each time (T >= t)."""
-    cols = ["s0"] + [f"s1_{i}" for i in range(p)] + [f"s2_{i}_{j}" for i in range(p) for j in range(i, p)]
-    if single_window:
-        w = Window.partitionBy("__g").orderBy(F.col("__t").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        return times.select("*", *[F.sum(c).over(w).alias(f"r_{c}") for c in cols])
-    return prefix_sum(times, ["__g"], ["__t"], cols, float_bin("__t"), descending=True, inclusive=True, prefix="r_")
-
-
-def _step_sums(data: DataFrame, xs: list[str], beta: np.ndarray, duration: str, event: str,
-               single_window: bool = False):
-    p = len(xs)
-    rs = _risk_sets(_time_table(data, xs, beta, duration, event), p, single_window=single_window).filter(
-        F.col("d") > 0)
-    aggs = [F.sum("e_eta").alias("e_eta"), F.sum(F.col("d") * F.log("r_s0")).alias("dlog"), F.sum("d").alias("d")]
-    aggs += [F.sum(f"ex_{i}").alias(f"ex_{i}") for i in range(p)]
-    aggs += [F.sum(F.col("d") * F.col(f"r_s1_{i}") / F.col("r_s0")).alias(f"m1_{i}") for i in range(p)]
-    aggs += [
-        F.sum(F.col("d") * (F.col(f"r_s2_{i}_{j}") / F.col("r_s0")
-                            - F.col(f"r_s1_{i}") * F.col(f"r_s1_{j}") / (F.col("r_s0") * F.col("r_s0")))).alias(f"h_{i}_{j}")
-        for i in range(p) for j in range(i, p)
-    ]
-    row = rs.agg(*aggs).collect()[0]
-    ll = (row["e_eta"] or 0.0) - (row["dlog"] or 0.0)
-    grad = np.array([(row[f"ex_{i}"] or 0.0) - (row[f"m1_{i}"] or 0.0) for i in range(p)])
-    info = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            info[i, j] = info[j, i] = row[f"h_{i}_{j}"] or 0.0
-    return ll, grad, info, row["d"] or 0.0
+def _summed_arrays(batches: Iterator[pa.RecordBatch], width: int, fn) -> Iterator[pa.RecordBatch]:
+    """One row with the sum of the vectors that ``fn`` gives for the batches of a task."""
+    total = np.zeros(width)
+    for b in batches:
+        if b.num_rows:
+            total += fn(b)
+    yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
+
+
+def _total(df: DataFrame, width: int, fn) -> np.ndarray:
+    """Sum over all rows of the vectors that ``fn`` gives per batch; ``width`` numbers reach the driver."""
+    parts = df.mapInArrow(lambda it: _summed_arrays(it, width, fn), "v array<double>")
+    out = np.zeros(width)
+    for r in parts.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+        out[r["i"]] = r["x"]
+    return out
+
+
+def _matrix(column: pa.Array, p: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+
+
+def _time_table(data: DataFrame, beta: np.ndarray) -> DataFrame:
+    """Per distinct time: S0, S1 of the rows ending there and the number of events."""
+    p = len(beta)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t, e, x = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64), _matrix(b.column(2), p)
+            w = np.exp(x @ beta)
+            times, of = np.unique(t, return_inverse=True)
+            s1 = np.zeros((len(times), p))
+            np.add.at(s1, of, w[:, None] * x)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(times), pa.array(np.bincount(of, w)), pa.array(np.bincount(of, e)), pa.array(list(s1), pa.list_(pa.float64()))],
+                names=["__t", "s0", "d", "s1"])
+
+    parts = data.select("t", "e", "x").mapInArrow(run, "__t double, s0 double, d double, s1 array<double>")
+    sums = [F.sum(F.col("s1")[i]).alias(f"s1_{i}") for i in range(p)]
+    return parts.groupBy("__t").agg(F.sum("s0").alias("s0"), F.sum("d").alias("d"), *sums).withColumn("__g", F.lit(0))
+
+
+def _step_sums(data: DataFrame, beta: np.ndarray):
+    """Log-likelihood, gradient, information and number of events at ``beta``."""
+    p = len(beta)
+    cols = ["s0"] + [f"s1_{i}" for i in range(p)]
+    risk = prefix_sum(_time_table(data, beta), ["__g"], ["__t"], cols, float_bin("__t"), descending=True, prefix="r_")
+    risk = risk.select("__g", "__t", "d", "r_s0", F.array(*[f"r_s1_{i}" for i in range(p)]).alias("r1")).persist()
+    try:
+        def at_times(b: pa.RecordBatch) -> np.ndarray:
+            d, r0, r1 = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), p)
+            m = r1 / r0[:, None]
+            return np.concatenate([[(d * np.log(r0)).sum(), d.sum()], ((d[:, None] * m).T @ m).ravel()])
+
+        times = _total(risk.filter("d > 0").select("d", "r_s0", "r1"), 2 + p * p, at_times)
+        steps = risk.withColumn("h", F.col("d") / F.col("r_s0"))
+        hazard = prefix_sum(steps, ["__g"], ["__t"], ["h"], float_bin("__t"), prefix="H_").select(
+            F.col("__t").alias("t"), F.col("H_h").alias("hazard"))
+
+        def at_rows(b: pa.RecordBatch) -> np.ndarray:
+            e, x, h = b.column(0).to_numpy(zero_copy_only=False).astype(np.float64), _matrix(b.column(1), p), b.column(2).to_numpy()
+            eta = x @ beta
+            v = np.exp(eta) * h
+            return np.concatenate([[(e * eta).sum()], x.T @ (e - v), ((v[:, None] * x).T @ x).ravel()])
+
+        rows = _total(data.join(hazard, "t").select("e", "x", "hazard"), 1 + p + p * p, at_rows)
+    finally:
+        risk.unpersist()
+    info = rows[1 + p:].reshape(p, p) - times[2:].reshape(p, p)
+    return rows[0] - times[0], rows[1: 1 + p], (info + info.T) / 2, times[1]
 
 
 def fit_cox(
@@ -135,33 +164,28 @@ def fit_cox(
     """V3: ridge-penalised Cox PH fit (Breslow ties) by Newton steps on Spark."""
     xs = list(covariates)
     base = valid_durations(df, duration).filter(F.col(event).isNotNull()).select(
-        F.col(duration).cast("double").alias(duration), F.col(event).cast("boolean").alias(event),
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in xs],
+        F.col(duration).cast("double").alias("t"), F.col(event).cast("boolean").alias("e"),
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(xs)],
     )
-    stats = base.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(duration).alias("__nt"),
-                     *[F.avg(c).alias(f"m_{c}") for c in xs], *[F.stddev_pop(c).alias(f"s_{c}") for c in xs]).collect()[0]
-    # size check (like a broadcast threshold): few distinct times -> one window
-    single = int(stats["__nt"]) <= SINGLE_WINDOW_MAX_TIMES // 2
+    stats = base.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"m_{i}") for i in range(len(xs))],
+                     *[F.stddev_pop(f"x{i}").alias(f"s_{i}") for i in range(len(xs))]).collect()[0]
     n = int(stats["n"])
-    mean = np.array([stats[f"m_{c}"] or 0.0 for c in xs])
-    scale = np.array([(stats[f"s_{c}"] or 0.0) or 1.0 for c in xs])
-    std = base.select(
-        duration, event, *[((F.col(c) - F.lit(float(m))) / F.lit(float(s))).alias(c) for c, m, s in zip(xs, mean, scale)]
-    ).persist()
+    mean = np.array([stats[f"m_{i}"] or 0.0 for i in range(len(xs))])
+    scale = np.array([(stats[f"s_{i}"] or 0.0) or 1.0 for i in range(len(xs))])
+    std = base.select("t", "e", F.array(
+        *[(F.col(f"x{i}") - F.lit(float(m))) / F.lit(float(s)) for i, (m, s) in enumerate(zip(mean, scale))]).alias("x")).persist()
     beta = np.zeros(len(xs))
     converged, it, ll, info, n_events = False, 0, float("nan"), np.eye(len(xs)), 0.0
     try:
         for it in range(1, max_iter + 1):
-            ll, grad, info, n_events = _step_sums(std, xs, beta, duration, event, single)
+            ll, grad, info, n_events = _step_sums(std, beta)
             # penalised mean objective: ll/n - penalizer/2 |b|^2
-            g = grad / n - penalizer * beta
-            h = info / n + penalizer * np.eye(len(xs))
-            step = np.linalg.solve(h, g)
+            step = np.linalg.solve(info / n + penalizer * np.eye(len(xs)), grad / n - penalizer * beta)
             beta = beta + step
             if np.max(np.abs(step)) < tol:
                 converged = True
                 break
-        ll, grad, info, n_events = _step_sums(std, xs, beta, duration, event, single)
+        ll, grad, info, n_events = _step_sums(std, beta)
     finally:
         std.unpersist()
     cov = np.linalg.inv(info + n * penalizer * np.eye(len(xs)))
@@ -215,20 +239,21 @@ def survival_at(df: DataFrame, model: CoxModel, duration: str, event: str, horiz
     return df.withColumn(out, F.least(F.greatest(risk, F.lit(0.0)), F.lit(1.0)))
 
 
-def concordance(df: DataFrame, duration: str, event: str, risk: str, *, levels: int | None = None) -> DataFrame:
+def concordance(df: DataFrame, duration: str, event: str, risk: str) -> DataFrame:
     """V5: Harrell's concordance index, exact, without forming row pairs.
 
-    Comparable pairs are (i, j) with an event at T_i and T_j > T_i; a pair is
-    concordant when risk_i > risk_j and counts 1/2 when the risks are equal.
-
-    Times are replaced by their dense rank tau. For tau_j > tau_i there is exactly
-    one bit level l where the higher bits agree, tau_i has 0 and tau_j has 1.
-    So every row is a *data* row at the levels where its bit is 1 and every
-    event row a *query* at the levels where its bit is 0, keyed by
-    (l, tau >> (l + 1)). Inside a key, "data rows with lower risk" is a running
-    count in risk order (two-level ``prefix_sum``), and equal risks come from an
-    equi-join on (l, key, risk). Work is (rows + events) x levels, levels =
-    ceil(log2(distinct times)).
+    Comparable pairs are (i, j) with an event at T_i and T_j > T_i, or T_j = T_i
+    with j censored; a pair is concordant when risk_i > risk_j and counts 1/2
+    when the risks are equal.
+
+    Times are replaced by tau = 2 * dense rank, plus 1 for a censored row, so a
+    pair is comparable iff tau_j > tau_i. Then there is exactly one bit level l
+    where the higher bits agree, tau_i has 0 and tau_j has 1. So every row is a
+    *data* row at the levels where its bit is 1 and every event row a *query* at
+    the levels where its bit is 0, keyed by (l, tau >> (l + 1)). Inside a key,
+    "data rows with lower risk" is a running count in risk order (two-level
+    ``prefix_sum``), and equal risks come from an equi-join on (l, key, risk).
+    Work is (rows + events) x levels, levels = log2(2 * distinct times) rounded up.
     """
     base = valid_durations(df, duration).filter(F.col(event).isNotNull() & F.col(risk).isNotNull()).select(
         F.col(duration).cast("double").alias("__t"), F.col(event).cast("boolean").alias("__e"),
@@ -236,11 +261,9 @@ def concordance(df: DataFrame, duration: str, event: str, risk: str, *, levels:
     )
     times = base.select("__t").distinct().withColumn("__g", F.lit(0)).withColumn("__one", F.lit(1))
     ranks = prefix_sum(times, ["__g"], ["__t"], ["__one"], float_bin("__t"), inclusive=False, prefix="tau")
-    ranks = ranks.select("__t", F.col("tau__one").cast("long").alias("__tau"))
-    if levels is None:
-        n_times = int(ranks.count())
-        levels = max(1, math.ceil(math.log2(max(n_times, 2))))
-    rows = base.join(ranks, "__t", "inner")
+    ranks = ranks.select("__t", F.col("tau__one").cast("long").alias("__rank"))
+    levels = max(1, math.ceil(math.log2(2 * max(int(times.count()), 1))))
+    rows = base.join(ranks, "__t", "inner").withColumn("__tau", 2 * F.col("__rank") + F.when(F.col("__e"), 0).otherwise(1))
     lv = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("__l")
     expanded = rows.select("*", lv)
     bit = F.call_function("shiftright", F.col("__tau"), F.col("__l")).bitwiseAND(F.lit(1))
@@ -258,11 +281,11 @@ def concordance(df: DataFrame, duration: str, event: str, risk: str, *, levels:
     numerator = per_cell.agg(
         F.sum(F.col("__q") * (F.col("__less") + F.coalesce(F.col("__eq"), F.lit(0)) / 2.0)).alias("num")
     )
-    # comparable pairs: events at t times rows with a later time
+    # comparable pairs: events times rows with a larger tau
     per_time = rows.groupBy("__tau").agg(F.count(F.lit(1)).alias("__n"), F.count_if("__e").alias("__d")).withColumn(
         "__g", F.lit(0)
     )
-    later = prefix_sum(per_time, ["__g"], ["__tau"], ["__n"], F.col("__tau"), descending=True, inclusive=False,
+    later = prefix_sum(per_time, ["__g"], ["__tau"], ["__n"], F.shiftright("__tau", 12), descending=True, inclusive=False,
                        prefix="later")
     denominator = later.agg(F.sum(F.col("__d") * F.col("later__n")).alias("den"))
     both_sums = numerator.select("num", F.lit(None).cast("double").alias("den")).unionByName(

@@ -99,7 +99,12 @@ def v3_cox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("v6_hazard_ratios")
 def v6_hazard_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coefficient_table(spark, cox_model(spark, sf_dir), alpha=0.05)
+    """V6: covariates with p < 0.05. ``qty_discount`` follows the duration, so it has an effect."""
+    s = surv_rows(spark, sf_dir).withColumn("qty_discount", F.col("dur") * F.col("l_discount"))
+    d, e = censor(F.col("dur"), F.col("event"), HORIZON)
+    xs = [*COVARIATES, "qty_discount"]
+    model = fit_cox(s.select(d.alias("dur"), e.alias("event"), *xs), "dur", "event", xs, penalizer=PENALIZER)
+    return coefficient_table(spark, model, alpha=0.05)
 
 
 @register("v4_survival_at_h")
@@ -130,9 +135,9 @@ WITH {_SURV_SQL},
 c AS (SELECT least(dur, {HORIZON!r}) AS t, event AND dur <= {HORIZON!r} AS e, l_discount AS r FROM s),
 cell AS (SELECT t, r, count(*) AS n, count(*) FILTER (WHERE e) AS d FROM c GROUP BY t, r),
 pairs AS (
-  SELECT CAST(sum(a.d * b.n * CASE WHEN b.r < a.r THEN 1.0 WHEN b.r = a.r THEN 0.5 ELSE 0.0 END) AS DOUBLE) AS num,
-         sum(a.d * b.n)::DOUBLE AS den
-  FROM cell a JOIN cell b ON b.t > a.t WHERE a.d > 0)
+  SELECT CAST(sum(a.d * (CASE WHEN b.t > a.t THEN b.n ELSE b.n - b.d END) * CASE WHEN b.r < a.r THEN 1.0 WHEN b.r = a.r THEN 0.5 ELSE 0.0 END) AS DOUBLE) AS num,
+         sum(a.d * (CASE WHEN b.t > a.t THEN b.n ELSE b.n - b.d END))::DOUBLE AS den
+  FROM cell a JOIN cell b ON b.t >= a.t WHERE a.d > 0)
 SELECT round(num / den, 6) AS concordance, round(num, 6) AS concordant_pairs, round(den, 6) AS comparable_pairs
 FROM pairs""",
 )
