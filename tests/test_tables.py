@@ -8,6 +8,7 @@ def test_feature_kind():
     assert feature_kind(["HR min", "HR max"]) == "minmax"
     assert feature_kind(["HR mean", "HR std", "HR min"]) == "stats"
     assert feature_kind(["HR Hour 0", "HR Hour 1"]) == "hourly"
+    assert feature_kind(["HR Hour 0", "HR mean"]) == "hourly_stats"
 
 
 def test_columns_matching_escapes_literal_prefix(spark):

@@ -62,3 +62,10 @@ def test_interval_flag_hot_entity_random(spark):
         got = dict(flag_in_intervals(pts, ivs, "k", "t", "s", "e", out="f", bucket_width=width)
                    .select("pid", "f").collect())
         assert np.array_equal(np.array([got[i] for i in range(n)]), want), width
+
+
+def test_minimum_stay(spark):
+    from wardflow.operators.timeline import minimum_stay
+
+    df = spark.createDataFrame([(1, 0.2), (2, 1 / 3), (3, 0.34), (4, None)], "id int, los double")
+    assert [r.id for r in minimum_stay(df, "los").collect()] == [3]

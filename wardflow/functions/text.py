@@ -90,7 +90,8 @@ def fixed(x: Column | str, decimals: int) -> Column:
 
 
 def yes_no(x: Column | str) -> Column:
-    return F.when(_c(x), F.lit("Yes")).otherwise(F.lit("No"))
+    """Yes or No; null for a missing flag, so that its fragment is left out."""
+    return F.when(_c(x), F.lit("Yes")).when(~_c(x), F.lit("No"))
 
 
 def python_text(x: Column | str, dtype: T.DataType) -> Column:

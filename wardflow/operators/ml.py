@@ -8,13 +8,16 @@ fitted model, not by hand. Scoring user functions (L8) run through
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
@@ -27,10 +30,10 @@ UNKNOWN = "Unknown"
 def feature_kind(columns: Sequence[str]) -> str:
     """Which feature set a table holds, from its column names (plan time)."""
     names = [c.lower() for c in columns]
-    if any(" hour " in n or re.search(r"_d\d+$", n) for n in names):
-        return "hourly"
-    if any(n.endswith((" mean", "_mean", " std", "_std")) for n in names):
-        return "stats"
+    hourly = any(" hour " in n or re.search(r"_d\d+$", n) for n in names)
+    stats = any(n.endswith((" mean", "_mean", " std", "_std")) for n in names)
+    if hourly or stats:
+        return "hourly_stats" if hourly and stats else "hourly" if hourly else "stats"
     if any(n.endswith((" min", "_min", " max", "_max")) for n in names):
         return "minmax"
     return "basic"
@@ -45,18 +48,27 @@ def prepare_columns(df: DataFrame, numeric: Sequence[str], categorical: Sequence
     )
 
 
-def feature_stages(numeric: Sequence[str], categorical: Sequence[str], *, out: str = "features") -> list:
-    """L1: one-hot with the first level (alphabetical) dropped; unseen test levels
-    map to the all-zero vector like an unseen 'Unknown' (P15)."""
-    stages: list = []
-    encoded = []
-    for c in categorical:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetDesc",
-                                    handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}__oh", dropLast=True, handleInvalid="keep"))
-        encoded.append(f"{c}__oh")
-    stages.append(VectorAssembler(inputCols=list(numeric) + encoded, outputCol=out, handleInvalid="keep"))
-    return stages
+def learned_levels(train: DataFrame, categorical: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted levels of each categorical column in the training rows."""
+    if not categorical:
+        return {}
+    row = train.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"v{i}") for i, c in enumerate(categorical)]).first()
+    return {c: row[f"v{i}"] for i, c in enumerate(categorical)}
+
+
+def feature_stages(numeric: Sequence[str], levels: dict[str, list[str]], *, out: str = "features") -> tuple[list, list[str]]:
+    """L1: one 0/1 column per training level but the first (alphabetical), so the
+    design is not collinear with the intercept. A level that training lacks
+    reads as the first one (P15). Returns the stages and the feature names."""
+    encoded, names, columns = [], list(numeric), []
+    for i, (c, values) in enumerate(levels.items()):
+        for j, v in enumerate(values[1:]):
+            literal = v.replace("\\", "\\\\").replace("'", "\\'")
+            columns.append(f"CAST(`{c}` <=> '{literal}' AS DOUBLE) AS `__level_{i}_{j}`")
+            encoded.append(f"__level_{i}_{j}")
+            names.append(f"{c}={v}")
+    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")] if columns else []
+    return [*stages, VectorAssembler(inputCols=list(numeric) + encoded, outputCol=out, handleInvalid="keep")], names
 
 
 def fit_classifier(
@@ -70,7 +82,8 @@ def fit_classifier(
         est = GBTClassifier(featuresCol="features", labelCol=label, seed=seed)
     else:
         raise ValueError("estimator must be 'logistic' or 'gbt'")
-    return Pipeline(stages=feature_stages(numeric, categorical) + [est]).fit(train)
+    stages, _ = feature_stages(numeric, learned_levels(train, categorical))
+    return Pipeline(stages=stages + [est]).fit(train)
 
 
 def positive_probability(model: PipelineModel, df: DataFrame, *, out: str = "predicted_probability") -> DataFrame:
@@ -80,19 +93,45 @@ def positive_probability(model: PipelineModel, df: DataFrame, *, out: str = "pre
 
 
 def fit_glm_logit(train: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str]):
-    """L3 inference: binomial GLM with logit link; returns (pipeline model, coefficient table rows)."""
+    """L3: binomial GLM with logit link; returns (pipeline model, feature names)."""
     glm = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol=label,
                                       maxIter=50)
-    model = Pipeline(stages=feature_stages(numeric, categorical) + [glm]).fit(train)
-    return model
+    stages, names = feature_stages(numeric, learned_levels(train, categorical))
+    return Pipeline(stages=stages + [glm]).fit(train), names
+
 
+def coefficient_rows(model: PipelineModel, names: Sequence[str], train: DataFrame) -> list[tuple]:
+    """L3 inference: (feature, coefficient, standard error, z, p) per feature and the intercept.
 
-def glm_summary_rows(model: PipelineModel) -> list[tuple]:
+    Standard errors come from the information matrix, summed over the training
+    rows by tasks; a feature that is constant or a combination of others uses
+    the generalised inverse (its error is that of the part the data determine).
+    """
     glm = model.stages[-1]
-    s = glm.summary
-    names = [f"x{i}" for i in range(len(glm.coefficients))] + ["intercept"]
-    coefs = list(glm.coefficients) + [glm.intercept]
-    return list(zip(names, coefs, s.coefficientStandardErrors, s.tValues, s.pValues))
+    k = len(names) + 1
+    rows = model.transform(train).select(vector_to_array("features").alias("x"), F.col("prediction").alias("p"))
+
+    def run(batches):
+        total = np.zeros((k, k))
+        for b in batches:
+            if b.num_rows:
+                x = np.column_stack([b.column(0).flatten().to_numpy().reshape(b.num_rows, -1), np.ones(b.num_rows)])
+                p = b.column(1).to_numpy()
+                total += ((p * (1 - p))[:, None] * x).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["v"])
+
+    info = np.zeros(k * k)
+    for r in (rows.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "x"))
+              .groupBy("i").agg(F.sum("x").alias("x")).collect()):
+        info[r["i"]] = r["x"]
+    scale = np.sqrt(np.maximum(np.diag(info.reshape(k, k)), 1e-300))
+    inverse = np.linalg.pinv(info.reshape(k, k) / np.outer(scale, scale), hermitian=True) / np.outer(scale, scale)
+    errors = np.sqrt(np.maximum(np.diag(inverse), 0.0))
+    out = []
+    for name, b, se in zip([*names, "intercept"], [*glm.coefficients, glm.intercept], errors):
+        z = float(b) / se if se > 0 else float("nan")
+        out.append((name, float(b), float(se), z, math.erfc(abs(z) / math.sqrt(2.0)) if se > 0 else float("nan")))
+    return out
 
 
 def predictions_table(

@@ -170,3 +170,9 @@ def flag_in_intervals(
     reach = F.greatest(F.col("__run"), F.col("__carry"))
     flagged = flagged.withColumn(out, F.coalesce(reach >= F.col(t), F.lit(False)))
     return flagged.select(*points_all.columns, out).unionByName(unmatched)
+
+
+def minimum_stay(df: DataFrame, length: str, *, least: float = 1 / 3) -> DataFrame:
+    """rows whose entity stayed longer than ``least`` (days; 8 hours), as the
+    hourly and survival feature sets need. A missing length does not qualify."""
+    return df.filter(F.col(length) > F.lit(float(least)))

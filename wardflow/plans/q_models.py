@@ -13,6 +13,7 @@ from wardflow.functions.text import parse_probability, parse_probability_sql
 from wardflow.operators.metrics import bootstrap_auc
 from wardflow.operators.ml import (
     batch_score,
+    coefficient_rows,
     feature_kind,
     fit_classifier,
     fit_glm_logit,
@@ -24,7 +25,6 @@ from wardflow.operators.ml import (
 from wardflow.operators.sampling import class_balanced_sample
 from wardflow.plans.q_timeline import flagship
 from wardflow.plans.registry import register
-from wardflow.session import spread
 from wardflow.sources.tables import read_table
 
 CATEGORICAL = ["segment", "region"]
@@ -54,11 +54,21 @@ def _predictions(spark, sf_dir, scored: DataFrame, model_name: str, model_args:
 def l3_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     data, numeric = feature_table(spark, sf_dir)
     train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
-    model = fit_glm_logit(train, "label", numeric, CATEGORICAL)
+    model, _ = fit_glm_logit(train, "label", numeric, CATEGORICAL)
     scored = model.transform(test).withColumnRenamed("prediction", "predicted_probability")
     return _predictions(spark, sf_dir, scored, "logistic_glm", "baseline_stats", 0)
 
 
+@register("l3_coefficients")
+def l3_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3 inference table: coefficient, standard error, z and p per named feature (checked against IRLS in the tests)."""
+    data, numeric = feature_table(spark, sf_dir)
+    train = data.filter(F.col("split") == "train")
+    model, names = fit_glm_logit(train, "label", numeric, CATEGORICAL)
+    rows = coefficient_rows(model, names, train)
+    return spark.createDataFrame(rows, "feature string, coefficient double, std_error double, z double, p double")
+
+
 @register("l4_gbt")
 def l4_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     data, numeric = feature_table(spark, sf_dir)
@@ -85,6 +95,6 @@ SELECT doc_id, printf('%.2f', (length(text) % 100) / 100.0) AS answer,
 FROM documents""",
 )
 def l8_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = batch_score(d, "text", length_scorer, out="answer")
     return scored.select("doc_id", "answer", parse_probability("answer").alias("probability"))

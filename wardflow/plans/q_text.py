@@ -9,7 +9,6 @@ from wardflow.functions import text as X
 from wardflow.operators.sampling import fold_block, shots_ladder, stratified_split
 from wardflow.plans.registry import register
 from wardflow.plans.q_timeline import FLAGSHIP_SQL, flagship
-from wardflow.session import spread
 from wardflow.sources.tables import parse_id_text, parse_records, read_table
 
 
@@ -22,7 +21,7 @@ SELECT doc_id, md5({X.clean_text_sql("text")}) AS clean_md5, length({X.clean_tex
 FROM documents""",
 )
 def x1_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(read_table(spark, sf_dir, "documents")).select("doc_id", X.clean_text("text").alias("__c"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", X.clean_text("text").alias("__c"))
     return d.select("doc_id", F.md5("__c").alias("clean_md5"), F.length("__c").cast("long").alias("clean_chars"))
 
 
@@ -176,7 +175,7 @@ _PROMPT_SHOTS = [2]
 def prompts(spark: SparkSession, sf_dir: str, shots: list[int]) -> DataFrame:
     """Labelled documents split 80/20 by language; train rows give the
     class-balanced example block (N2-N3), attached to each test row by an equi-join
-    on the shot count (one block row per shot value: bounded, broadcast)."""
+    on the shot count (one block row per shot value; AQE measures it)."""
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     data = stratified_split(lab.join(docs, "doc_id", "inner"), "doc_id", "lang", out="split")
@@ -185,7 +184,7 @@ def prompts(spark: SparkSession, sf_dir: str, shots: list[int]) -> DataFrame:
     sample = shots_ladder(train, "quality", "doc_id", shots, seed=42)
     blocks = fold_block(sample, ["num_shots"], "doc_id", "text", seed=42)
     ladder = F.explode(F.array(*[F.lit(s) for s in shots])).alias("num_shots")
-    rows = test.select("doc_id", "quality", "text", ladder).join(F.broadcast(blocks), "num_shots", "left")
+    rows = test.select("doc_id", "quality", "text", ladder).join(blocks, "num_shots", "left")
     return rows.select("doc_id", "num_shots", X.prompt(F.col("text"), F.col("block"), F.col("num_shots")).alias("prompt"))
 
 
@@ -226,7 +225,7 @@ def quartile_prompts(spark: SparkSession, sf_dir: str, shots: list[int]) -> Data
     sample = shots_ladder(train, "quality", "doc_id", shots, seed=42)
     blocks = fold_block(sample, ["num_shots"], "doc_id", "example", seed=42)
     ladder = F.explode(F.array(*[F.lit(s) for s in shots])).alias("num_shots")
-    rows = test.select("doc_id", "text", ladder).join(F.broadcast(blocks), "num_shots", "left")
+    rows = test.select("doc_id", "text", ladder).join(blocks, "num_shots", "left")
     return rows.select("doc_id", "num_shots",
                        X.quartile_prompt(F.col("text"), F.col("block"), F.col("num_shots")).alias("prompt"))
 

@@ -33,6 +33,7 @@ def load_all() -> None:
     """Import every query module so that its ``register`` calls run."""
     from wardflow.plans import (  # noqa: F401
         q_features,
+        q_files,
         q_metrics,
         q_models,
         q_reports,

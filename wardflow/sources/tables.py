@@ -67,25 +67,48 @@ def write_csv(df: DataFrame, path: str, *, decimals: int | None = None) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def header_families(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, list[str]]:
+    """Header line -> files that start with it, for CSV files that may differ in column order.
+
+    The first line of each file is the first row of the split that starts at
+    byte 0; files without any line are left out.
+    """
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    first = (lines.filter("start = 0").withColumn("at", F.monotonically_increasing_id())
+             .groupBy("path").agg(F.min_by("value", "at").alias("header")).collect())
+    out: dict[str, list[str]] = {}
+    for r in sorted(first, key=lambda r: r["path"]):
+        out.setdefault(r["header"], []).append(r["path"])
+    return out
+
+
 def read_csv_by_name(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """S4 for files whose header order differs from ``schema``: read as text
-    columns named by the header (no type inference pass), then select and cast
-    the schema's columns by name. Files of one call must share a header."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(
-        paths if isinstance(paths, str) else list(paths)
-    )
-    return raw.select(
-        *[(F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
-          for f in schema.fields],
-        F.col("_metadata.file_name").alias("__file"),
-    )
+    """S4 for files whose header order differs from ``schema`` or from each other:
+    files with the same header are read together as text columns named by it (no
+    type inference pass), then the schema's columns are selected and cast by
+    name. A column that a file lacks is null."""
+    parts = []
+    for files in header_families(spark, paths).values():
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(files)
+        parts.append(raw.select(
+            *[(F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+              for f in schema.fields],
+            F.col("_metadata.file_name").alias("__file"),
+        ))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("__file", T.StringType())]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def read_with_provenance(
     spark: SparkSession, path_groups: Sequence[str | Sequence[str]], schema: T.StructType, *, file_col: str = "file_name"
 ) -> DataFrame:
-    """Union of several file families (e.g. one glob per result family,
-    each with its own column order), columns matched by header name, each row
+    """Union of several globs of result files, whose files may each have
+    their own column order; columns are matched by each file's header, each row
     keeping its source file name. Empty files contribute no rows."""
     parts = [read_csv_by_name(spark, g, schema).withColumnRenamed("__file", file_col) for g in path_groups]
     out = parts[0]
