@@ -79,10 +79,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str,
                buckets: int = BUCKETS, smoothing: float = 1.0) -> list[int]:
     """Log ratio (in millionths) of each bin between the documents in ``trusted`` (column ``doc_id``) and all.
 
-    Counts cover every document. Without trusted n-grams all ratios are 0.
+    Counts cover every document. Labels grow with the corpus, so they are joined
+    by sort and merge at every size. Without trusted n-grams all ratios are 0.
     """
     marked = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text")).join(
-        trusted.select(F.col(f"`{doc_id}`").alias("__id")).distinct().withColumn("__yes", F.lit(1)), "__id", "left")
+        trusted.select(F.col(f"`{doc_id}`").alias("__id")).distinct().withColumn("__yes", F.lit(1)).hint("merge"), "__id", "left")
     grams = with_hashes(marked, "__text", windows=False).select(
         F.coalesce("__yes", F.lit(0)).alias("yes"), F.explode(F.concat("__h1", "__h2")).alias("h"))
     counts = (grams.groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b"))
