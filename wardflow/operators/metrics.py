@@ -108,27 +108,14 @@ def roc_points(df: DataFrame, group_cols: Sequence[str], label: str, score: str)
     return pts.unionByName(first)
 
 
-def threshold_metrics(
-    df: DataFrame,
-    group_cols: Sequence[str],
-    label: str,
-    score: str,
-    *,
-    threshold: float = 0.5,
-    inclusive: bool = True,
+def threshold_from_histogram(
+    hist: DataFrame, group_cols: Sequence[str], *, threshold: float = 0.5, inclusive: bool = True
 ) -> DataFrame:
-    """M4: confusion counts, accuracy, precision, recall, F1 (0 on zero division).
-
-    ``inclusive=True`` predicts positive for ``score >= threshold``, else ``>``.
-    """
-    d = clean_scored(df, label, score)
-    pred = F.col(score) >= threshold if inclusive else F.col(score) > threshold
-    y = F.col(label).cast("int") == 1
-    tp = F.count_if(pred & y)
-    fp = F.count_if(pred & ~y)
-    fn = F.count_if(~pred & y)
-    tn = F.count_if(~pred & ~y)
-    agg = d.groupBy(*group_cols).agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"))
+    """M4 from a score histogram."""
+    pred = F.col(SCORE) >= threshold if inclusive else F.col(SCORE) > threshold
+    count = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0.0)).cast("long")
+    agg = hist.groupBy(*group_cols).agg(count("pos", pred).alias("tp"), count("neg", pred).alias("fp"),
+                                        count("pos", ~pred).alias("fn"), count("neg", ~pred).alias("tn"))
 
     def ratio(a: Column, b: Column) -> Column:
         return F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
@@ -143,6 +130,23 @@ def threshold_metrics(
     )
 
 
+def threshold_metrics(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    label: str,
+    score: str,
+    *,
+    threshold: float = 0.5,
+    inclusive: bool = True,
+) -> DataFrame:
+    """M4: confusion counts, accuracy, precision, recall, F1 (0 on zero division).
+
+    ``inclusive=True`` predicts positive for ``score >= threshold``, else ``>``.
+    """
+    return threshold_from_histogram(score_histogram(df, group_cols, label, score), group_cols,
+                                    threshold=threshold, inclusive=inclusive)
+
+
 # A cell of c rows is the sum of c // CELL_DRAW Poisson(CELL_DRAW) draws and
 # c % CELL_DRAW Poisson(1) draws: exact for every c.
 CELL_DRAW = 32
@@ -297,18 +301,14 @@ def summary_metrics(
     Groups with fewer than 2 rows or a single class are dropped (as the reference does).
     """
     d = clean_scored(df, label, score)
-    # both classes present <=> min(label) < max(label) (0/1 labels): a plain
-    # aggregate instead of a distinct count
-    y = F.col(label).cast("int")
-    valid = d.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(y).alias("__lo"), F.max(y).alias("__hi")
-    ).filter((F.col("__n") >= 2) & (F.col("__lo") < F.col("__hi"))).select(*group_cols)
+    # one histogram serves average precision, thresholds and the check for both classes
+    hist = score_histogram(d, group_cols, label, score)
     boot = bootstrap_auc(d, group_cols, label, score, key, n_boot=n_boot, seed=seed, binned=binned)
-    ap = average_precision_from_histogram(score_histogram(d, group_cols, label, score), group_cols)
-    thr = threshold_metrics(d, group_cols, label, score, threshold=threshold)
+    ap = average_precision_from_histogram(hist, group_cols)
+    thr = threshold_from_histogram(hist, group_cols, threshold=threshold).filter("tp + fn > 0 AND fp + tn > 0")
     g = list(group_cols)
     return (
-        join_groups(join_groups(join_groups(valid, boot, g), ap, g), thr, g)
+        join_groups(join_groups(thr, ap, g), boot, g)
         .select(
             *g,
             F.col("auc").alias("AUC"),

@@ -159,6 +159,26 @@ def m14_reference_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return double_round(pm.join(ref, "model_args", "left"))
 
 
+_BASE = ["auc", "accuracy", "f1", "precision", "recall"]
+
+
+@register(
+    "m14_baseline_metrics",
+    _POINT_SQL + """,
+ref AS (SELECT model_args, num_shots, auc AS base_auc, accuracy AS base_accuracy, f1 AS base_f1, precision AS base_precision,
+               recall AS base_recall FROM pm WHERE model = '1-URGENT')
+SELECT pm.model, pm.model_args, pm.num_shots, round(pm.auc, 6) AS auc, round(base_auc, 6) AS base_auc,
+       round(base_accuracy, 6) AS base_accuracy, round(base_f1, 6) AS base_f1, round(base_precision, 6) AS base_precision,
+       round(base_recall, 6) AS base_recall
+FROM pm LEFT JOIN ref USING (model_args, num_shots)""",
+)
+def m14_baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five metrics of one baseline model beside every metrics row of the same condition."""
+    pm = _point_metrics(spark, sf_dir).select(*G3, *_BASE)
+    ref = pm.filter(F.col("model") == "1-URGENT").select("model_args", "num_shots", *[F.col(m).alias(f"base_{m}") for m in _BASE])
+    return double_round(pm.select(*G3, "auc").join(ref, ["model_args", "num_shots"], "left"))
+
+
 # --- W5 / W6 --------------------------------------------------------------------------------------
 
 @register(
