@@ -68,3 +68,32 @@ def test_label_01_and_file_labels(spark):
 def test_normalize_name():
     assert normalize_name("Pre-ICU LOS (days)") == "pre_icu_los_days"
     assert normalize_name("Temp (C)") == "temp_c"
+
+
+def test_cleaning_takes_unicode_blanks_like_python(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from wardflow.functions.text import clean_text
+
+    def python(t):
+        t = re.sub(r"[ \t]+", " ", t)
+        t = re.sub(r"\n{3,}", "\n\n", re.sub(r"\s*\n\s*", "\n", t)).strip()
+        for c in ".,:;":
+            t = re.sub(r"\s+" + re.escape(c), c, t)
+        return re.sub(r"\.{2,}", ".", t)
+
+    texts = ["\u00a0a \u2003.b\u3000\n\u2028 c\x1f,", "x\x85;y\u202f:", "\u200bkept\u200b .", "a \t b...\r\n\n\n c"]
+    got = [r.c for r in spark.createDataFrame([(t,) for t in texts], "t string").select(clean_text(F.col("t")).alias("c")).collect()]
+    assert got == [python(t) for t in texts]
+
+
+def test_missing_flag_is_left_out(spark):
+    from pyspark.sql import functions as F
+
+    from wardflow.functions.text import fragment, record_text, yes_no
+
+    df = spark.createDataFrame([(True,), (False,), (None,)], "f boolean")
+    got = [r.t for r in df.select(record_text([F.lit("Age: 3"), fragment("Sedated", yes_no("f"))]).alias("t")).collect()]
+    assert got == ["Age: 3. Sedated: Yes.", "Age: 3. Sedated: No.", "Age: 3."]

@@ -94,12 +94,21 @@ def label_01_sql(x: str) -> str:
     return f"(CASE WHEN {c} IN ('true', '1', '1.0') THEN 1 WHEN {c} IN ('false', '0', '0.0') THEN 0 END)"
 
 
-def file_labels(file_name: Column | str) -> dict[str, Column]:
+def tabular_condition(model_args: Column | str) -> Column:
+    """Condition of a few-shot tabular result from its own run arguments:
+    without the ``tabpfn_`` prefix, a bare ``tabpfn`` as ``basic``, ``-`` as ``_``."""
+    c = F.col(model_args) if isinstance(model_args, str) else model_args
+    for old, new in (("tabpfn_", ""), ("tabpfn", "basic"), ("-", "_")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def file_labels(file_name: Column | str, model_args: Column | None = None, num_shots: Column | None = None) -> dict[str, Column]:
     """(family, model_id, condition, shots) from a result file name.
 
     Patterns: ``llm_<model>_<condition>_<n>-shot_results.csv`` (model from the
     known ids, condition = text up to the last ``_``), ``tabpfn...`` (condition
-    taken from the file's own model_args column by the caller), and
+    and shots from the rows' own ``model_args`` and ``num_shots``), and
     ``baseline..._<condition>_results.csv`` (``baseline_<condition>``, default
     ``baseline_basic``). Anything else gets family null and is dropped.
     """
@@ -118,9 +127,14 @@ def file_labels(file_name: Column | str) -> dict[str, Column]:
         F.when(family == "llm", F.regexp_extract(stem, llm_re, 2))
         .when(family == "baseline", F.concat(F.lit("baseline_"), F.when(base_cond != "", base_cond).otherwise(F.lit("basic"))))
     )
+    shots = F.when(family == "llm", F.regexp_extract(stem, llm_re, 3).cast("int"))
+    if model_args is not None:
+        condition = F.when(family == "tabpfn", tabular_condition(model_args)).otherwise(condition)
+    if num_shots is not None:
+        shots = F.when(family == "tabpfn", num_shots.cast("int")).otherwise(shots)
     return {
         "family": family,
         "model_id": F.when(family == "llm", F.regexp_extract(stem, llm_re, 1)),
         "condition": condition,
-        "shots": F.when(family == "llm", F.regexp_extract(stem, llm_re, 3).cast("int")),
+        "shots": shots,
     }

@@ -12,16 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Blank characters: the ASCII whitespace class, written out so that the JVM
-# and SQL engines agree (Unicode spaces such as NBSP are not treated as blank).
-_WS = r"[ \t\n\x0B\f\r]"
+# Blank characters (all Unicode white space), written out so that
+# the JVM and SQL engines agree; ``_WS_NO_NL`` lacks the newline.
+_BLANKS = r"\t\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WS = "[" + r"\n" + _BLANKS + "]"
+_WS_NO_NL = "[" + _BLANKS + "]"
 
 # The cleaning steps of a generated note, in order (pattern, replacement).
 CLEAN_STEPS = [
     (r"[ \t]+", " "),
     # a blank run that contains a newline becomes one newline (same matches as
     # "blank* newline blank*", without backtracking over long runs)
-    (r"[ \t\x0B\f\r]*\n" + _WS + "*", "\n"),
+    (_WS_NO_NL + r"*\n" + _WS + "*", "\n"),
     (r"\n{3,}", "\n\n"),
     ("STRIP", ""),
     (_WS + r"+\.", "."),

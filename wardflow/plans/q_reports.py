@@ -247,6 +247,29 @@ def x6_x7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
                     condition_label("model_args").alias("condition_label"))
 
 
+# --- X8 condition of the few-shot tabular files -----------------------------------------------
+
+_TABULAR_ARGS = """CASE o_orderkey % 4 WHEN 0 THEN 'tabpfn' WHEN 1 THEN 'tabpfn_' || lower(replace(o_orderpriority, ' ', '-'))
+  WHEN 2 THEN 'tabpfn_hourly-stats' ELSE 'tabpfn-minmax' END"""
+
+
+@register(
+    "x8_tabular_conditions",
+    f"""
+WITH a AS (SELECT o_orderkey, CAST(year(o_orderdate) - 1995 AS INTEGER) AS num_shots, {_TABULAR_ARGS} AS args FROM orders)
+SELECT o_orderkey, 'tabpfn' AS family, num_shots AS shots,
+       CASE WHEN args = 'tabpfn' THEN 'basic' WHEN args = 'tabpfn-minmax' THEN 'basic_minmax'
+            ELSE regexp_replace(substr(args, 8), '-', '_', 'g') END AS condition
+FROM a""",
+)
+def x8_tabular_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Condition and shots of the third file family, from the rows themselves."""
+    o = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.year("o_orderdate") - 1995).alias("num_shots"), F.expr(_TABULAR_ARGS).alias("args"))
+    lab = file_labels(F.lit("tabpfn_results.csv"), F.col("args"), F.col("num_shots"))
+    return o.select("o_orderkey", *[lab[k].alias(k) for k in ("family", "shots", "condition")])
+
+
 # --- X8 file-name labels ------------------------------------------------------------------------
 
 def _file_names(orders: DataFrame) -> DataFrame:
