@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,7 +31,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
             named = tempfile.mkdtemp(prefix="wardflow-checkpoint-")
         sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return done
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files, broadcasts and plans that nothing refers to any more.
+
+    Spark's cleaner acts when the driver collects garbage; operators of many
+    rounds would otherwise hold the files of all rounds.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
 
 
 def add_columns(df: DataFrame, reads: list[str], schema: T.StructType,

@@ -186,6 +186,7 @@ def fit(docs: DataFrame, text: str, label: str, doc_id: str, per_language: int =
     of = {x: k for k, x in enumerate(names)}
     examples = [(np.append(i.values.to_numpy(), DIMENSIONS), np.append(v.values.to_numpy().astype(np.float64), 1.0), of[y])
                 for i, v, y in zip(got.column("idx"), got.column("value"), labels)]
+    del got
     split = len(examples) - len(examples) // 5
     weights = ftrl(examples[:split], len(names))
     rest = examples[split:]
