@@ -9,12 +9,11 @@ compression adds candidates but loses none; 40 bands of 5 registers miss a pair
 at similarity 0.8 with probability 1.2e-7.
 
 Documents with the same shingle set are one class and enter with one
-representative, so groups of copies form no pairs. Inside a band bucket pairs
-are not enumerated: each round links all members to one centre, components are
-updated, and only buckets that still hold several components go on. When rounds
-no longer shrink them, the members outside a bucket's largest component are
-compared with all its members in bounded blocks inside tasks, so at the end
-every pair of a bucket is either in one component or has been compared.
+representative, so groups of copies form no pairs. Inside a band bucket pairs are not enumerated either: all members
+are compared with one centre, which joins most of them into one component. In
+buckets that still hold several, the members outside the largest component are
+compared with all members, in bounded blocks inside tasks. So at the end every
+pair of a bucket is either in one component or has been compared.
 Candidates pass a collision-corrected Jaccard estimate (five
 standard deviations wide) and are then confirmed on their full shingle sets.
 """
@@ -226,30 +225,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     pairs = live.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = checkpoint(confirm(pairs, nodes, size, percent))
     labels = components(links)
-    live, turn = live.filter("id <> centre").select("key", "id"), 0
-    rows_before = None
-    while True:
-        named = live.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-            "key", "id", F.coalesce("component", "id").alias("component"))
-        per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        mixed = per.groupBy("key").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        live_named = checkpoint(named.join(mixed.select("key"), "key"))
-        rows = mixed.agg(F.sum("m")).first()[0]
-        if not rows:
-            break
-        if rows_before is not None and rows > 0.8 * rows_before:
-            links = checkpoint(links.union(across_components(live_named, nodes, size, percent)))
-            labels = components(links)
-            break
-        turn, rows_before = turn + 1, rows
-        centres = live_named.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("centre"))
-        starred = checkpoint(live_named.join(centres, "key"))
-        centre_of = live_named.select("key", F.col("id").alias("centre"), F.col("component").alias("component2"))
-        pairs = (starred.join(centre_of, ["key", "centre"]).filter("component <> component2")
-                 .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
-        links = checkpoint(links.union(confirm(pairs, nodes, size, percent)))
-        labels = components(links)
-        live = starred.filter("id <> centre").select("key", "id")
+    # members of a bucket that the centre did not join into one component
+    named = live.filter("id <> centre").select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = (named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+             .filter("low < high").select("key"))
+    mixed_live = checkpoint(named.join(mixed, "key"))
+    links = checkpoint(links.union(across_components(mixed_live, nodes, size, percent)))
+    labels = components(links)
 
     found = (sketched.join(classes.select("sig_a", "sig_b", F.col("id").alias("class_id")), ["sig_a", "sig_b"], "left")
              .join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left"))
