@@ -40,3 +40,42 @@ def test_mixture_keeps_every_row_and_its_weights(spark):
 
 def test_empty_table(spark):
     assert M.mix(spark.createDataFrame([], "doc_id long, source string")).collect() == []
+
+
+def test_sources_stay_within_one_block_of_their_weights_on_long_tables():
+    for others, slots in ((19, 20_000), (199, 40_000)):
+        weights = {f"s{k:03}": (2 / 3 / others) ** 0.5 for k in range(others)} | {"big": (1 / 3) ** 0.5}
+        whole = M.exact_weights(weights)
+        names = sorted(whole)
+        a, total = [whole[s] for s in names], sum(whole.values())
+        n = [slots * x // total + 1 for x in a]
+        at = np.array([k for k, _, _ in M.jobs(a, n, 0, [0] * len(a))])
+        for k, s in enumerate(names):
+            target = np.arange(1, slots + 1) * (weights[s] / sum(weights.values()))
+            assert np.abs(np.cumsum(at[:slots] == k) - target).max() < 1
+
+
+def test_mixture_follows_the_weights_over_many_periods(spark, monkeypatch):
+    monkeypatch.setattr(M, "SEGMENT", 100)
+    rows = [(k, "big" if k % 3 == 0 else f"s{k % 19:02}") for k in range(12_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = M.mix(df, block=2, period=20).collect()
+    assert sorted((r.doc_id, r.source) for r in got) == sorted(rows) and len({r.mix_position for r in got}) == len(rows)
+    counts = {s: sum(x == s for _, x in rows) for s in {x for _, x in rows}}
+    total, lasts = sum(c ** 0.5 for c in counts.values()), got[0].mix_lasts
+    assert lasts > 2000
+    for s, c in counts.items():
+        slots = np.array(sorted({r.mix_slot for r in got if r.source == s}))
+        t = np.arange(1, lasts + 1)
+        assert np.abs(np.searchsorted(slots, t) - t * c ** 0.5 / total).max() < 1
+
+
+def test_many_tiny_sources_and_weight_zero(spark):
+    rows = [(k, "big") for k in range(400)] + [(1000 + k, f"t{k}") for k in range(60)] + [(2000 + k, "zero") for k in range(9)]
+    weights = {"big": 1.0, "zero": 0.0} | {f"t{k}": 1e-4 for k in range(60)}
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=4, period=50).collect()
+    assert sorted((r.doc_id, r.source) for r in got) == sorted(rows) and len({r.mix_position for r in got}) == len(rows)
+    big = np.array(sorted({r.mix_slot for r in got if r.source == "big"}))
+    t = np.arange(1, 101)
+    assert np.abs(np.searchsorted(big, t) - t / 1.006).max() < 1
+    assert min(r.mix_slot for r in got if r.source == "zero") > max(r.mix_slot for r in got if r.source != "zero")

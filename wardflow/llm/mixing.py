@@ -1,12 +1,18 @@
 """Mixing sources to target weights by Pfair scheduling of blocks.
 
-Weights become integers that sum to ``period``. Block i of a source with share
-w = a / period may start at slot floor(i / w) and must run before slot
-ceil((i + 1) / w); earliest deadline first over one period gives every block a
-slot inside that window, so after any number of slots a source is less than one
-block from its target. The pattern repeats each period, so the slot of a block
-follows from its number and one small table (``period`` rows, a parameter), and
-blocks are numbered by Spark: no schedule of all blocks is ever built.
+Weights are kept exactly, as integers ``a`` of sum ``total``. Block i of a
+source may start at slot floor(i * total / a) and must run before slot
+ceil((i + 1) * total / a); earliest deadline first gives every block a slot
+inside that window, so after any number of slots a source is less than one block
+from its true target, however long the table. Over the first ``period`` slots
+blocks also keep to integer shares of that period with at least one block per
+source, so small sources come early, unless that pushes a block out of its window.
+
+The order of blocks follows from the state (slot, blocks placed per source)
+alone. The driver walks over the blocks once (one step per ``block`` rows) and
+keeps only the state at every ``SEGMENT``-th block; tasks go on from the states
+and list the slots, and the documents, numbered by Spark, join them. No schedule
+of all blocks is ever held in one place.
 
 Documents are ordered inside their source by a hash of the id. Their exact
 ranks come from counts per (source, hash bin) and a window inside each bin, so
@@ -16,7 +22,12 @@ a source with a third of all rows is spread over all bins.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +36,8 @@ from wardflow.llm.common import table
 PERIOD = 1000
 BLOCK = 16
 BINS = 1024
+#: blocks between two states of the schedule
+SEGMENT = 8192
 
 
 def integer_shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -41,23 +54,80 @@ def integer_shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
+def exact_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Integers in exactly the proportions of ``weights``."""
+    if not all(math.isfinite(w) and w >= 0 for w in weights.values()) or not any(weights.values()):
+        raise ValueError(f"weights have to be finite, not negative and not all 0, not {weights}")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * scale) for s, x in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: x // common for s, x in whole.items()}
+
+
+class DeadlineMissed(Exception):
+    """A block was left over after the last slot of its window."""
+
+
+def jobs(a: list[int], n: list[int], slot: int, done: list[int], first: list[int] | None = None) -> Iterator[tuple[int, int, int]]:
+    """(source, block, slot) of the blocks ``done[k]`` to ``n[k] - 1`` of every source k from ``slot`` on, by earliest deadline first.
+
+    ``a`` are the exact weights. With ``first``, the first ``first[k]`` blocks of
+    source k also stay inside their windows in a period of ``sum(first)`` slots. Blocks of a source of weight 0 follow after all others.
+    """
+    total, at, period = sum(a), list(done), sum(first or [])
+
+    def release(k: int) -> int:
+        start = at[k] * total // a[k]
+        return max(start, at[k] * period // first[k]) if first and at[k] < first[k] else start
+
+    waiting = [(release(k), k) for k in range(len(a)) if a[k] and at[k] < n[k]]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int]] = []
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            k = heapq.heappop(waiting)[1]
+            due = -(-(at[k] + 1) * total // a[k])
+            if first and at[k] < first[k]:
+                due = min(due, -(-(at[k] + 1) * period // first[k]))
+            heapq.heappush(ready, (due, k))
+        due, k = heapq.heappop(ready)
+        if slot >= due:
+            raise DeadlineMissed
+        yield k, at[k], slot
+        at[k] += 1
+        slot += 1
+        if at[k] < n[k]:
+            heapq.heappush(waiting, (release(k), k))
+    for k in range(len(a)):
+        for i in range(at[k], n[k] if not a[k] else 0):
+            yield k, i, slot
+            slot += 1
+
+
 def schedule(shares: dict[str, int]) -> list[tuple[str, int, int]]:
     """(source, block within the period, slot) of one period, by earliest deadline first."""
-    period = sum(shares.values())
-    waiting: list[list[tuple[int, str, int]]] = [[] for _ in range(period)]
-    for s, a in shares.items():
-        for i in range(a):
-            waiting[i * period // a].append((-(-(i + 1) * period // a), s, i))
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(period):
-        for job in waiting[slot]:
-            heapq.heappush(ready, job)
-        deadline, s, i = heapq.heappop(ready)
-        if slot >= deadline:
-            raise AssertionError("a block missed its deadline")
-        out.append((s, i, slot))
-    return out
+    names = sorted(shares)
+    a = [shares[s] for s in names]
+    return [(names[k], i, slot) for k, i, slot in jobs(a, a, 0, [0] * len(a))]
+
+
+def states(a: list[int], n: list[int], full: list[int], first: list[int] | None,
+           segment: int) -> tuple[list[tuple[int, list[int]]], int]:
+    """The states (slot, blocks placed) before every ``segment``-th block, and the first slot a source cannot fill.
+
+    ``full`` are the numbers of whole blocks of the sources.
+    """
+    out, done, lasts, last = [], [0] * len(a), None, 0
+    for c, (k, i, slot) in enumerate(jobs(a, n, 0, done, first)):
+        if c % segment == 0:
+            out.append((slot, list(done)))
+        done[k], last = i + 1, slot
+        if a[k] and i == full[k] and lasts is None:
+            lasts = slot
+    return out, last + 1 if lasts is None else lasts
 
 
 def source_weights(docs: DataFrame, source: str, power: float = 0.5) -> dict[str, float]:
@@ -72,10 +142,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
 
     Sorting by ``mix_position`` gives the mixture. While every source lasts
     (``mix_slot < `` the column ``mix_lasts``), a source's blocks are within one
-    of its share of all blocks; afterwards the slots of a used-up source stay
-    empty and the others go on in proportion. Every row keeps its place: no row
-    is dropped or repeated. Sources that ``weights`` lacks get the smallest
-    weight in it. A null source is the source ``''``; null ids sort by the other
+    of its weight's part of all slots; afterwards slots that only a used-up source
+    could fill stay empty, and every source that lasts stays within one block of
+    its weight. Every row keeps its place: no row is dropped or repeated. Sources
+    that ``weights`` lacks get the smallest weight in it; those of weight 0 follow
+    after all others. A null source is the source ``''``; null ids sort by the other
     columns' hash; equal rows are separate rows; an empty table stays empty.
     Input columns named like a result are replaced.
     """
@@ -89,11 +160,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
         zero = F.lit(0).cast("long")
         return docs.select("*", *[zero.alias(c) for c in results])
     spark = docs.sparkSession
-    shares = integer_shares(found, max(period, 10 * len(found)))
-    length = sum(shares.values())
-    jobs = schedule(shares)
-    plan = F.broadcast(spark.createDataFrame(jobs, "__s string, __i long, __slot long"))  # one row per slot of a period
-
     others = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn("__s", F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")))
     keyed = keyed.withColumn("__h", F.xxhash64(F.lit(7), F.col(f"`{doc_id}`")))
@@ -105,21 +171,34 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     ranked = (keyed.withColumn("__r", F.row_number().over(inside) - 1).join(offsets, ["__s", "__bin"])
               .withColumn("__r", F.col("__r") + F.col("__before"))
               .withColumn("mix_block", F.floor(F.col("__r") / block).cast("long")))
-    sizes = counts.groupBy("__s").agg(F.sum("__n").alias("__n")).collect()
-    lasts = min(_last_slot(r["__s"], r["__n"], shares, jobs, block) for r in sizes)
-    share = F.broadcast(spark.createDataFrame(list(shares.items()), "__s string, __a long"))
-    placed = (ranked.join(share, "__s").withColumn("__i", F.col("mix_block") % F.col("__a"))
-              .join(plan, ["__s", "__i"])
-              .withColumn("mix_slot", (F.floor(F.col("mix_block") / F.col("__a")) * length + F.col("__slot")).cast("long")))
-    return placed.select(*others, "mix_block", "mix_slot",
-                         (F.col("mix_slot") * block + F.col("__r") % block).cast("long").alias("mix_position"),
-                         F.lit(lasts).cast("long").alias("mix_lasts"))
-
-
-def _last_slot(s: str, rows: int, shares: dict[str, int], jobs: list[tuple[str, int, int]], block: int) -> int:
-    """First slot that the source could no longer fill with a whole block."""
-    turn, i = divmod(rows // block, shares[s])
-    return turn * len(jobs) + next(slot for x, k, slot in jobs if x == s and k == i)
+    sizes = {r["__s"]: r["__n"] for r in counts.groupBy("__s").agg(F.sum("__n").alias("__n")).collect()}
+    whole = exact_weights(found)
+    names = sorted(whole)
+    a, full = [whole[s] for s in names], [sizes[s] // block for s in names]
+    n = [x + 1 for x in full]  # the last block is partly or wholly empty
+    shares = integer_shares(found, max(period, 10 * len(found)))
+    first: list[int] | None = [shares[s] for s in names]
+    try:
+        starts, lasts = states(a, n, full, first, SEGMENT)
+    except DeadlineMissed:
+        first = None
+        starts, lasts = states(a, n, full, first, SEGMENT)
+    segment = SEGMENT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slot, done in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                k, i, at = zip(*islice(jobs(a, n, slot, done, first), segment))
+                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in k], pa.string()), pa.array(i, pa.int64()),
+                                                  pa.array(at, pa.int64())], names=["__s", "mix_block", "mix_slot"])
+
+    # as long as the table by blocks, so never broadcast
+    plan = spark.createDataFrame(starts, "__slot long, __done array<long>").mapInArrow(
+        run, "__s string, mix_block long, mix_slot long").hint("shuffle_hash")
+    return ranked.join(plan, ["__s", "mix_block"]).select(
+        *others, "mix_block", "mix_slot",
+        (F.col("mix_slot") * block + F.col("__r") % block).cast("long").alias("mix_position"),
+        F.lit(lasts).cast("long").alias("mix_lasts"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
