@@ -1,5 +1,8 @@
+import os
 import re
 
+import pytest
+
 from wardflow.llm import quality as Q
 
 TEXTS = ["", None, " \n\t", "one two", "# $ % & | < > *", "a b c d e f g h " * 4, "same line\nsame line\n \nsame line \nother", "x " * 25,
@@ -40,3 +43,31 @@ def test_ratio_separates_trusted_from_other_text(spark):
     assert min(kept[k, t] for k, t in enumerate(good)) > max(kept[19 + k, t] for k, t in enumerate(junk))
     assert Q.log_ratios(df, trusted.limit(0), "doc_id", "text", buckets=8) == [0] * 8
     assert Q.judge(df.limit(0), ratios).collect() == []
+
+
+def test_table_of_ratios_scores_like_the_list_and_grows_with_the_corpus(spark):
+    good = [" ".join(f"good{(k * j) % 37}" for j in range(1, 60)) for k in range(1, 20)]
+    junk = [" ".join(f"junk{(k * j) % 41}" for j in range(1, 60)) for k in range(1, 20)]
+    rows = list(enumerate(good + junk)) + [(None, good[0]), (3, good[3]), (7, None), (8, " "), (9, "one")] + [(50, junk[2])] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    trusted = spark.createDataFrame([(k,) for k in range(10)], "doc_id long")
+    ratios = Q.ratio_table(df, trusted, "doc_id", "text", grams_per_bin=4)
+    plain = Q.log_ratios(df, trusted, "doc_id", "text", buckets=ratios.bins)
+    assert sorted(map(str, Q.judge(df, ratios).collect())) == sorted(map(str, Q.judge(df, plain).collect()))
+    fresh = spark.createDataFrame([(1, "words never seen before good3 good4 good5")], "doc_id long, text string")
+    assert Q.judge(fresh, ratios).collect() == Q.judge(fresh, plain).collect()
+    more = df.union(df.selectExpr("doc_id", "concat_ws(' ', text, text, text, text)"))
+    assert Q.ratio_table(more, trusted, "doc_id", "text", grams_per_bin=4).bins >= 4 * ratios.bins
+    assert {r.score for r in Q.judge(df, Q.ratio_table(df, trusted.limit(0), "doc_id", "text")).collect()} == {0.0}
+    assert Q.judge(df.limit(0), Q.ratio_table(df.limit(0), trusted, "doc_id", "text")).collect() == []
+
+
+LARGER = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="driver tables not present")
+def test_verdict_drops_low_quality_documents_on_a_larger_corpus(spark):
+    got = Q.op3_quality_rules(spark, LARGER).filter("n_words >= 20").join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id")
+    n = {(r.quality, r.kept): r["count"] for r in got.groupBy("quality", "kept").count().collect()}
+    assert n[0, False] > 0.98 * (n[0, False] + n.get((0, True), 0))
+    assert n.get((1, False), 0) < 0.01 * n[1, True]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,15 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder in ``spark.checkpoint.dir`` and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which the cluster shares.
 
-    The folder is the cluster's shared one; a scratch folder is set only where
-    the session names none (tests on one machine).
+    A scratch folder is set only where the session names none (tests on one machine).
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -31,11 +31,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
             named = tempfile.mkdtemp(prefix="wardflow-checkpoint-")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there."""
+    shared_folder(df.sparkSession)
     done = df.checkpoint(eager=True)
     release(df.sparkSession)
     return done
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back, so plans know its size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files, broadcasts and plans that nothing refers to any more.
 

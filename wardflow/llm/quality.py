@@ -1,25 +1,33 @@
 """Quality rules and a hashed n-gram log-likelihood ratio, with DataFrame functions only.
 
-Words and pairs of words are hashed into ``buckets`` bins. Two multinomials,
-one over the documents that labels trust and one over the whole corpus, give
-every bin a log ratio in millionths; a document's score is the sum over its
-n-grams divided by their number. Sums are of integers, so a score and the
-verdict do not depend on partitioning or order.
-
-The tables that the second pass needs have one entry per bin (a parameter), so
-they fit a plan constant whatever the size of the corpus.
+Words and pairs of words are hashed into bins whose number follows the number of
+n-grams in the corpus (``GRAMS_PER_BIN``), so they stay as fine on a large corpus as
+on a small one. Two multinomials, one over the documents that labels trust and
+one over the whole corpus, give every bin a log ratio in millionths; a
+document's score is the sum over its n-grams divided by their number. Sums are
+of integers, so a score and the verdict do not depend on partitioning or order.
+
+The ratios are a table with ``PACK`` bins a row, written to the shared folder. The
+n-grams of a document are counted per bin inside its row and join that table;
+Spark broadcasts it while its measured size is below the session's threshold
+and sorts and merges beyond.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm.common import table
+from wardflow.llm.common import table, written
 
 BUCKETS = 8192
+#: at most so many n-grams a bin, on average, where the bins follow the corpus
+GRAMS_PER_BIN = 64
+#: neighbouring bins in one row of the table
+PACK = 64
 UNIT = 1_000_000
 BLANK = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
@@ -75,21 +83,28 @@ def base_rules(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str,
-               buckets: int = BUCKETS, smoothing: float = 1.0) -> list[int]:
-    """Log ratio (in millionths) of each bin between the documents in ``trusted`` (column ``doc_id``) and all.
+def gram_counts(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, bins: int) -> DataFrame:
+    """Rows (b, raw, target): the n-grams of each bin in all documents and in those of ``trusted`` (column ``doc_id``).
 
     Counts cover every document. Labels grow with the corpus, so they are joined
-    by sort and merge at every size. Without trusted n-grams all ratios are 0.
+    by sort and merge at every size.
     """
     marked = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text")).join(
         trusted.select(F.col(f"`{doc_id}`").alias("__id")).distinct().withColumn("__yes", F.lit(1)).hint("merge"), "__id", "left")
     grams = with_hashes(marked, "__text", windows=False).select(
         F.coalesce("__yes", F.lit(0)).alias("yes"), F.explode(F.concat("__h1", "__h2")).alias("h"))
-    counts = (grams.groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b"))
-              .agg(F.count(F.lit(1)).alias("raw"), F.sum("yes").alias("target")).collect())
+    return grams.groupBy(F.pmod("h", F.lit(bins).cast("long")).alias("b")).agg(F.count(F.lit(1)).alias("raw"), F.sum("yes").alias("target"))
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str,
+               buckets: int = BUCKETS, smoothing: float = 1.0) -> list[int]:
+    """Log ratio (in millionths) of each of a fixed number of bins between the documents in ``trusted`` and all.
+
+    For small corpora; ``ratio_table`` fits the bins to the corpus. Without
+    trusted n-grams all ratios are 0.
+    """
     raw, target = [0] * buckets, [0] * buckets
-    for r in counts:
+    for r in gram_counts(docs, trusted, doc_id, text, buckets).collect():
         raw[r["b"]], target[r["b"]] = r["raw"], r["target"]
     total, trusted_total = sum(raw), sum(target)
     if not trusted_total:
@@ -98,7 +113,53 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str,
     return [round(UNIT * (math.log(t + smoothing) - math.log(r + smoothing) - shift)) for t, r in zip(target, raw)]
 
 
-def judge(docs: DataFrame, ratios: list[int], text: str = "text", least: float = -0.1) -> DataFrame:
+@dataclass
+class Ratios:
+    """Log ratios (in millionths) of ``bins`` bins: rows (g, ratios) with the bins from g * PACK on."""
+
+    table: DataFrame
+    bins: int
+
+
+def ratio_table(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, grams_per_bin: int = GRAMS_PER_BIN,
+                smoothing: float = 1.0) -> Ratios:
+    """``log_ratios`` with the smallest power of two of bins that holds ``grams_per_bin`` n-grams each."""
+    words = F.size(word_array(F.col(f"`{text}`").cast("string"))).cast("long")
+    grams = docs.select(F.sum(F.greatest(2 * words - 1, F.lit(0).cast("long"))).alias("n")).first()["n"] or 0
+    bins = 1 << max(-(-grams // grams_per_bin) - 1, 0).bit_length()
+    counts = written(gram_counts(docs, trusted, doc_id, text, bins))
+    trusted_total = counts.select(F.sum("target").alias("n")).first()["n"] or 0
+    ratio = F.lit(0)
+    if trusted_total:
+        shift = math.log(trusted_total + smoothing * bins) - math.log(grams + smoothing * bins)
+        ratio = F.rint(UNIT * (F.log(F.col("target") + smoothing) - F.log(F.col("raw") + smoothing) - shift)).cast("int")
+    # bins without n-grams get their place, too
+    empty = docs.sparkSession.range(bins).select(F.col("id").alias("b"), *[F.lit(0).cast("long").alias(c) for c in ("raw", "target")])
+    full = counts.union(empty).groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    packed = full.groupBy(F.floor(F.col("b") / PACK).alias("g")).agg(F.sort_array(F.collect_list(F.struct("b", ratio.alias("ratio")))).alias("x"))
+    return Ratios(written(packed.select("g", F.col("x.ratio").alias("ratios"))), bins)
+
+
+def gram_sums(df: DataFrame, ratios: Ratios) -> DataFrame:
+    """Rows (__key, __n, __sum): the summed ratio of each text in ``df(__key, __n, __h1, __h2)`` with n-grams.
+
+    A text's n-grams are first counted per bin inside the row. Copies of a text
+    are one row of the result.
+    """
+    at = F.transform(F.concat("__h1", "__h2"), lambda h: F.pmod(h, F.lit(ratios.bins).cast("long")))
+    df = df.filter("__n > 0").select("__key", "__n", F.sort_array(at).alias("__b"))
+    first = F.transform("__b", lambda b, i: F.when((i == 0) | (F.get("__b", i - 1) != b), i))
+    df = df.withColumn("__at", F.filter(first, lambda i: i.isNotNull()))
+    after = F.concat(F.slice("__at", F.lit(2), F.size("__at")), F.array(F.size("__b")))
+    runs = F.zip_with("__at", after, lambda i, j: F.struct(F.get("__b", i).alias("b"), (j - i).alias("c")))
+    rows = df.select("__key", "__n", F.inline(runs)).withColumn("g", F.shiftright("b", PACK.bit_length() - 1)).join(ratios.table, "g")
+    sums = rows.groupBy("__key", "__n").agg(F.sum("c").alias("c"),
+                                            F.sum(F.col("c").cast("long") * F.get("ratios", (F.col("b") % PACK).cast("int"))).alias("s"))
+    # c is __n times the copies of the text
+    return sums.select("__key", "__n", F.expr("s div (c div __n)").alias("__sum"))
+
+
+def judge(docs: DataFrame, ratios: list[int] | Ratios, text: str = "text", least: float = -0.1) -> DataFrame:
     """Adds the base counts, ``score`` (mean log ratio per n-gram; 0 without words) and ``kept``.
 
     A document stays if the base rules do not fail it and its summed ratio is
@@ -110,10 +171,19 @@ def judge(docs: DataFrame, ratios: list[int], text: str = "text", least: float =
     df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new or c == text],
                      F.col(f"`{text}`").cast("string").alias("__text"))
     df = base_rules(with_hashes(df, "__text", windows=True), "__text")
-    table_of = F.from_json(F.lit("[" + ",".join(map(str, ratios)) + "]"), "array<bigint>")
-    total = F.aggregate(F.concat("__h1", "__h2"), F.lit(0).cast("long"),
-                        lambda acc, h: acc + F.get(table_of, F.pmod(h, F.lit(len(ratios))).cast("int")))
-    df = df.withColumn("__n", (F.size("__h1") + F.size("__h2")).cast("long")).withColumn("__sum", total)
+    df = df.withColumn("__n", (F.size("__h1") + F.size("__h2")).cast("long"))
+    if isinstance(ratios, Ratios):
+        key = F.xxhash64("__text")
+        texts = docs.select(F.col(f"`{text}`").cast("string").alias("__text"))
+        texts = with_hashes(texts, "__text", windows=False).select(
+            key.alias("__key"), (F.size("__h1") + F.size("__h2")).cast("long").alias("__n"), "__h1", "__h2")
+        df = df.withColumn("__key", key).join(gram_sums(texts, ratios), ["__key", "__n"], "left").withColumn(
+            "__sum", F.coalesce("__sum", F.lit(0).cast("long"))).drop("__key")
+    else:
+        table_of = F.from_json(F.lit("[" + ",".join(map(str, ratios)) + "]"), "array<bigint>")
+        df = df.withColumn("__sum", F.aggregate(
+            F.concat("__h1", "__h2"), F.lit(0).cast("long"),
+            lambda acc, h: acc + F.get(table_of, F.pmod(h, F.lit(len(ratios))).cast("int"))))
     df = df.withColumn("score", F.coalesce(F.try_divide(F.col("__sum"), F.col("__n") * F.lit(float(UNIT))), F.lit(0.0)))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("__sum") >= F.lit(round(least * UNIT)).cast("long") * F.col("__n")))
     return df.drop("__text", "__w", "__h1", "__h2", "__h8", "__n", "__sum")
@@ -126,6 +196,6 @@ def trusted_labels(labels: DataFrame) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the likelihood-ratio verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ratios = log_ratios(docs, trusted_labels(table(spark, sf_dir, "labels")), "doc_id", "text")
+    ratios = ratio_table(docs, trusted_labels(table(spark, sf_dir, "labels")), "doc_id", "text")
     return judge(docs, ratios).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                                       "n_repeat_words", "base_failed", "kept", "score")
