@@ -88,3 +88,12 @@ def test_estimate_is_close_to_the_true_similarity():
         assert reg.all()
         estimate = ((reg[0] == reg[1]).mean() - near.COLLISION) / (1 - near.COLLISION)
         assert abs(estimate - shared / (2 * n - shared)) < 0.2
+
+
+def test_links_between_tiny_texts_do_not_depend_on_the_estimate(spark):
+    # six words, and the same without the last one: similarity 0.8, but estimates below 0.65
+    texts = [" ".join(f"w{k}x{j}" for j in range(6)) for k in (4381, 4754)]
+    rows = list(enumerate(texts + [t.rsplit(" ", 1)[0] for t in texts], 1))
+    got = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 2)
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1, 4: 2}
