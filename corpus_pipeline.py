@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from wardflow.llm import language  # noqa: E402
-from wardflow.llm.common import checkpoint, table  # noqa: E402
+from wardflow.llm.common import checkpoint, table, written  # noqa: E402, F401
 from wardflow.llm.decontaminate import find_contamination  # noqa: E402
 from wardflow.llm.lines import dedup_lines  # noqa: E402
 from wardflow.llm.mixing import mix  # noqa: E402
@@ -73,9 +73,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what a stage returns is written before the next one reads it."""
+    """All stages in order; what a stage returns is written as Parquet to the shared folder and read back by the next one."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = checkpoint(docs) if k + 1 < len(STAGES) else docs
+        docs = written(docs) if k + 1 < len(STAGES) else docs
     return docs

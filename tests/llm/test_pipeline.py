@@ -81,3 +81,17 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark, name):
     assert set(P.COLUMNS) <= set(out.columns)
     assert {4} <= {r.doc_id for r in out.collect()}
     assert stage(spark, df.limit(0), SF).collect() == []
+
+
+def test_every_stage_reads_its_predecessor_from_parquet(spark, monkeypatch):
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(docs)
+        return docs.limit(50)
+
+    monkeypatch.setattr(P, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    assert P.run(spark, SF).count() == 50
+    for docs in seen[1:]:
+        assert docs.inputFiles() and all(f.endswith(".parquet") and SF not in f for f in docs.inputFiles())
+        assert docs.schema == spark.read.parquet(f"{SF}/documents.parquet").schema
