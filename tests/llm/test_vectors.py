@@ -64,11 +64,19 @@ def test_search_stops_before_the_last_posting_where_it_can_prove_it():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(8, 32)) * 20
     x = np.floor(centres[rng.integers(8, size=3000)] + rng.normal(size=(3000, 32)) * 3).astype(np.int64)
-    posts = np.argsort(x.T, axis=1, kind="stable").astype(np.uint32)
-    shard = K.Shard(x, posts, np.arange(3000), np.zeros(3000, bool), np.ones(3000, np.int64))
+    shard = K.Shard(x, *K.segments(x), np.arange(3000), np.zeros(3000, bool), np.ones(3000, np.int64))
+    could, read = shard.possible(x[:5], [np.array([i]) for i in range(5)], 20)
     for i in range(5):
-        could, read = shard.possible(x[i], np.arange(3000) == i, 20)
-        assert read < 0.97 * x.size and set(np.argsort(-np.where(np.arange(3000) == i, -10**9, x @ x[i]), kind="stable")[:20]) <= set(could)
+        scores = np.where(np.arange(3000) == i, -10**9, x @ x[i])
+        assert read[i] < len(shard.ends) and len(could[i]) < 1500 and set(np.argsort(-scores, kind="stable")[:20]) <= set(could[i])
+
+
+def test_segments_fall_by_powers_of_two():
+    x = np.array([[0, 5, -9], [1, 0, 4], [-3, 2, 7]])
+    posts, ends = K.segments(x)
+    assert [x.flat[p] for p in posts[: ends[0]]] == [-9] and sorted(x.flat[posts[ends[0]: ends[1]]]) == [4, 5, 7]
+    assert sorted(x.flat[posts[ends[1]: ends[2]]]) == [-3, 2] and ends[3:] == [7] and len(posts) == 7
+    assert K.segments(np.zeros((2, 3), int))[1] == [] and K.segments(np.zeros((2, 0), int))[1] == []
 
 
 def brute_whitening(rows, k=8):

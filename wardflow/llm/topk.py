@@ -1,14 +1,15 @@
 """Exact top-k search by inner product on an impact-ordered index, score at a time.
 
-The index holds shards of bounded size. In a shard every dimension has its
-postings (rows with that component) ordered by the component, a quantised
-integer, so the postings of one value are a segment and the largest magnitudes
-lie at both ends. A query takes the segments of all dimensions by descending
-impact ``|q_d * x_d|``, adding each to its rows' accumulators. What a row may
-still gain or lose is at most the sum over dimensions of the next impact there.
-With the exact scores of the k best accumulators as a floor, rows whose upper
-bound lies below the floor cannot be members. A query stops when this proof
-leaves few possible members, or when no segment is left, and scores the
+The index holds shards of bounded size. A posting is a row's non-zero component
+in one dimension; its impact is the component, a quantised integer, and a shard's
+postings lie in segments by descending magnitude (halving from one to the next).
+A block of queries takes segment by segment: the segment's postings are laid out
+as a matrix and multiplied with all queries at once, adding up the accumulators.
+What a row may still gain or lose is at most the sum over dimensions of the largest
+impact to come, and at most the product of the query's norm with that of the row's
+components to come. With the exact scores of the k best accumulators as a floor,
+rows whose upper bound lies below it cannot be members. A query stops when this
+proof leaves few possible members, or when no segment is left, and scores the
 possible members exactly.
 
 Queries go in blocks of bounded size; each (shard, block) pair is one group of
@@ -28,7 +29,7 @@ from wardflow.llm.vectors import integer_vectors
 
 SHARD_ROWS = 8192
 QUERY_ROWS = 512
-SHARD_SCHEMA = "shard int, n int, width int, vec_ids array<bigint>, copies array<bigint>, x binary, posts binary"
+SHARD_SCHEMA = "shard int, n int, width int, vec_ids array<bigint>, copies array<bigint>, x binary, posts binary, ends array<int>"
 BLOCK_SCHEMA = "block int, n int, width int, query_ids array<bigint>, q binary"
 HIT_SCHEMA = "query_id bigint, block int, pos int, vec_id bigint, score bigint, copies bigint"
 
@@ -53,17 +54,26 @@ def prepared(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
     return integer_vectors(df, vec_id, vector, scale).groupBy("vec_id", "x").agg(F.count(F.lit(1)).alias("copies"))
 
 
+def segments(x: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Places (row * width + dimension) of the non-zero components by descending bit length, and the end of each segment."""
+    size = np.frexp(np.abs(x).ravel().astype(np.float64))[1]  # the bit length of an integer; 0 for 0
+    order = np.argsort(-size, kind="stable")
+    ends = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0)), 0, -1), "right")
+    return order[: int((size > 0).sum())].astype(np.uint32), [int(e) for e in np.unique(ends) if e]
+
+
 def build_index(rows: DataFrame, n_shards: int) -> DataFrame:
-    """One row per shard of ``rows(vec_id, x, copies)``: the vectors and, per dimension, their order by component."""
+    """One row per shard of ``rows(vec_id, x, copies)``: the vectors and their postings in segments of falling impact."""
 
     def build(t: pa.Table) -> pa.Table:
         x = _padded(t.column("x"))
-        posts = np.argsort(x.T, axis=1, kind="stable").astype(np.uint32)
+        posts, ends = segments(x)
         return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), "n": pa.array([x.shape[0]], pa.int32()),
                          "width": pa.array([x.shape[1]], pa.int32()),
                          "vec_ids": pa.array([t.column("vec_id").to_pylist()], pa.list_(pa.int64())),
                          "copies": pa.array([t.column("copies").to_pylist()], pa.list_(pa.int64())),
-                         "x": pa.array([x.astype(np.int32).tobytes()], pa.binary()), "posts": pa.array([posts.tobytes()], pa.binary())})
+                         "x": pa.array([x.astype(np.int32).tobytes()], pa.binary()), "posts": pa.array([posts.tobytes()], pa.binary()),
+                         "ends": pa.array([ends], pa.list_(pa.int32()))})
 
     shard = F.pmod(F.xxhash64(F.lit(11), "vec_id", "x"), F.lit(n_shards).cast("long")).cast("int")
     return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(build, SHARD_SCHEMA)
@@ -86,48 +96,61 @@ def query_blocks(queries: DataFrame, n_blocks: int) -> DataFrame:
 class Shard:
     """A shard in memory, ready to answer queries."""
 
-    def __init__(self, x: np.ndarray, posts: np.ndarray, ids: np.ndarray, no_id: np.ndarray, copies: np.ndarray):
-        self.x, self.posts, self.ids, self.no_id, self.copies = x, posts, ids, no_id, copies
-        self.values = np.take_along_axis(x.T, posts.astype(np.int64), axis=1)  # of each dimension, ascending
+    def __init__(self, x: np.ndarray, posts: np.ndarray, ends: list[int], ids: np.ndarray, no_id: np.ndarray, copies: np.ndarray):
+        self.x, self.posts, self.ends, self.ids, self.no_id, self.copies = x, posts, ends, ids, no_id, copies
+        self.order = np.argsort(ids, kind="stable")
         self.norm = float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1).max(initial=0.0)))
 
-    def possible(self, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, int]:
-        """Rows that may be among the k best of ``q`` (never its own rows), and the postings read to prove it."""
-        n, read = len(self.ids), 0
-        free = n - int(own.sum())
-        if free <= k:
-            return np.flatnonzero(~own), 0
-        acc = np.zeros(n, np.int64)
-        acc[own] = np.iinfo(np.int64).min // 2
-        terms = [(int(w), self.posts[d], self.values[d]) for d, w in enumerate(q) if w]
-        left = [[0, n] for _ in terms]  # the postings still to come of each term
-        highest = float(np.sqrt((q.astype(np.float64) ** 2).sum())) * self.norm
-        cut = max((abs(w) * max(-int(v[0]), int(v[-1]), 0) for w, _, v in terms), default=0)
-        few = max(4 * k, n // 64)
-        while True:
-            cut //= 2
-            rest = 0
-            for (w, at, v), span in zip(terms, left):
-                least = max(-(-cut // abs(w)), 1)  # smallest magnitude whose impact reaches the cut
-                low, high = max(int(v.searchsorted(-least, "right")), span[0]), min(int(v.searchsorted(least, "left")), span[1])
-                for a, b in ((span[0], low), (high, span[1])):
-                    if a < b:
-                        acc[at[a:b]] += w * v[a:b]
-                        read += b - a
-                span[:] = low, high
-                if low < high:
-                    rest += abs(w) * max(-int(v[low]), int(v[high - 1]), 0)
-            if rest and rest >= highest:
-                continue  # nothing can be proved yet: every score is within the bound of 0
-            top = np.argpartition(acc, n - k)[n - k:]
-            floor = int((self.x[top] @ q).min())
-            could = np.flatnonzero((acc >= floor - rest) & ~own)
-            if not rest or len(could) <= few:
-                return could, read
-
-    def best(self, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best rows, copies counted, by exact score (ties: smaller id, rows without one last), and their scores."""
-        rows, _ = self.possible(q, own, k)
+    def own(self, query_id: int) -> np.ndarray:
+        """Rows with the id ``query_id``."""
+        a, b = np.searchsorted(self.ids, query_id, "left", self.order), np.searchsorted(self.ids, query_id, "right", self.order)
+        rows = self.order[a:b]
+        return rows[~self.no_id[rows]]
+
+    def possible(self, q: np.ndarray, own: list[np.ndarray], k: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Rows that may be among the k best of each query (never its own), and the segments read to prove it."""
+        n, width = self.x.shape
+        read = np.zeros(len(q), int)
+        at = np.array([i for i, rows in enumerate(own) if n - len(rows) > k], int)  # the queries still at work
+        out = [np.setdiff1d(np.arange(n), rows) if n - len(rows) <= k else rows for rows in own]
+        limit = int(np.abs(q).max(initial=0)) * int(np.abs(self.x).max(initial=0)) * width
+        kind = np.float32 if limit < 1 << 24 else np.float64  # sums of integers below are exact
+        norm = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+        slack = norm * self.norm * 2.0**-40 if limit >= 1 << 53 else np.zeros(len(q))
+        acc = np.zeros((len(at), n), kind)
+        for i, query in enumerate(at):
+            acc[i, own[query]] = -np.inf
+        coming = np.abs(self.x)
+        begin, few = 0, max(4 * k, n // 64)
+        for end in self.ends or [0]:
+            if not len(at):
+                break
+            part, places = np.zeros((n, width), kind), self.posts[begin:end]
+            part.flat[places] = self.x.flat[places]
+            coming.flat[places] = 0
+            acc += q[at].astype(kind) @ part.T
+            begin, last = end, end == (self.ends or [0])[-1]
+            read[at] += 1
+            rest = np.abs(q[at]) @ coming.max(axis=0).astype(np.float64)
+            if not last and (rest > norm[at] * self.norm / 2).all():
+                continue  # far from a proof, and trying one costs a pass over the accumulators
+            top = np.argpartition(acc, n - k, axis=1)[:, n - k:]
+            floor = np.einsum("ikd,id->ik", self.x[top], q[at]).min(axis=1)
+            # rounded up by far more than the error of these few operations
+            row_rest = np.sqrt((coming.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-5)
+            most = np.minimum(rest, norm[at] * row_rest.max()) * (1 + 1e-5) + slack[at]
+            could = acc >= (floor - most - (most > 0)).astype(kind)[:, None]
+            if not last:  # of the rows that pass, those whose own remainder is large enough
+                i, row = np.nonzero(could)
+                could[i, row] = acc[i, row] + norm[at][i] * row_rest[row] + slack[at][i] >= floor[i] - 1
+            done = last | (could.sum(axis=1) <= few)
+            for i in np.flatnonzero(done):
+                out[at[i]] = np.flatnonzero(could[i])
+            at, acc = at[~done], acc[~done]
+        return out, read
+
+    def best(self, q: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of ``rows``, copies counted, by exact score (ties: smaller id, rows without one last), and their scores."""
         score = self.x[rows] @ q
         order = np.lexsort((self.ids[rows], self.no_id[rows], -score))
         before = np.cumsum(self.copies[rows][order]) - self.copies[rows][order]
@@ -143,14 +166,14 @@ def search(index: DataFrame, blocks: DataFrame, n_shards: int, n_blocks: int, k:
         for s in shards.to_pylist():
             ids, no_id = _ids(s["vec_ids"])
             x = np.frombuffer(s["x"], np.int32).reshape(s["n"], s["width"]).astype(np.int64)
-            shard = Shard(x, np.frombuffer(s["posts"], np.uint32).reshape(s["width"], s["n"]), ids, no_id, np.array(s["copies"], np.int64))
+            shard = Shard(x, np.frombuffer(s["posts"], np.uint32), s["ends"], ids, no_id, np.array(s["copies"], np.int64))
             for b in queries.to_pylist():
                 q = np.zeros((b["n"], s["width"]), np.int64)  # components that a side lacks count as 0
                 given = np.frombuffer(b["q"], np.int32).reshape(b["n"], b["width"])
                 q[:, :b["width"]] = given[:, :s["width"]]
+                members, _ = shard.possible(q, [shard.own(i) for i in b["query_ids"]], k)
                 for pos, query_id in enumerate(b["query_ids"]):
-                    own = (ids == query_id) & ~no_id
-                    rows, score = shard.best(q[pos], own, k)
+                    rows, score = shard.best(q[pos], members[pos], k)
                     out["query_id"] += [query_id] * len(rows)
                     out["block"] += [b["block"]] * len(rows)
                     out["pos"] += [pos] * len(rows)
