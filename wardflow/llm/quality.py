@@ -1,16 +1,16 @@
 """Quality rules and a hashed n-gram log-likelihood ratio, with DataFrame functions only.
 
 Words and pairs of words are hashed into bins whose number follows the number of
-n-grams in the corpus (``GRAMS_PER_BIN``), so they stay as fine on a large corpus as
-on a small one. Two multinomials, one over the documents that labels trust and
-one over the whole corpus, give every bin a log ratio in millionths; a
+distinct n-grams in the corpus (``GRAMS_PER_BIN``), so they stay as fine on a large
+corpus as on a small one. Two multinomials, one over the documents that labels trust
+and one over the whole corpus, give every bin a log ratio in millionths; a
 document's score is the sum over its n-grams divided by their number. Sums are
 of integers, so a score and the verdict do not depend on partitioning or order.
 
-The ratios are a table with ``PACK`` bins a row, written to the shared folder. The
-n-grams of a document are counted per bin inside its row and join that table;
-Spark broadcasts it while its measured size is below the session's threshold
-and sorts and merges beyond.
+The ratios are a table with ``PACK`` bins a row, written to the shared folder. Up to
+``IN_ROW_BINS`` bins it is one array that every document looks its n-grams up in,
+without a shuffle; beyond, the n-grams of a document are counted per bin inside its
+row and join the table. Both ways give the same sums.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 from wardflow.llm.common import table, written
 
-BUCKETS = 8192
-#: at most so many n-grams a bin, on average, where the bins follow the corpus
+#: at most so many distinct n-grams a bin, on average
 GRAMS_PER_BIN = 64
+#: up to so many bins (4 bytes each) the ratios are looked up inside the row
+IN_ROW_BINS = 1 << 22
+#: up to so many trusted ids (8 bytes each) are broadcast, after they are counted; more are joined by shuffle
+BROADCAST_IDS = 1 << 20
 #: neighbouring bins in one row of the table
 PACK = 64
 UNIT = 1_000_000
@@ -83,34 +86,23 @@ def base_rules(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
+def bin_of(h: Column, bins: int) -> Column:
+    """Bin of a hash; ``bins`` is a power of two."""
+    return h.bitwiseAND(F.lit(bins - 1).cast("long"))
+
+
 def gram_counts(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, bins: int) -> DataFrame:
     """Rows (b, raw, target): the n-grams of each bin in all documents and in those of ``trusted`` (column ``doc_id``).
 
-    Counts cover every document. Labels grow with the corpus, so they are joined
-    by sort and merge at every size.
+    Counts cover every document.
     """
+    ids = written(trusted.select(F.col(f"`{doc_id}`").alias("__id")).filter("__id IS NOT NULL").distinct())
+    yes = ids.withColumn("__yes", F.lit(1))
     marked = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text")).join(
-        trusted.select(F.col(f"`{doc_id}`").alias("__id")).distinct().withColumn("__yes", F.lit(1)).hint("merge"), "__id", "left")
+        F.broadcast(yes) if ids.count() <= BROADCAST_IDS else yes, "__id", "left")
     grams = with_hashes(marked, "__text", windows=False).select(
         F.coalesce("__yes", F.lit(0)).alias("yes"), F.explode(F.concat("__h1", "__h2")).alias("h"))
-    return grams.groupBy(F.pmod("h", F.lit(bins).cast("long")).alias("b")).agg(F.count(F.lit(1)).alias("raw"), F.sum("yes").alias("target"))
-
-
-def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str,
-               buckets: int = BUCKETS, smoothing: float = 1.0) -> list[int]:
-    """Log ratio (in millionths) of each of a fixed number of bins between the documents in ``trusted`` and all.
-
-    For small corpora; ``ratio_table`` fits the bins to the corpus. Without
-    trusted n-grams all ratios are 0.
-    """
-    raw, target = [0] * buckets, [0] * buckets
-    for r in gram_counts(docs, trusted, doc_id, text, buckets).collect():
-        raw[r["b"]], target[r["b"]] = r["raw"], r["target"]
-    total, trusted_total = sum(raw), sum(target)
-    if not trusted_total:
-        return [0] * buckets
-    shift = math.log(trusted_total + smoothing * buckets) - math.log(total + smoothing * buckets)
-    return [round(UNIT * (math.log(t + smoothing) - math.log(r + smoothing) - shift)) for t, r in zip(target, raw)]
+    return grams.groupBy(bin_of(F.col("h"), bins).alias("b")).agg(F.count(F.lit(1)).alias("raw"), F.sum("yes").alias("target"))
 
 
 @dataclass
@@ -123,10 +115,17 @@ class Ratios:
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, grams_per_bin: int = GRAMS_PER_BIN,
                 smoothing: float = 1.0) -> Ratios:
-    """``log_ratios`` with the smallest power of two of bins that holds ``grams_per_bin`` n-grams each."""
-    words = F.size(word_array(F.col(f"`{text}`").cast("string"))).cast("long")
-    grams = docs.select(F.sum(F.greatest(2 * words - 1, F.lit(0).cast("long"))).alias("n")).first()["n"] or 0
-    bins = 1 << max(-(-grams // grams_per_bin) - 1, 0).bit_length()
+    """Log ratio of each bin between the documents in ``trusted`` and all.
+
+    The number of bins is the smallest power of two that holds ``grams_per_bin``
+    distinct n-grams each (estimated to a few percent, the same at every run).
+    Without trusted n-grams all ratios are 0.
+    """
+    hashed = with_hashes(docs.select(F.col(f"`{text}`").cast("string").alias("__text")), "__text", windows=False)
+    size = hashed.select(F.explode(F.concat("__h1", "__h2")).alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("d")).first()
+    grams = size["n"]
+    bins = 1 << max(-(-size["d"] // grams_per_bin) - 1, 0).bit_length()
     counts = written(gram_counts(docs, trusted, doc_id, text, bins))
     trusted_total = counts.select(F.sum("target").alias("n")).first()["n"] or 0
     ratio = F.lit(0)
@@ -146,7 +145,7 @@ def gram_sums(df: DataFrame, ratios: Ratios) -> DataFrame:
     A text's n-grams are first counted per bin inside the row. Copies of a text
     are one row of the result.
     """
-    at = F.transform(F.concat("__h1", "__h2"), lambda h: F.pmod(h, F.lit(ratios.bins).cast("long")))
+    at = F.transform(F.concat("__h1", "__h2"), lambda h: bin_of(h, ratios.bins))
     df = df.filter("__n > 0").select("__key", "__n", F.sort_array(at).alias("__b"))
     first = F.transform("__b", lambda b, i: F.when((i == 0) | (F.get("__b", i - 1) != b), i))
     df = df.withColumn("__at", F.filter(first, lambda i: i.isNotNull()))
@@ -159,7 +158,7 @@ def gram_sums(df: DataFrame, ratios: Ratios) -> DataFrame:
     return sums.select("__key", "__n", F.expr("s div (c div __n)").alias("__sum"))
 
 
-def judge(docs: DataFrame, ratios: list[int] | Ratios, text: str = "text", least: float = -0.1) -> DataFrame:
+def judge(docs: DataFrame, ratios: Ratios, text: str = "text", least: float = -0.1, in_row_bins: int = IN_ROW_BINS) -> DataFrame:
     """Adds the base counts, ``score`` (mean log ratio per n-gram; 0 without words) and ``kept``.
 
     A document stays if the base rules do not fail it and its summed ratio is
@@ -172,18 +171,20 @@ def judge(docs: DataFrame, ratios: list[int] | Ratios, text: str = "text", least
                      F.col(f"`{text}`").cast("string").alias("__text"))
     df = base_rules(with_hashes(df, "__text", windows=True), "__text")
     df = df.withColumn("__n", (F.size("__h1") + F.size("__h2")).cast("long"))
-    if isinstance(ratios, Ratios):
+    if ratios.bins <= in_row_bins:
+        packed = F.array_sort(F.collect_list(F.struct("g", "ratios")))
+        flat = ratios.table.select(F.flatten(F.transform(packed, lambda r: r["ratios"])).alias("r")).scalar()
+        # the plan holds the subquery's value once; no row carries it
+        df = df.withColumn("__table", flat).withColumn("__sum", F.aggregate(
+            F.concat("__h1", "__h2"), F.lit(0).cast("long"),
+            lambda acc, h: acc + F.get("__table", bin_of(h, ratios.bins).cast("int")))).drop("__table")
+    else:
         key = F.xxhash64("__text")
         texts = docs.select(F.col(f"`{text}`").cast("string").alias("__text"))
         texts = with_hashes(texts, "__text", windows=False).select(
             key.alias("__key"), (F.size("__h1") + F.size("__h2")).cast("long").alias("__n"), "__h1", "__h2")
         df = df.withColumn("__key", key).join(gram_sums(texts, ratios), ["__key", "__n"], "left").withColumn(
             "__sum", F.coalesce("__sum", F.lit(0).cast("long"))).drop("__key")
-    else:
-        table_of = F.from_json(F.lit("[" + ",".join(map(str, ratios)) + "]"), "array<bigint>")
-        df = df.withColumn("__sum", F.aggregate(
-            F.concat("__h1", "__h2"), F.lit(0).cast("long"),
-            lambda acc, h: acc + F.get(table_of, F.pmod(h, F.lit(len(ratios))).cast("int"))))
     df = df.withColumn("score", F.coalesce(F.try_divide(F.col("__sum"), F.col("__n") * F.lit(float(UNIT))), F.lit(0.0)))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("__sum") >= F.lit(round(least * UNIT)).cast("long") * F.col("__n")))
     return df.drop("__text", "__w", "__h1", "__h2", "__h8", "__n", "__sum")
