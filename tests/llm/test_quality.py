@@ -73,7 +73,7 @@ ROWS = list(enumerate(GOOD + JUNK)) + [(None, GOOD[0]), (3, GOOD[3]), (7, None),
 def test_scores_and_verdicts_equal_plain_loops_looked_up_or_joined(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
     trusted = spark.createDataFrame([(k,) for k in range(10)] + [(None,), (3,)], "doc_id long")
-    ratios = Q.ratio_table(df, trusted, "doc_id", "text", grams_per_bin=4)
+    ratios = Q.ratio_table(df, trusted, "doc_id", "text", grams_per_bin=4, least_bins=1)
     want = sorted(zip(ROWS, brute_verdicts(ROWS, set(range(10)), ratios.bins)), key=str)
     for judged in (Q.judge(df, ratios), Q.judge(df, ratios, in_row_bins=0)):
         got = sorted((((r.doc_id, r.text), (r.score, r.kept)) for r in judged.collect()), key=str)
@@ -89,12 +89,12 @@ def test_scores_and_verdicts_equal_plain_loops_looked_up_or_joined(spark):
 def test_bins_follow_the_distinct_n_grams(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
     trusted = spark.createDataFrame([(k,) for k in range(10)], "doc_id long")
-    bins = Q.ratio_table(df, trusted, "doc_id", "text", grams_per_bin=4).bins
+    bins = Q.ratio_table(df, trusted, "doc_id", "text", grams_per_bin=4, least_bins=1).bins
     distinct = len({h for _, t in ROWS for h in hashes(t)})
     assert bins / 2 < 1.1 * distinct / 4 and bins > 0.9 * distinct / 4
-    assert Q.ratio_table(df.union(df), trusted, "doc_id", "text", grams_per_bin=4).bins == bins
+    assert Q.ratio_table(df.union(df), trusted, "doc_id", "text", grams_per_bin=4, least_bins=1).bins == bins
     more = df.union(df.selectExpr("doc_id", "regexp_replace(text, 'o|u', concat('x', doc_id))"))
-    assert Q.ratio_table(more, trusted, "doc_id", "text", grams_per_bin=4).bins >= 2 * bins
+    assert Q.ratio_table(more, trusted, "doc_id", "text", grams_per_bin=4, least_bins=1).bins >= 2 * bins
     assert {r.score for r in Q.judge(df, Q.ratio_table(df, trusted.limit(0), "doc_id", "text")).collect()} == {0.0}
     assert Q.judge(df.limit(0), Q.ratio_table(df.limit(0), trusted, "doc_id", "text")).collect() == []
 

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from wardflow.llm.common import table, written
 
-#: at most so many distinct n-grams a bin, on average
-GRAMS_PER_BIN = 64
+#: at most so many distinct n-grams a bin, on average, but always this many bins at least
+GRAMS_PER_BIN = 256
+LEAST_BINS = 1 << 16
 #: up to so many bins (4 bytes each) the ratios are looked up inside the row
 IN_ROW_BINS = 1 << 22
 #: up to so many trusted ids (8 bytes each) are broadcast, after they are counted; more are joined by shuffle
@@ -114,18 +115,18 @@ class Ratios:
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, grams_per_bin: int = GRAMS_PER_BIN,
-                smoothing: float = 1.0) -> Ratios:
+                least_bins: int = LEAST_BINS, smoothing: float = 1.0) -> Ratios:
     """Log ratio of each bin between the documents in ``trusted`` and all.
 
-    The number of bins is the smallest power of two that holds ``grams_per_bin``
-    distinct n-grams each (estimated to a few percent, the same at every run).
-    Without trusted n-grams all ratios are 0.
+    The number of bins is the smallest power of two, ``least_bins`` or more, that
+    holds ``grams_per_bin`` distinct n-grams each (estimated to a few percent, the
+    same at every run). Without trusted n-grams all ratios are 0.
     """
     hashed = with_hashes(docs.select(F.col(f"`{text}`").cast("string").alias("__text")), "__text", windows=False)
     size = hashed.select(F.explode(F.concat("__h1", "__h2")).alias("h")).agg(
         F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("d")).first()
     grams = size["n"]
-    bins = 1 << max(-(-size["d"] // grams_per_bin) - 1, 0).bit_length()
+    bins = 1 << max(-(-size["d"] // grams_per_bin) - 1, least_bins - 1, 0).bit_length()
     counts = written(gram_counts(docs, trusted, doc_id, text, bins))
     trusted_total = counts.select(F.sum("target").alias("n")).first()["n"] or 0
     ratio = F.lit(0)
