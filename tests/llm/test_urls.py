@@ -1,3 +1,7 @@
+import os
+
+import pytest
+
 from wardflow.llm import urls as U
 
 
@@ -25,3 +29,33 @@ def test_rules_are_mined_pruned_and_matched_by_brute_force(spark):
     tokens = {r.url: set(r.t) for r in df.select("url", U.tokens_of(df.url).alias("t")).collect()}
     want = {u for u, t in tokens.items() if any(set(a) <= t for a in found)}
     assert {r.url for r in U.match_rules(df, rules).collect()} == want
+
+
+def test_rules_need_lift_beyond_chance(spark):
+    # a token of 12 of 18 unwanted URLs where many are unwanted anyway is no rule; a clear one is
+    lab = [(f"h://x.org/odd/{k}", k < 12) for k in range(18)] + [(f"h://x.org/plain/{k}", k % 4 == 0) for k in range(200)]
+    lab += [(f"h://x.org/bad/{k}", True) for k in range(40)]
+    df = spark.createDataFrame(lab, "url string, unwanted boolean")
+    assert {tuple(r.antecedent) for r in U.mine_rules(df).collect()} == {("p:bad",)}
+    assert ("p:odd",) in {tuple(r.antecedent) for r in U.mine_rules(df, min_lift=1.0, z=0.0).collect()}
+    assert U.mine_rules(df.filter("NOT unwanted")).collect() == []
+
+
+LARGER = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="driver tables not present")
+def test_mined_rules_decide_urls_that_the_host_rules_leave_open(spark):
+    pages = spark.read.parquet(f"{LARGER}/pages.parquet").select("page_id", "url")
+    labelled = U.labelled_by_rules(pages)
+    learn = labelled.filter("pmod(crc32(url), 3) <> 1")
+    rules = U.mine_rules(learn)
+    held = labelled.filter("pmod(crc32(url), 3) = 1").distinct()
+    hit = U.match_rules(held.select("url"), rules).join(held, "url")
+    n = {r.unwanted: r["count"] for r in hit.groupBy("unwanted").count().collect()}
+    base = held.filter("unwanted").count() / held.count()
+    assert n[True] / sum(n.values()) > 0.6 > 2 * base
+    judged = U.op2_url_filter(spark, LARGER)
+    mined = judged.filter("confidence IS NOT NULL")
+    assert mined.count() > 50 and mined.filter("rule IS NOT NULL OR verdict <> 'block'").count() == 0
+    assert judged.filter("rule IS NULL AND confidence IS NULL AND verdict <> 'allow'").count() == 0

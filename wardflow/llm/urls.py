@@ -1,11 +1,13 @@
 """URL filter: hand-written host rules first, then association rules mined from labelled URLs.
 
-Spark's FP-growth mines combinations of URL tokens together with the label; the
-rules that lead to the unwanted label and pass the support and confidence
-bounds stay, without those that a shorter one already covers. Matching goes
-through an inverted index: a rule is filed under its rarest token, URLs look up
-their tokens, and the whole antecedent is then checked. A URL's verdict depends
-on the URL alone, so each distinct URL is matched once.
+Spark's FP-growth mines combinations of URL tokens together with the label. A
+combination with the label, divided by the same one without it, is a rule's
+confidence; rules stay that have the support and the confidence asked for, and
+whose confidence, at the lower end of its error, still lies above the share of
+unwanted URLs by a factor, without those that a shorter one already covers.
+Matching goes through an inverted index: a rule is filed under its rarest token,
+URLs look up their tokens, and the whole antecedent is then checked. A URL's
+verdict depends on the URL alone, so each distinct URL is matched once.
 """
 
 from __future__ import annotations
@@ -60,8 +62,20 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(*[marked(kind, items) for kind, items in parts]))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 10) -> DataFrame:
-    """Rules (antecedent, confidence, support, anchor) for unwanted URLs from rows (``url``, ``unwanted``)."""
+def least_share(hits: Column, n: Column, z: float) -> Column:
+    """Lower end of the Wilson interval, ``z`` standard errors wide, of the share ``hits / n``."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 10,
+               min_lift: float = 1.5, z: float = 3.0) -> DataFrame:
+    """Rules (antecedent, confidence, support, anchor) for unwanted URLs from rows (``url``, ``unwanted``).
+
+    A rule holds in ``min_support`` of the rows and in ``min_count`` rows, is right
+    in ``min_confidence`` of those with its tokens, and ``z`` standard errors below
+    its confidence it is still ``min_lift`` times as often right as any URL is unwanted.
+    """
     items = F.when(F.col("unwanted"), F.array_append("tokens", UNWANTED)).otherwise(F.col("tokens"))
     baskets = checkpoint(labelled.filter("url IS NOT NULL AND unwanted IS NOT NULL")
                          .select(tokens_of(F.col("url")).alias("tokens"), "unwanted").select(items.alias("items")))
@@ -69,15 +83,24 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     n = baskets.count()
     if not n:
         return labelled.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
-    rules = checkpoint(model.associationRules.filter(F.col("consequent")[0] == UNWANTED)
-                       .select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
+    sets = checkpoint(FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n)).fit(baskets)
+                      .freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
+    share = sets.filter(F.size("items") == 1).filter(F.col("items")[0] == UNWANTED).first()
+    if share is None:  # too few unwanted URLs for any rule
+        return labelled.sparkSession.createDataFrame([], schema)
+    wanted = F.array_contains("items", UNWANTED)
+    both = sets.filter(wanted & (F.size("items") > 1)).select(F.array_remove("items", UNWANTED).alias("antecedent"), F.col("freq").alias("hits"))
+    alone = sets.filter(~wanted).select(F.col("items").alias("antecedent"), F.col("freq").cast("double").alias("n"))
+    confidence = F.col("hits") / F.col("n")
+    rules = checkpoint(both.join(alone, "antecedent").filter(
+        (confidence >= min_confidence) & (least_share(F.col("hits"), F.col("n"), z) >= min_lift * share["freq"] / n)).select(
+        "antecedent", confidence.alias("confidence"), (F.col("hits") / n).alias("support")))
     shorter = rules.select(F.col("antecedent").alias("part"))
     covered = (rules.select("antecedent", F.explode("antecedent").alias("t"))
                .select("antecedent", F.array_remove("antecedent", F.col("t")).alias("part"))
                .join(shorter, "part").select("antecedent").distinct())
     kept = rules.join(covered, "antecedent", "left_anti")
-    single = model.freqItemsets.filter("size(items) = 1").select(F.col("items")[0].alias("t"), "freq")
+    single = sets.filter("size(items) = 1").select(F.col("items")[0].alias("t"), "freq")
     anchors = (kept.select("antecedent", F.explode("antecedent").alias("t")).join(single, "t")
                .groupBy("antecedent").agg(F.min(F.struct("freq", "t")).alias("x")).select("antecedent", F.col("x.t").alias("anchor")))
     return checkpoint(kept.join(anchors, "antecedent").select("antecedent", "confidence", "support", "anchor"))
@@ -112,16 +135,19 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, url: str = "url", rules=RU
                        F.when(verdict.isNull(), F.col("__c")).alias("confidence"))
 
 
-def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """URLs with their label: a page's last path number is the document that ``labels`` judges (quality 0: unwanted)."""
-    number = F.regexp_extract(path_of(F.col("url")), "([0-9]{1,18})[^0-9/]*$", 1)
-    seen = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return (pages.filter("url IS NOT NULL").select("url", F.when(number != "", number).cast("long").alias("doc_id"))
-            .join(seen, "doc_id").select("url", (F.col("quality") == 0).alias("unwanted")))
+def labelled_by_rules(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
+    """Rows (url, unwanted) of all URLs: unwanted are those that the host rules block.
+
+    What the rules leave open counts as wanted, so a token is not suspect merely
+    because the rules speak of nothing else that has it.
+    """
+    text = F.col(f"`{url}`").cast("string")
+    _, verdict = rule_of(host_of(text), path_of(text), rules)
+    return pages.filter(text.isNotNull()).select(text.alias("url"), F.coalesce(verdict == "block", F.lit(False)).alias("unwanted"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the URL of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = judge_urls(pages, labelled_pages(pages, table(spark, sf_dir, "labels")))
+    judged = judge_urls(pages, labelled_by_rules(pages))
     return judged.select("page_id", "host", "path", "rule", "verdict", "confidence")
