@@ -3,16 +3,14 @@
 Weights are kept exactly, as integers ``a`` of sum ``total``. Block i of a
 source may start at slot floor(i * total / a) and must run before slot
 ceil((i + 1) * total / a); earliest deadline first gives every block a slot
-inside that window, so after any number of slots a source is less than one block
-from its true target, however long the table. Over the first ``period`` slots
-blocks also keep to integer shares of that period with at least one block per
-source, so small sources come early, unless that pushes a block out of its window.
+inside that window. Before slot t, floor(t * a / total) blocks are due and
+ceil(t * a / total) have been released, so after any number of slots a source is
+less than one block from its target, however long the table.
 
-The order of blocks follows from the state (slot, blocks placed per source)
-alone. The driver walks over the blocks once (one step per ``block`` rows) and
-keeps only the state at every ``SEGMENT``-th block; tasks go on from the states
-and list the slots, and the documents, numbered by Spark, join them. No schedule
-of all blocks is ever held in one place.
+A block is as long as the table asks for: at least ``BLOCK`` rows, and more once the
+table would have over ``MOST_BLOCKS`` blocks. So the schedule is a bounded
+sequence for any table; one task writes it out, and the documents, numbered by
+Spark, join their blocks. The driver keeps one number per source.
 
 Documents are ordered inside their source by a hash of the id. Their exact
 ranks come from counts per (source, hash bin) and a window inside each bin, so
@@ -25,33 +23,20 @@ import heapq
 import math
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import islice
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardflow.llm.common import table
+from wardflow.llm.common import table, written
 
-PERIOD = 1000
 BLOCK = 16
 BINS = 1024
-#: blocks between two states of the schedule
-SEGMENT = 8192
-
-
-def integer_shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Shares of ``period`` slots by largest remainder, at least one slot each."""
-    total = sum(weights.values())
-    spare = period - len(weights)
-    if spare < 0:
-        raise ValueError(f"{len(weights)} sources need a period of at least as many slots, not {period}")
-    exact = {s: spare * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    rest = period - sum(out.values())
-    for s in sorted(weights, key=lambda s: (-(exact[s] - int(exact[s])), s))[:rest]:
-        out[s] += 1
-    return out
+#: blocks of a table, at most (about; every source may have a last one that is not full)
+MOST_BLOCKS = 1 << 20
+#: sources, at most: each is a number in the driver and in the task that writes the schedule
+MOST_SOURCES = 1 << 18
 
 
 def exact_weights(weights: dict[str, float]) -> dict[str, int]:
@@ -65,79 +50,61 @@ def exact_weights(weights: dict[str, float]) -> dict[str, int]:
     return {s: x // common for s, x in whole.items()}
 
 
-class DeadlineMissed(Exception):
-    """A block was left over after the last slot of its window."""
-
-
-def jobs(a: list[int], n: list[int], slot: int, done: list[int], first: list[int] | None = None) -> Iterator[tuple[int, int, int]]:
-    """(source, block, slot) of the blocks ``done[k]`` to ``n[k] - 1`` of every source k from ``slot`` on, by earliest deadline first.
+def jobs(a: list[int], n: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(source, block, slot) of the ``n[k]`` blocks of every source k, by earliest deadline first.
 
-    ``a`` are the exact weights. With ``first``, the first ``first[k]`` blocks of
-    source k also stay inside their windows in a period of ``sum(first)`` slots. Blocks of a source of weight 0 follow after all others.
+    ``a`` are the exact weights. Blocks of a source of weight 0 follow after all others.
     """
-    total, at, period = sum(a), list(done), sum(first or [])
-
-    def release(k: int) -> int:
-        start = at[k] * total // a[k]
-        return max(start, at[k] * period // first[k]) if first and at[k] < first[k] else start
-
-    waiting = [(release(k), k) for k in range(len(a)) if a[k] and at[k] < n[k]]
-    heapq.heapify(waiting)
+    total, at, slot = sum(a), [0] * len(a), 0
+    waiting = [(0, k) for k in range(len(a)) if a[k] and n[k]]
     ready: list[tuple[int, int]] = []
     while waiting or ready:
         if not ready:
             slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             k = heapq.heappop(waiting)[1]
-            due = -(-(at[k] + 1) * total // a[k])
-            if first and at[k] < first[k]:
-                due = min(due, -(-(at[k] + 1) * period // first[k]))
-            heapq.heappush(ready, (due, k))
-        due, k = heapq.heappop(ready)
-        if slot >= due:
-            raise DeadlineMissed
+            heapq.heappush(ready, (-(-(at[k] + 1) * total // a[k]), k))
+        k = heapq.heappop(ready)[1]
         yield k, at[k], slot
         at[k] += 1
         slot += 1
         if at[k] < n[k]:
-            heapq.heappush(waiting, (release(k), k))
+            heapq.heappush(waiting, (at[k] * total // a[k], k))
     for k in range(len(a)):
-        for i in range(at[k], n[k] if not a[k] else 0):
+        for i in range(n[k] if not a[k] else 0):
             yield k, i, slot
             slot += 1
 
 
-def schedule(shares: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block within the period, slot) of one period, by earliest deadline first."""
-    names = sorted(shares)
-    a = [shares[s] for s in names]
-    return [(names[k], i, slot) for k, i, slot in jobs(a, a, 0, [0] * len(a))]
+def block_length(rows: int, block: int = BLOCK, most_blocks: int = MOST_BLOCKS) -> int:
+    """Rows per block: ``block``, or more where the table would have over ``most_blocks`` blocks."""
+    return max(block, -(-rows // most_blocks))
 
 
-def states(a: list[int], n: list[int], full: list[int], first: list[int] | None,
-           segment: int) -> tuple[list[tuple[int, list[int]]], int]:
-    """The states (slot, blocks placed) before every ``segment``-th block, and the first slot a source cannot fill.
+def schedule(spark: SparkSession, names: list[str], a: list[int], n: list[int]) -> DataFrame:
+    """Rows (__s, mix_block, mix_slot) of ``jobs``, written by one task: a bounded number, whatever the table."""
 
-    ``full`` are the numbers of whole blocks of the sources.
-    """
-    out, done, lasts, last = [], [0] * len(a), None, 0
-    for c, (k, i, slot) in enumerate(jobs(a, n, 0, done, first)):
-        if c % segment == 0:
-            out.append((slot, list(done)))
-        done[k], last = i + 1, slot
-        if a[k] and i == full[k] and lasts is None:
-            lasts = slot
-    return out, last + 1 if lasts is None else lasts
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for some in batched(jobs(a, n), 8192):
+                    k, i, at = zip(*some)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in k], pa.string()), pa.array(i, pa.int64()),
+                                                      pa.array(at, pa.int64())], names=["__s", "mix_block", "mix_slot"])
+
+    return written(spark.range(1).coalesce(1).mapInArrow(run, "__s string, mix_block long, mix_slot long"))
 
 
-def source_weights(docs: DataFrame, source: str, power: float = 0.5) -> dict[str, float]:
-    """Target weights of the sources in ``docs``: their sizes to ``power`` (tempered, so small sources count more)."""
-    rows = docs.groupBy(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("s")).count().collect()
-    return {r["s"]: float(r["count"]) ** power for r in rows}
+def source_sizes(docs: DataFrame, source: str, most: int = MOST_SOURCES) -> dict[str, int]:
+    """Rows per source (a null source is ``''``)."""
+    rows = docs.groupBy(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("s")).count().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} sources; mix by a coarser column")
+    return {r["s"]: r["count"] for r in rows}
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", doc_id: str = "doc_id",
-        block: int = BLOCK, period: int = PERIOD, bins: int = BINS) -> DataFrame:
+        block: int = BLOCK, bins: int = BINS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """Adds ``mix_block`` (number of the block in its source), ``mix_slot`` (its slot) and ``mix_position``.
 
     Sorting by ``mix_position`` gives the mixture. While every source lasts
@@ -148,9 +115,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     that ``weights`` lacks get the smallest weight in it; those of weight 0 follow
     after all others. A null source is the source ``''``; null ids sort by the other
     columns' hash; equal rows are separate rows; an empty table stays empty.
-    Input columns named like a result are replaced.
+    Input columns named like a result are replaced. More than ``MOST_SOURCES``
+    sources raise a ``ValueError``: weights of single rows or hosts are no mixture.
     """
-    found = source_weights(docs, source)
+    sizes = source_sizes(docs, source)
+    # unless given: sizes tempered by a root, so small sources count more
+    found = {s: n**0.5 for s, n in sizes.items()}
     if weights:
         least = min(weights.values())
         found = {s: float(weights.get(s, least)) for s in found}
@@ -165,36 +135,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     keyed = keyed.withColumn("__h", F.xxhash64(F.lit(7), F.col(f"`{doc_id}`")))
     keyed = keyed.withColumn("__bin", F.shiftrightunsigned("__h", 64 - (bins - 1).bit_length()).cast("int"))
     counts = keyed.groupBy("__s", "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    block = block_length(sum(sizes.values()), block, most_blocks)
     before = Window.partitionBy("__s").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     inside = Window.partitionBy("__s", "__bin").orderBy(F.shiftleft("__h", 10), F.xxhash64(*others))
     ranked = (keyed.withColumn("__r", F.row_number().over(inside) - 1).join(offsets, ["__s", "__bin"])
               .withColumn("__r", F.col("__r") + F.col("__before"))
               .withColumn("mix_block", F.floor(F.col("__r") / block).cast("long")))
-    sizes = {r["__s"]: r["__n"] for r in counts.groupBy("__s").agg(F.sum("__n").alias("__n")).collect()}
     whole = exact_weights(found)
     names = sorted(whole)
     a, full = [whole[s] for s in names], [sizes[s] // block for s in names]
-    n = [x + 1 for x in full]  # the last block is partly or wholly empty
-    shares = integer_shares(found, max(period, 10 * len(found)))
-    first: list[int] | None = [shares[s] for s in names]
-    try:
-        starts, lasts = states(a, n, full, first, SEGMENT)
-    except DeadlineMissed:
-        first = None
-        starts, lasts = states(a, n, full, first, SEGMENT)
-    segment = SEGMENT
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for slot, done in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k, i, at = zip(*islice(jobs(a, n, slot, done, first), segment))
-                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in k], pa.string()), pa.array(i, pa.int64()),
-                                                  pa.array(at, pa.int64())], names=["__s", "mix_block", "mix_slot"])
-
-    # as long as the table by blocks, so never broadcast
-    plan = spark.createDataFrame(starts, "__slot long, __done array<long>").mapInArrow(
-        run, "__s string, mix_block long, mix_slot long").hint("shuffle_hash")
+    plan = schedule(spark, names, a, [x + 1 for x in full])  # the last block is partly or wholly empty
+    ends = spark.createDataFrame([(s, f) for s, f in zip(names, full) if whole[s]], "__s string, mix_block long")
+    lasts = plan.join(ends, ["__s", "mix_block"]).agg(F.min("mix_slot").alias("t")).first()["t"]
     return ranked.join(plan, ["__s", "mix_block"]).select(
         *others, "mix_block", "mix_slot",
         (F.col("mix_slot") * block + F.col("__r") % block).cast("long").alias("mix_position"),
