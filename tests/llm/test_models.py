@@ -65,3 +65,16 @@ def test_features_find_hidden_insults_and_second_person():
     assert x[0][at["hidden_insults"]] > 0 and x[1][at["hidden_insults"]] == 0
     assert x[3][at["fixed_density"]] == 0.5 and x[3][at["you_near"]] > 0 and x[3][at["shouted"]] == 1
     assert not x[2].any()
+
+
+def test_sample_of_a_label_is_its_first_rows_by_hash(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "rare").when(F.col("id") % 7 == 0, "few").otherwise("hot").alias("label"))
+    df = df.union(df.filter("id < 20")).union(df.filter("id = 4").select("id", F.lit("one").alias("label"))).repartition(5)
+    got = sorted(map(tuple, language.first_of_each(df, 700).collect()))
+    want, by = [], {}
+    for r in df.select("id", "label", F.xxhash64("id").alias("h")).collect():
+        by.setdefault(r.label, []).append((r.h, r.id))
+    for label, rows in by.items():
+        want += [(i, label) for _, i in sorted(rows)[:700]]
+    assert got == sorted(want)
+    assert language.first_of_each(df.limit(0), 5).collect() == []

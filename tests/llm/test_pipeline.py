@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages", "benchmark"):
+    for t in ("documents", "conversations", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(queries.ORACLE[name]).df()
     got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
@@ -29,10 +29,10 @@ def test_query_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
 def test_query_returns_every_row(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
-    table = "pages" if name[:4] in ("op2_", "op5_") else "documents"
-    key = "page_id" if table == "pages" else "doc_id"
+    table = "pages" if name[:4] in ("op2_", "op5_") else "embeddings" if name.startswith("op12_") else "documents"
+    key = {"pages": "page_id", "embeddings": "vec_id", "documents": "doc_id"}[table]
     want = pd.read_parquet(f"{SF}/{table}.parquet")
-    assert sorted(got[key]) == sorted(want[key])
+    assert sorted(got[key]) == sorted(list(want[key]) * (8 if table == "embeddings" else 1))
     if name.startswith("op4_"):
         rows = test_near.brute(list(zip(want.doc_id, want.text)), 2)
         assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.itertuples()} == rows

@@ -25,6 +25,8 @@ from wardflow.llm.common import add_columns, table
 DIMENSIONS = 4096
 UNKNOWN = "und"
 ROWS_AT_ONCE = 256
+#: the sample's hash ranges: 2 to this power for each label
+HASH_BITS = 12
 
 
 def _groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -153,6 +155,22 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def first_of_each(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows (id, label) of each label that come first by a hash of the id.
+
+    Rows are counted per label and range of hashes; only ranges that begin before
+    rank n are sorted, each by itself, so no label is sorted as a whole.
+    """
+    h = F.xxhash64("id")
+    binned = rows.withColumn("h", h).withColumn("bin", F.shiftright("h", 64 - HASH_BITS))
+    counts = binned.groupBy("label", "bin").agg(F.count(F.lit(1)).alias("c"))
+    ahead = Window.partitionBy("label").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    early = counts.withColumn("ahead", F.coalesce(F.sum("c").over(ahead), F.lit(0))).filter(F.col("ahead") < n).drop("c")
+    inside = Window.partitionBy("label", "bin").orderBy("h", "id")
+    ranked = binned.join(early, ["label", "bin"]).withColumn("r", F.row_number().over(inside)).filter(F.col("r") <= n)
+    return ranked.filter(F.col("r") + F.col("ahead") <= n).select("id", "label")
+
+
 def fit(docs: DataFrame, text: str, label: str, doc_id: str, per_language: int = 1000) -> dict | None:
     """A model from the rows of ``docs`` with text and label; None without such rows."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"),
@@ -161,8 +179,7 @@ def fit(docs: DataFrame, text: str, label: str, doc_id: str, per_language: int =
     if not total:
         return None
     idf = np.log((1 + total) / (1 + df)) + 1
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "label").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
+    chosen = first_of_each(rows.select("id", "label"), per_language)
     chosen = F.broadcast(chosen.select("id").distinct())  # at most per_language ids of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
