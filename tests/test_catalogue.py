@@ -11,9 +11,6 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-HEAVY = {"m6_percentile_ci_binned", "l3_logistic", "l4_gbt",
-         "l6_few_shot_fit", "v4_survival_at_h", "v5_concordance"}
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 
@@ -55,8 +52,6 @@ def test_entry_runs(spark):
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
-    if name in HEAVY:
-        pytest.skip("covered at sf0.01 by tools/oracle_check.py")
     got = entry.queries()[name](spark, SF).toPandas()
     want = duck.execute(entry.oracle_sql()[name]).df()
     gc, gr = _rows(got)
@@ -73,6 +68,13 @@ def test_query_matches_oracle(spark, duck, name):
                 assert x == y, (name, a, b)
 
 
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+def test_query_without_oracle_runs(spark, name):
+    got = entry.queries()[name](spark, SF)
+    assert got.columns and got.count() >= 0
+    got.limit(5).collect()
+
+
 def test_every_query_has_an_operator_prefix():
     for name in entry.queries():
         if name.startswith("op") or name == "pipeline":

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from wardflow.operators.metrics import (
     auc,
     average_precision_from_histogram,
@@ -138,3 +141,65 @@ def test_infinite_scores_are_ordered(spark):
     assert abs(auc(df, ["g"], "y", "p").first().auc - brute_auc(ys, ps)) < 1e-12
     ap = average_precision_from_histogram(score_histogram(df, ["g"], "y", "p"), ["g"]).first().ap
     assert abs(ap - brute_ap(ys, ps)) < 1e-12
+
+
+def _exact(df, **kw):
+    from wardflow.operators.bootstrap_exact import replicate_aucs_exact
+    from wardflow.operators.metrics import score_histogram
+
+    hist = score_histogram(df.withColumn("__gid", F.lit(5).cast("long")), ["__gid"], "y", "p")
+    return sorted((r.rep, r["__auc"], r["__drawn"]) for r in replicate_aucs_exact(hist, **kw).collect())
+
+
+def test_exact_bootstrap_draws_n_rows_whatever_the_partitioning(spark):
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 500)
+    rows = [(int(a), float(np.round(b + 0.5 * a, 1 + k % 2))) for k, (a, b) in enumerate(zip(y, rng.normal(size=500)))]
+    df = spark.createDataFrame(rows, "y int, p double")
+    got = _exact(df.repartition(7), n_boot=50, seed=3, leaf=8, fanout=4)  # a tree of several levels
+    assert got == _exact(df.coalesce(1), n_boot=50, seed=3, leaf=8, fanout=4)
+    assert [r[0] for r in got] == list(range(50)) and {r[2] for r in got} == {500}
+    assert len({r[1] for r in got}) > 40 and got != _exact(df, n_boot=50, seed=4, leaf=8, fanout=4)
+
+
+def test_exact_bootstrap_is_distributed_like_a_numpy_resampling(spark):
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 120)
+    p = np.round(rng.normal(size=120) + 0.6 * y, 1)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y int, p double")
+    got = np.array([r[1] for r in _exact(df, n_boot=4000, seed=11, leaf=16, fanout=2)])
+    want = []
+    for _ in range(4000):
+        i = rng.integers(0, 120, 120)
+        a, b = p[i][y[i] == 1], p[i][y[i] == 0]
+        want.append(((a[:, None] > b).sum() + 0.5 * (a[:, None] == b).sum()) / (len(a) * len(b)))
+    want = np.array(want)
+    assert abs(got.mean() - want.mean()) < 5 * want.std() / 4000**0.5 * 2**0.5
+    assert abs(got.std() / want.std() - 1) < 0.06
+    width = lambda v: np.subtract(*np.percentile(v, [97.5, 2.5]))
+    assert abs(width(got) / width(want) - 1) < 0.08
+
+
+def test_dealt_counts_follow_a_multinomial():
+    from wardflow.operators.bootstrap_exact import deal
+
+    rng = np.random.default_rng(3)
+    sizes = [5, 0, 1, 94, 100]
+    parts = np.array(list(deal(rng, np.full(20000, 200), sizes)))
+    assert (parts.sum(axis=0) == 200).all() and (parts[1] == 0).all()
+    for part, size in zip(parts, sizes):
+        q = size / 200
+        assert abs(part.mean() - size) < 0.1 and abs(part.var() - 200 * q * (1 - q)) < 0.06 * max(size, 1) + 0.05
+
+
+def test_closed_form_standard_error(spark):
+    from wardflow.operators.metrics import auc_standard_error
+
+    rng = np.random.default_rng(4)
+    y, p = rng.integers(0, 2, 90), np.round(rng.normal(size=90), 1)
+    df = spark.createDataFrame([("g", int(a), float(b)) for a, b in zip(y, p)] + [("one", 1, 0.5), ("one", 0, 0.1), (None, 1, 0.3)], "g string, y int, p double")
+    a, b = p[y == 1], p[y == 0]
+    share = (a[:, None] > b) + 0.5 * (a[:, None] == b)
+    want = (share.mean(axis=1).var(ddof=1) / len(a) + share.mean(axis=0).var(ddof=1) / len(b)) ** 0.5
+    got = {r.g: r.auc_se for r in auc_standard_error(df, ["g"], "y", "p").collect()}
+    assert abs(got["g"] - want) < 1e-12 and got["one"] is None and None not in got

@@ -13,25 +13,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Blank characters (all Unicode white space), written out so that
-# the JVM and SQL engines agree; ``_WS_NO_NL`` lacks the newline.
-_BLANKS = r"\t\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_WS = "[" + r"\n" + _BLANKS + "]"
-_WS_NO_NL = "[" + _BLANKS + "]"
-
-# The cleaning steps of a generated note, in order (pattern, replacement).
-CLEAN_STEPS = [
-    (r"[ \t]+", " "),
-    # a blank run that contains a newline becomes one newline (same matches as
-    # "blank* newline blank*", without backtracking over long runs)
-    (_WS_NO_NL + r"*\n" + _WS + "*", "\n"),
-    (r"\n{3,}", "\n\n"),
-    ("STRIP", ""),
-    (_WS + r"+\.", "."),
-    (_WS + r"+,", ","),
-    (_WS + r"+:", ":"),
-    (_WS + r"+;", ";"),
-    (r"\.{2,}", "."),
-]
+# the JVM and SQL engines agree.
+_ASCII_BLANKS = r"\t\x0B\f\r\x1C-\x1F "
+_OTHER_BLANKS = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WS = "[" + r"\n" + _ASCII_BLANKS + _OTHER_BLANKS + "]"
+_BLANK_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def _clean_steps(blanks: str) -> list[tuple[str, str]]:
+    """The cleaning steps of a generated note, in order (pattern, replacement)."""
+    any_blank = "[" + r"\n" + blanks + "]"
+    return [
+        # "[ \t]+" to one blank: a single blank stays as it is
+        (r"[ \t]{2,}|\t", " "),
+        # a blank run that contains a newline becomes one newline (same matches as
+        # "blank* newline blank*", without backtracking over long runs)
+        ("[" + blanks + "]*" + r"\n" + any_blank + "*", "\n"),
+        (r"\n{3,}", "\n\n"),
+        ("STRIP", ""),
+        # no blank before . , : ; (one pass, as none of the four makes way for another)
+        (any_blank + "+([.,:;])", "$1"),
+        (r"\.{2,}", "."),
+    ]
+
+
+CLEAN_STEPS = _clean_steps(_ASCII_BLANKS + _OTHER_BLANKS)
+# the same steps for a text without other blanks than ASCII ones
+_ASCII_STEPS = _clean_steps(_ASCII_BLANKS)
 
 
 def _c(x: Column | str) -> Column:
@@ -40,15 +48,20 @@ def _c(x: Column | str) -> Column:
 
 def strip_blanks(x: Column | str) -> Column:
     """Remove leading and trailing blanks (``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(x), f"^{_WS}+|{_WS}+$", "")
+    return F.trim(_c(x), F.lit(_BLANK_CHARACTERS))
 
 
 def clean_text(x: Column | str) -> Column:
     """The note-cleaning chain (blanks, newlines, space before punctuation, dots)."""
-    out = _c(x).cast("string")
-    for pattern, repl in CLEAN_STEPS:
-        out = strip_blanks(out) if pattern == "STRIP" else F.regexp_replace(out, pattern, repl)
-    return out
+    text = _c(x).cast("string")
+
+    def chain(steps: list[tuple[str, str]]) -> Column:
+        out = text
+        for pattern, repl in steps:
+            out = strip_blanks(out) if pattern == "STRIP" else F.regexp_replace(out, pattern, repl)
+        return out
+
+    return F.when(text.rlike("[" + _OTHER_BLANKS + "]"), chain(CLEAN_STEPS)).otherwise(chain(_ASCII_STEPS))
 
 
 def clean_text_sql(x: str) -> str:
@@ -59,7 +72,7 @@ def clean_text_sql(x: str) -> str:
             pat = f"^{_WS}+|{_WS}+$"
             out = f"regexp_replace({out}, {_sql_str(pat)}, '', 'g')"
         else:
-            out = f"regexp_replace({out}, {_sql_str(pattern)}, {_sql_str(repl)}, 'g')"
+            out = f"regexp_replace({out}, {_sql_str(pattern)}, {_sql_str(repl.replace('$1', chr(92) + '1'))}, 'g')"
     return out
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow.functions.random import key_bits, mixed_uniform, poisson_weight
-from wardflow.operators.scan import float_bin, join_groups, prefix_sum
+from wardflow.operators.scan import float_bin, join_groups, next_value, prefix_sum
 
 SCORE = "score"
 
@@ -89,13 +89,22 @@ def average_precision_from_histogram(hist: DataFrame, group_cols: Sequence[str],
     )
 
 
-def roc_points(df: DataFrame, group_cols: Sequence[str], label: str, score: str) -> DataFrame:
+def roc_points(df: DataFrame, group_cols: Sequence[str], label: str, score: str, *, drop_intermediate: bool = False) -> DataFrame:
     """M1: (group, threshold, fpr, tpr) for every distinct score, descending,
-    plus the point (0, 0) at threshold +infinity. All points are kept (no
-    dropping of collinear points), so the curve is exact."""
+    plus the point (0, 0) at threshold +infinity.
+
+    ``drop_intermediate`` leaves out the points inside straight runs, as plots of
+    the curve do: those where a step and the next one add equally many true and
+    false positives. The first and the last score stay. The area does not change.
+    """
     hist = score_histogram(df, group_cols, label, score)
     h = prefix_sum(hist, group_cols, [SCORE], ["pos", "neg"], float_bin(SCORE), descending=True, prefix="c_")
     tot = hist.groupBy(*group_cols).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
+    if drop_intermediate:
+        h = next_value(h, group_cols, [SCORE], ["pos", "neg"], float_bin(SCORE), descending=True)
+        straight = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
+        first = F.col("c_pos") + F.col("c_neg") == F.col("pos") + F.col("neg")
+        h = h.filter(first | ~F.coalesce(straight, F.lit(False)))
     pts = join_groups(h, tot, list(group_cols)).select(
         *group_cols,
         F.col(SCORE).alias("threshold"),
@@ -147,9 +156,26 @@ def threshold_metrics(
                                     threshold=threshold, inclusive=inclusive)
 
 
-# A cell of c rows is the sum of c // CELL_DRAW Poisson(CELL_DRAW) draws and
-# c % CELL_DRAW Poisson(1) draws: exact for every c.
-CELL_DRAW = 32
+def auc_standard_error(df: DataFrame, group_cols: Sequence[str], label: str, score: str, *, out: str = "auc_se") -> DataFrame:
+    """Closed-form standard error of the AUC per group (DeLong): the spread over positives of
+    the share of negatives below, and over negatives of the share of positives above, ties half.
+
+    Null where a class has fewer than two rows.
+    """
+    g = list(group_cols)
+    hist = score_histogram(df, g, label, score)
+    h = prefix_sum(hist, g, [SCORE], ["pos", "neg"], float_bin(SCORE), prefix="c_")
+    tot = hist.groupBy(*g).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
+    below = (F.col("c_neg") - F.col("neg") / 2.0) / F.col("__N")
+    above = (F.col("__P") - F.col("c_pos") + F.col("pos") / 2.0) / F.col("__P")
+
+    def spread(n: str, v: Column) -> Column:
+        total = F.sum(n)
+        var = F.sum(F.col(n) * v * v) - F.sum(F.col(n) * v) * F.sum(F.col(n) * v) / total
+        return F.when(total > 1, var / (total - 1) / total)
+
+    return join_groups(h, tot.filter("__P > 0 AND __N > 0"), g).groupBy(*g).agg(
+        F.sqrt(spread("pos", below) + spread("neg", above)).alias(out))
 
 
 def bootstrap_auc(
@@ -184,9 +210,10 @@ def bootstrap_auc(
     replicates as DataFrame rows. Both use the same weights and give the same
     numbers (the SQL form is the oracle's).
 
-    ``binned=True`` first collapses rows to (score, label) counts c and draws a
-    Poisson(c) weight per cell and replicate as a sum of exact draws for
-    ``CELL_DRAW`` rows or one, so the cost grows with rows / ``CELL_DRAW``.
+    ``binned=True`` draws exactly n rows per replicate, as the reference does: rows
+    collapse to (score, label) cells, whose multinomial counts are dealt by
+    conditional binomials (``operators/bootstrap_exact.py``). Its cost is one draw
+    per cell and replicate, however many rows a cell holds; ``key`` is not used.
 
     Null group keys are groups of their own.
     """
@@ -201,23 +228,9 @@ def bootstrap_auc(
     group_cols = ["__gid"]
     point = auc(base, group_cols, label, score)
     if binned:
-        cells = base.groupBy(*group_cols, F.col(score).cast("double").alias(SCORE), _y(label).alias("__y")).agg(
-            F.count(F.lit(1)).cast("double").alias("__c")
-        )
-        cell_key = [F.col(g) for g in group_cols] + [F.col(SCORE), F.col("__y")]
-        # one row per draw of a cell and replicate
-        full, rest = F.floor(F.col("__c") / CELL_DRAW).cast("int"), (F.col("__c") % CELL_DRAW).cast("int")
-        pieces = cells.withColumn("__full", full).select(
-            "*", F.explode(F.sequence(F.lit(0), full + rest - 1)).alias("__part"))
-        pieces = pieces.withColumn("__bits", key_bits(F.concat_ws(":", *[c.cast("string") for c in cell_key], F.col("__part"))))
-        grid = pieces.repartition("__bits").select(*pieces.columns, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-        grid = grid.withColumn("__u", mixed_uniform(F.col("__bits"), F.col("rep"), seed))
-        draw = F.when(F.col("__part") < F.col("__full"), poisson_weight(F.col("__u"), float(CELL_DRAW))).otherwise(poisson_weight(F.col("__u")))
-        weighted = grid.withColumn("__w", draw.cast("double")).filter(F.col("__w") > 0)
-        hist = weighted.groupBy(*group_cols, "rep", SCORE).agg(
-            F.sum(F.col("__w") * F.col("__y")).alias("pos"),
-            F.sum(F.col("__w") * (F.lit(1.0) - F.col("__y"))).alias("neg"),
-        )
+        from wardflow.operators.bootstrap_exact import replicate_aucs_exact
+
+        per_rep = replicate_aucs_exact(score_histogram(base, group_cols, label, score), n_boot=n_boot, seed=seed)
     elif method == "sql":
         # Weights from the counter-based integer hash of (key, replicate): cheap,
         # whole-stage-codegen friendly and reproducible in SQL. The uniform is
@@ -231,7 +244,6 @@ def bootstrap_auc(
         grid = grid.withColumn("__u", mixed_uniform(F.col("__bits"), F.col("rep"), seed))
         weighted = grid.withColumn("__w", poisson_weight(F.col("__u")).cast("double"))
         hist = score_histogram(weighted, [*group_cols, "rep"], label, score, weight=F.col("__w"))
-    if binned or method == "sql":
         hist = hist.filter((F.col("pos") > 0) | (F.col("neg") > 0))
         per_rep = auc_from_histogram(hist, [*group_cols, "rep"], out="__auc").filter(F.col("__auc").isNotNull())
     else:

@@ -129,8 +129,8 @@ def coefficient_rows(model: PipelineModel, names: Sequence[str], train: DataFram
     errors = np.sqrt(np.maximum(np.diag(inverse), 0.0))
     out = []
     for name, b, se in zip([*names, "intercept"], [*glm.coefficients, glm.intercept], errors):
-        z = float(b) / se if se > 0 else float("nan")
-        out.append((name, float(b), float(se), z, math.erfc(abs(z) / math.sqrt(2.0)) if se > 0 else float("nan")))
+        z = float(b / se) if se > 0 else float("nan")
+        out.append((name, float(b), float(se), z, math.erfc(abs(z) / math.sqrt(2.0))))
     return out
 
 

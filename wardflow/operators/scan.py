@@ -125,6 +125,65 @@ def prefix_sum(
     return out
 
 
+def last_value(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    order_cols: Sequence[str],
+    value_cols: Sequence[str],
+    bin_col: Column,
+    *,
+    prefix: str = "last_",
+) -> DataFrame:
+    """Add ``last_<v>``: the last non-null ``v`` at or before each row, in ``order_cols`` order inside each group.
+
+    The companion of ``prefix_sum`` for a carry that does not add up: the last
+    non-null value of each (group, bin) is carried over the small bin table, and
+    rows fill inside their bin, so one group spreads over its bins. ``bin_col``
+    must be non-decreasing in the order. Rows of the same order key read as one
+    another's past in an arbitrary but fixed order.
+    """
+    b = "__bin"
+    binned, keys = null_safe_keys(df, list(group_cols))
+    binned = binned.withColumn(b, bin_col)
+    order = F.struct(*order_cols)
+    lasts = binned.groupBy(*keys, b).agg(*[
+        F.max_by(F.col(v), F.when(F.col(v).isNotNull(), order)).alias(f"__end_{v}") for v in value_cols])
+    over_bins = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(*keys, b, *[F.last(f"__end_{v}", ignorenulls=True).over(over_bins).alias(f"__carry_{v}") for v in value_cols])
+    inside = Window.partitionBy(*keys, b).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = binned.select("*", *[F.last(v, ignorenulls=True).over(inside).alias(f"__local_{v}") for v in value_cols])
+    return local.join(carried, [*keys, b]).select(
+        *df.columns, *[F.coalesce(f"__local_{v}", f"__carry_{v}").alias(f"{prefix}{v}") for v in value_cols])
+
+
+def next_value(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    order_cols: Sequence[str],
+    value_cols: Sequence[str],
+    bin_col: Column,
+    *,
+    descending: bool = False,
+    prefix: str = "next_",
+) -> DataFrame:
+    """Add ``next_<v>``: ``v`` of the next row in ``order_cols`` order inside each group (null for the last row).
+
+    A bin hands the values of its first row to the bin before it, so a group
+    spreads over its bins. Rows should be unique per (group, order_cols).
+    """
+    b = "__bin"
+    binned, keys = null_safe_keys(df, list(group_cols))
+    binned = binned.withColumn(b, bin_col)
+    first = (F.max_by if descending else F.min_by)(F.struct(*value_cols), F.struct(*order_cols))
+    firsts = binned.groupBy(*keys, b).agg(first.alias("__first"))
+    over_bins = Window.partitionBy(*keys).orderBy(F.col(b).desc() if descending else F.col(b).asc())
+    handed = firsts.select(*keys, b, F.lead("__first").over(over_bins).alias("__handed"))
+    inside = Window.partitionBy(*keys, b).orderBy(*_order(order_cols, descending))
+    local = binned.select("*", F.lead(F.struct(*value_cols)).over(inside).alias("__next"))
+    return local.join(handed, [*keys, b]).withColumn("__next", F.coalesce("__next", "__handed")).select(
+        *df.columns, *[F.col("__next")[v].alias(f"{prefix}{v}") for v in value_cols])
+
+
 def hash_rank(
     df: DataFrame,
     group_cols: Sequence[str],

@@ -2,17 +2,21 @@
 a ridge-penalised Cox proportional-hazards fit, survival at a horizon, hazard
 ratios and cohort summaries.
 
-The Cox fit is Newton's method on the Breslow partial likelihood. A step has
-two passes. The first sums ``w = exp(x.b)`` and ``w x`` per distinct time; the
-two-level ``prefix_sum`` turns them into risk-set totals R0 and R1 and the
-cumulative hazard H(t). The second uses that the sum over event times of
-``d R2 / R0`` is the sum over rows of ``w H(T) x x'``: each task reduces its rows
-to one p x p matrix, so no p x p value per time or row exists, and p can be in
-the hundreds with as many distinct times as rows. Only the summed gradient and
-Hessian reach the driver. Covariates are standardised first (stable ``exp``);
-coefficients are reported on the original scale. Ties follow Breslow and the
-penalty is ``penalizer / 2 * |b|^2`` on the standardised scale added to the
-mean negative log-likelihood, so digits differ from libraries using Efron ties.
+The Cox fit is Newton's method on the partial likelihood with Efron's (default) or
+Breslow's treatment of ties. A step has two passes over the rows, both plain
+aggregates. The first sums ``w = exp(x.b)`` and ``w x`` per distinct time, for all
+rows and for events; the two-level ``prefix_sum`` turns them into risk-set totals.
+With d events at a time, Efron's risk set of event l lacks the part l/d of the
+events' own weight; the sums over l of its reciprocal, of l/d times it and of its
+squares are computed per time, in a loop over l. They give each time's term of the
+information and two hazards: H(t) for all rows and B(t) for the events themselves.
+The second pass uses that the sum over event times of the R2 terms is the sum over
+rows of ``w (H(T) - e B(T)) x x'``, so no p x p value per time or row exists. Few
+covariates are summed as columns, many (over ``COLUMNS``) as one matrix per task.
+Only the summed gradient and information reach the driver. Covariates are standardised first
+(sample standard deviation; stable ``exp``); coefficients are reported on the
+original scale. The penalty is ``penalizer / 2 * |b|^2`` on the standardised scale,
+added to the mean negative log-likelihood.
 A missing covariate counts as 0 everywhere: in the fit, in the baseline hazard
 and in scoring.
 """
@@ -29,7 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardflow.operators.scan import float_bin, prefix_sum
+from wardflow.operators.scan import float_bin, last_value, prefix_sum
+
+# with more covariates than this, x x' is summed as one matrix per task instead of as columns
+COLUMNS = 12
 
 
 def censor(duration: Column, event: Column, horizon: float) -> tuple[Column, Column]:
@@ -99,54 +106,99 @@ def _matrix(column: pa.Array, p: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
 
 
+def _weight(beta: np.ndarray) -> Column:
+    return F.exp(sum((F.get("x", F.lit(i)) * F.lit(float(b)) for i, b in enumerate(beta)), F.lit(0.0)))
+
+
 def _time_table(data: DataFrame, beta: np.ndarray) -> DataFrame:
-    """Per distinct time: S0, S1 of the rows ending there and the number of events."""
-    p = len(beta)
+    """Per distinct time: summed ``w`` and ``w x`` of the rows (s0, s1) and of the events (d0, d1) ending there, and the events' number."""
+    p = range(len(beta))
+    rows = data.select("t", "e", "x", _weight(beta).alias("w"))
+    return rows.groupBy(F.col("t").alias("__t")).agg(
+        F.count_if("e").alias("d"), F.sum("w").alias("s0"), F.coalesce(F.sum(F.when(F.col("e"), F.col("w"))), F.lit(0.0)).alias("d0"),
+        *[F.sum(F.col("w") * F.get("x", F.lit(i))).alias(f"s1_{i}") for i in p],
+        *[F.coalesce(F.sum(F.when(F.col("e"), F.col("w") * F.get("x", F.lit(i)))), F.lit(0.0)).alias(f"d1_{i}") for i in p],
+    ).withColumn("__g", F.lit(0))
+
+
+def efron_sums(d: int, r0: float, d0: float, efron: bool, step: int = 1 << 20) -> np.ndarray:
+    """Over the d events of a time, with f = l / d (Breslow: 0) and v = 1 / (r0 - f d0): the sums of -log v, v, f v, v^2, f v^2, f^2 v^2."""
+    if not efron:
+        return np.array([d * math.log(r0), d / r0, 0.0, d / r0**2, 0.0, 0.0])
+    out = np.zeros(6)
+    for start in range(0, d, step):
+        f = np.arange(start, min(d, start + step)) / d
+        left = r0 - f * d0
+        v = 1.0 / left
+        out += [np.log(left).sum(), v.sum(), (f * v).sum(), (v * v).sum(), (f * v * v).sum(), (f * f * v * v).sum()]
+    return out
+
+
+def _hazards(risk: DataFrame, p: int, efron: bool) -> DataFrame:
+    """Per time of ``risk(__t, d, d0, d1, r0, r1)``: (__t, h, b), the two hazard steps; per task one row whose ``v``
+    sums its times' part of the log-likelihood, the events and the information."""
+    schema = "__t double, h double, b double, v array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
+        total = np.zeros(2 + p * p)
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            t, e, x = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64), _matrix(b.column(2), p)
-            w = np.exp(x @ beta)
-            times, of = np.unique(t, return_inverse=True)
-            s1 = np.zeros((len(times), p))
-            np.add.at(s1, of, w[:, None] * x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(times), pa.array(np.bincount(of, w)), pa.array(np.bincount(of, e)), pa.array(list(s1), pa.list_(pa.float64()))],
-                names=["__t", "s0", "d", "s1"])
+            t, d, d0, r0 = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            d1, r1 = _matrix(batch.column(3), p), _matrix(batch.column(5), p)
+            sums = np.array([efron_sums(int(n), r, own, efron) if n else np.zeros(6) for n, own, r in zip(d, d0, r0)])
+            cross = (sums[:, 4, None] * r1).T @ d1
+            total[:2] += sums[:, 0].sum(), d.sum()
+            total[2:] += ((sums[:, 3, None] * r1).T @ r1 - cross - cross.T + (sums[:, 5, None] * d1).T @ d1).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(sums[:, 1]), pa.array(sums[:, 2]),
+                                              pa.nulls(len(t), pa.list_(pa.float64()))], names=["__t", "h", "b", "v"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.float64())] * 3 + [pa.array([total], pa.list_(pa.float64()))], names=["__t", "h", "b", "v"])
+
+    return risk.select("__t", "d", "d0", "d1", "r0", "r1").mapInArrow(run, schema)
+
 
-    parts = data.select("t", "e", "x").mapInArrow(run, "__t double, s0 double, d double, s1 array<double>")
-    sums = [F.sum(F.col("s1")[i]).alias(f"s1_{i}") for i in range(p)]
-    return parts.groupBy("__t").agg(F.sum("s0").alias("s0"), F.sum("d").alias("d"), *sums).withColumn("__g", F.lit(0))
+def _row_sums(rows: DataFrame, beta: np.ndarray) -> np.ndarray:
+    """Summed e eta, gradient and w (H - e B) x x' of ``rows(e, x, h, b)``."""
+    p = len(beta)
+    if p > COLUMNS:
+        def at_rows(batch: pa.RecordBatch) -> np.ndarray:
+            e, x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64), _matrix(batch.column(1), p)
+            h, b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            eta = x @ beta
+            v = np.exp(eta) * (h - e * b)
+            return np.concatenate([[(e * eta).sum()], x.T @ (e - v), ((v[:, None] * x).T @ x).ravel()])
 
+        return _total(rows.select("e", "x", "h", "b"), 1 + p + p * p, at_rows)
+    e = F.col("e").cast("double")
+    rows = rows.select("x", e.alias("e"), (_weight(beta) * (F.col("h") - e * F.col("b"))).alias("v"))
+    x = [F.get("x", F.lit(i)) for i in range(p)]
+    eta = sum((c * F.lit(float(b)) for c, b in zip(x, beta)), F.lit(0.0))
+    got = rows.agg(F.sum(F.col("e") * eta), *[F.sum(c * (F.col("e") - F.col("v"))) for c in x],
+                   *[F.sum(F.col("v") * x[i] * x[j]) for i in range(p) for j in range(i + 1)]).first()
+    info = np.zeros((p, p))
+    for (i, j), value in zip([(i, j) for i in range(p) for j in range(i + 1)], got[1 + p:]):
+        info[i, j] = info[j, i] = value or 0.0
+    return np.concatenate([[got[0] or 0.0], [v or 0.0 for v in got[1: 1 + p]], info.ravel()])
 
-def _step_sums(data: DataFrame, beta: np.ndarray):
+
+def _step_sums(data: DataFrame, beta: np.ndarray, efron: bool):
     """Log-likelihood, gradient, information and number of events at ``beta``."""
     p = len(beta)
     cols = ["s0"] + [f"s1_{i}" for i in range(p)]
     risk = prefix_sum(_time_table(data, beta), ["__g"], ["__t"], cols, float_bin("__t"), descending=True, prefix="r_")
-    risk = risk.select("__g", "__t", "d", "r_s0", F.array(*[f"r_s1_{i}" for i in range(p)]).alias("r1")).persist()
+    risk = risk.select("__t", "d", "d0", F.array(*[f"d1_{i}" for i in range(p)]).cast("array<double>").alias("d1"), F.col("r_s0").alias("r0"),
+                       F.array(*[f"r_s1_{i}" for i in range(p)]).cast("array<double>").alias("r1"))
+    steps = _hazards(risk, p, efron).persist()
     try:
-        def at_times(b: pa.RecordBatch) -> np.ndarray:
-            d, r0, r1 = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), p)
-            m = r1 / r0[:, None]
-            return np.concatenate([[(d * np.log(r0)).sum(), d.sum()], ((d[:, None] * m).T @ m).ravel()])
-
-        times = _total(risk.filter("d > 0").select("d", "r_s0", "r1"), 2 + p * p, at_times)
-        steps = risk.withColumn("h", F.col("d") / F.col("r_s0"))
-        hazard = prefix_sum(steps, ["__g"], ["__t"], ["h"], float_bin("__t"), prefix="H_").select(
-            F.col("__t").alias("t"), F.col("H_h").alias("hazard"))
-
-        def at_rows(b: pa.RecordBatch) -> np.ndarray:
-            e, x, h = b.column(0).to_numpy(zero_copy_only=False).astype(np.float64), _matrix(b.column(1), p), b.column(2).to_numpy()
-            eta = x @ beta
-            v = np.exp(eta) * h
-            return np.concatenate([[(e * eta).sum()], x.T @ (e - v), ((v[:, None] * x).T @ x).ravel()])
-
-        rows = _total(data.join(hazard, "t").select("e", "x", "hazard"), 1 + p + p * p, at_rows)
+        times = np.zeros(2 + p * p)
+        for r in steps.filter("v IS NOT NULL").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+            times[r["i"]] = r["x"]
+        marks = steps.filter("v IS NULL").select(F.lit(0).alias("__g"), "__t", "h", "b")
+        hazard = prefix_sum(marks, ["__g"], ["__t"], ["h"], float_bin("__t"), prefix="H_").select(
+            F.col("__t").alias("t"), F.col("H_h").alias("h"), "b")
+        rows = _row_sums(data.join(hazard, "t").select("e", "x", "h", "b"), beta)
     finally:
-        risk.unpersist()
+        steps.unpersist()
     info = rows[1 + p:].reshape(p, p) - times[2:].reshape(p, p)
     return rows[0] - times[0], rows[1: 1 + p], (info + info.T) / 2, times[1]
 
@@ -160,15 +212,18 @@ def fit_cox(
     penalizer: float = 0.1,
     max_iter: int = 50,
     tol: float = 1e-9,
+    ties: str = "efron",
 ) -> CoxModel:
-    """V3: ridge-penalised Cox PH fit (Breslow ties) by Newton steps on Spark."""
+    """V3: ridge-penalised Cox PH fit (``ties``: efron or breslow) by Newton steps on Spark."""
+    if ties not in ("efron", "breslow"):
+        raise ValueError("ties must be 'efron' or 'breslow'")
     xs = list(covariates)
     base = valid_durations(df, duration).filter(F.col(event).isNotNull()).select(
         F.col(duration).cast("double").alias("t"), F.col(event).cast("boolean").alias("e"),
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(xs)],
     )
     stats = base.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"m_{i}") for i in range(len(xs))],
-                     *[F.stddev_pop(f"x{i}").alias(f"s_{i}") for i in range(len(xs))]).collect()[0]
+                     *[F.stddev_samp(f"x{i}").alias(f"s_{i}") for i in range(len(xs))]).collect()[0]
     n = int(stats["n"])
     mean = np.array([stats[f"m_{i}"] or 0.0 for i in range(len(xs))])
     scale = np.array([(stats[f"s_{i}"] or 0.0) or 1.0 for i in range(len(xs))])
@@ -178,14 +233,15 @@ def fit_cox(
     converged, it, ll, info, n_events = False, 0, float("nan"), np.eye(len(xs)), 0.0
     try:
         for it in range(1, max_iter + 1):
-            ll, grad, info, n_events = _step_sums(std, beta)
+            ll, grad, info, n_events = _step_sums(std, beta, ties == "efron")
             # penalised mean objective: ll/n - penalizer/2 |b|^2
             step = np.linalg.solve(info / n + penalizer * np.eye(len(xs)), grad / n - penalizer * beta)
             beta = beta + step
             if np.max(np.abs(step)) < tol:
-                converged = True
+                converged = True  # the sums of before the last step hold to its size
                 break
-        ll, grad, info, n_events = _step_sums(std, beta)
+        else:
+            ll, grad, info, n_events = _step_sums(std, beta, ties == "efron")
     finally:
         std.unpersist()
     cov = np.linalg.inv(info + n * penalizer * np.eye(len(xs)))
@@ -239,6 +295,42 @@ def survival_at(df: DataFrame, model: CoxModel, duration: str, event: str, horiz
     return df.withColumn(out, F.least(F.greatest(risk, F.lit(0.0)), F.lit(1.0)))
 
 
+def hazard_as_of(df: DataFrame, hazard: DataFrame, horizon: str, *, out: str = "cum_hazard") -> DataFrame:
+    """Adds ``out``: the last cumulative hazard of ``hazard(time, cum_hazard)`` at or before each row's own ``horizon``.
+
+    Both sides are stacked in time order and the last known value is carried
+    forward (two-level ``last_value``): no range join and no collected table. 0
+    before the first time, null where the horizon is null.
+    """
+    rows = df.select("*", F.col(horizon).cast("double").alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast("double").alias("__h"))
+    steps = hazard.select(F.col("time").cast("double").alias("__t"), F.lit(0).alias("__kind"), F.col("cum_hazard").cast("double").alias("__h"))
+    both = rows.unionByName(steps, allowMissingColumns=True).withColumn("__g", F.lit(0))
+    known = both.filter("__t IS NOT NULL AND NOT isnan(__t)")
+    filled = last_value(known, ["__g"], ["__t", "__kind"], ["__h"], float_bin("__t"), prefix="__last").filter("__kind = 1")
+    missing = both.filter("(__t IS NULL OR isnan(__t)) AND __kind = 1")
+    return filled.select(*df.columns, F.coalesce("__last__h", F.lit(0.0)).alias(out)).unionByName(
+        missing.select(*df.columns, F.lit(None).cast("double").alias(out)))
+
+
+def predicted_risk(rows: DataFrame, train: DataFrame, model: CoxModel, duration: str, event: str, horizon: str,
+                   *, out: str = "risk") -> DataFrame:
+    """V4 on held-out rows: event probability by each row's own ``horizon``, from the baseline hazard of ``train``."""
+    base = baseline_cumulative_hazard(train, model, duration, event)
+    risk = F.lit(1.0) - F.exp(-F.col("__H0") * F.exp(model.linear_predictor()))
+    scored = hazard_as_of(rows, base, horizon, out="__H0")
+    return scored.withColumn(out, F.least(F.greatest(risk, F.lit(0.0)), F.lit(1.0))).drop("__H0")
+
+
+def nelson_aalen(df: DataFrame, duration: str, event: str) -> DataFrame:
+    """Cumulative hazard without covariates: (time, cum_hazard), the sum of events / rows at risk up to each distinct time."""
+    times = valid_durations(df, duration).groupBy(F.col(duration).cast("double").alias("__t")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(event).alias("d")).withColumn("__g", F.lit(0))
+    at_risk = prefix_sum(times, ["__g"], ["__t"], ["n"], float_bin("__t"), descending=True, prefix="r_")
+    steps = at_risk.withColumn("h", F.col("d") / F.col("r_n"))
+    return prefix_sum(steps, ["__g"], ["__t"], ["h"], float_bin("__t"), prefix="H_").select(
+        F.col("__t").alias("time"), F.col("H_h").alias("cum_hazard"))
+
+
 def concordance(df: DataFrame, duration: str, event: str, risk: str) -> DataFrame:
     """V5: Harrell's concordance index, exact, without forming row pairs.
 
