@@ -203,3 +203,31 @@ def test_closed_form_standard_error(spark):
     want = (share.mean(axis=1).var(ddof=1) / len(a) + share.mean(axis=0).var(ddof=1) / len(b)) ** 0.5
     got = {r.g: r.auc_se for r in auc_standard_error(df, ["g"], "y", "p").collect()}
     assert abs(got["g"] - want) < 1e-12 and got["one"] is None and None not in got
+
+
+def test_reduced_roc_points_equal_brute_force(spark):
+    from wardflow.operators.metrics import roc_points
+
+    rng = np.random.default_rng(6)
+    y, p = rng.integers(0, 2, 400), np.round(np.exp(rng.normal(size=400) * 3), 3)
+    y[150:] = (p[150:] > 1).astype(int)  # long straight runs, across bins
+    rows = [("g", int(a), float(b)) for a, b in zip(y, p)] + [("one", 1, 0.5)] + [("flat", 0, k / 7) for k in range(9)]
+    df = spark.createDataFrame(rows, "g string, y int, p double").repartition(3)
+    got = roc_points(df, ["g"], "y", "p", drop_intermediate=True).collect()
+    full = roc_points(df, ["g"], "y", "p").collect()
+    for g in ("g", "one", "flat"):
+        scores = sorted({b for h, _, b in rows if h == g}, reverse=True)
+        pos = np.array([sum(a for h, a, b in rows if h == g and b == s) for s in scores])
+        neg = np.array([sum(1 - a for h, a, b in rows if h == g and b == s) for s in scores])
+        keep = [i for i in range(len(scores)) if i in (0, len(scores) - 1) or pos[i] != pos[i + 1] or neg[i] != neg[i + 1]]
+        assert sorted(r.threshold for r in got if r.g == g and r.threshold < 1e300) == sorted(scores[i] for i in keep)
+    area = lambda pts: np.trapezoid(*zip(*sorted((r.tpr, r.fpr) for r in pts if r.g == "g")))
+    assert abs(area(got) - area(full)) < 1e-12 and len(got) < len(full)
+
+
+def test_reduced_roc_is_one_point_per_turn(spark):
+    from wardflow.operators.metrics import roc_points
+
+    df = spark.createDataFrame([(int(k >= 500), k / 1000) for k in range(1000)], "y int, p double").selectExpr("1 AS g", "y", "p")
+    got = roc_points(df, ["g"], "y", "p", drop_intermediate=True).collect()
+    assert sorted((r.fpr, r.tpr) for r in got) == [(0.0, 0.0), (0.0, 0.002), (0.0, 1.0), (1.0, 1.0)]

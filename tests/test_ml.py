@@ -36,3 +36,14 @@ def test_unseen_and_missing_levels_score_like_the_first(spark):
     test = prepare_columns(spark.createDataFrame([(0.0, "a", "x"), (0.0, "zzz", "x"), (None, None, "x")], "n double, a string, b string"), ["n"], ["a", "b"])
     p = [r.predicted_probability for r in positive_probability(model, test).collect()]
     assert p[0] == p[1] == p[2]
+
+
+def test_saved_model_scores_like_the_fitted_one(spark, tmp_path):
+    from wardflow.operators.ml import fit_classifier, load_model, positive_probability, save_model
+
+    df = spark.createDataFrame([(k, k % 7 / 7.0, "ab"[k % 2], float(k % 3 == 0)) for k in range(60)], "id long, x double, c string, y double")
+    for kind in ("logistic", "gbt"):
+        model = fit_classifier(df, "y", ["x"], ["c"], estimator=kind, reg=0.1)
+        save_model(model, str(tmp_path / kind))
+        score = lambda m: [r[0] for r in positive_probability(m, df).orderBy("id").select("predicted_probability").collect()]  # noqa: E731, B023
+        assert score(load_model(str(tmp_path / kind))) == score(model)

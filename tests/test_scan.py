@@ -43,3 +43,28 @@ def test_hash_rank_equals_row_number(spark):
     ref = df.withColumn("ref", F.row_number().over(w) - 1)
     j = got.join(ref, ["k", "s"]).collect()
     assert len(j) == 500 and all(r.rk == r.ref for r in j)
+
+
+def test_last_and_next_value_equal_one_window(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from wardflow.operators.scan import last_value, next_value
+
+    rnd = random.Random(3)
+    rows = []
+    for g in ("a", "b", None, "hot"):
+        for t in rnd.sample(range(4000), 1500 if g == "hot" else 60):
+            rows.append((g, float(t), rnd.random() if rnd.random() < 0.1 else None, rnd.choice([None, 1, 2])))
+    df = spark.createDataFrame(rows, "g string, t double, v double, w int").repartition(5)
+    by_bin = F.floor(F.col("t") / 100)
+    w = Window.partitionBy("g").orderBy("t")
+    want = df.select("*", *[F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"last_{c}") for c in ("v", "w")])
+    assert sorted(last_value(df, ["g"], ["t"], ["v", "w"], by_bin).collect(), key=str) == sorted(want.collect(), key=str)
+    for down in (False, True):
+        order = Window.partitionBy("g").orderBy(F.col("t").desc() if down else F.col("t"))
+        want = df.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("v", "w")])
+        assert sorted(next_value(df, ["g"], ["t"], ["v", "w"], by_bin, descending=down).collect(), key=str) == sorted(want.collect(), key=str)
+    assert last_value(df.limit(0), ["g"], ["t"], ["v"], by_bin).collect() == []

@@ -93,3 +93,21 @@ def test_write_sorted_and_shape(spark):
     back = spark.read.parquet(os.path.join(d, "o"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     assert shape(df) is None and shape(df, debug=True) == (4, 2)
+
+
+def test_malformed_lines_go_to_the_quarantine(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from wardflow.sources.tables import read_csv_checked
+
+    (tmp_path / "a.csv").write_text('id,name,v\n1,x,0.5\n2,y\n3,z,0.5,9\n4,"open,0.1\n5,w,high\n\n6,"a,b",\n7,"say ""hi""",1e3\n')
+    (tmp_path / "b.csv").write_text('v,id\n0.25,8\nlow,9\n')
+    (tmp_path / "c.csv").write_text("")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("v", T.DoubleType())])
+    good, bad = read_csv_checked(spark, [str(tmp_path / f"{n}.csv") for n in "abc"], schema)
+    assert sorted(map(tuple, good.collect())) == [(1, "x", 0.5, "a.csv"), (6, "a,b", None, "a.csv"), (7, 'say "hi"', 1000.0, "a.csv"), (8, None, 0.25, "b.csv")]
+    assert sorted(map(tuple, bad.collect())) == [
+        ("a.csv", "2,y", "number of fields"), ("a.csv", "3,z,0.5,9", "number of fields"), ("a.csv", '4,"open,0.1', "unclosed quote"),
+        ("a.csv", "5,w,high", "value"), ("b.csv", "low,9", "value")]
+    none = read_csv_checked(spark, str(tmp_path / "c.csv"), schema)
+    assert [d.count() for d in none] == [0, 0]

@@ -22,9 +22,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardflow.operators.scan import last_value
 from wardflow.operators.timeline import time_bucket
 
 KINDS = ("basic", "minmax", "stats")
+# buckets of an entity that are filled in one window of the long table
+LONG_BIN = 256
 
 
 @dataclass(frozen=True)
@@ -207,13 +210,19 @@ def bucket_long(
     return df.withColumn(bucket_col, time_bucket(t, width)).groupBy(entity, bucket_col).agg(*aggs, *extra)
 
 
-def fill_forward(df: DataFrame, entity: str, order: str | Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Carry the last non-null value forward inside each entity.
+def fill_forward(df: DataFrame, entity: str, order: str | Sequence[str], cols: Sequence[str], *,
+                 per_bin: int | None = None) -> DataFrame:
+    """Carry the last non-null value forward inside each entity; leading nulls stay.
 
-    All columns share one window spec, so the plan has one Sort + Window.
-    Meant for per-bucket tables (bounded rows per entity); leading nulls stay.
+    All columns share one window spec, so the plan has one Sort + Window: meant for
+    tables with a bounded number of rows per entity. With ``per_bin`` the first
+    order column is cut into bins of that width and the carry goes over the
+    bins (``scan.last_value``), so an entity of any length spreads over its bins.
     """
     order = [order] if isinstance(order, str) else list(order)
+    if per_bin is not None:
+        filled = last_value(df, [entity], order, list(cols), F.floor(F.col(order[0]) / per_bin), prefix="__filled_")
+        return filled.select(*[F.col(f"__filled_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
     w = Window.partitionBy(entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.select(
         *[F.last(F.col(c), ignorenulls=True).over(w).alias(c) if c in cols else F.col(c) for c in df.columns]
@@ -240,7 +249,7 @@ def long_with_closing_row(
     stacked = buckets.withColumn("__closing", F.lit(0)).unionByName(
         closing.withColumn("__closing", F.lit(1)), allowMissingColumns=True
     )
-    return fill_forward(stacked, entity, [bucket_col, "__closing"], fill_cols).drop("__closing")
+    return fill_forward(stacked, entity, [bucket_col, "__closing"], fill_cols, per_bin=LONG_BIN).drop("__closing")
 
 
 def start_stop(

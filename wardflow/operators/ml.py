@@ -157,6 +157,11 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def load_model(path: str) -> PipelineModel:
+    """A pipeline saved by ``save_model``; it scores like the one that was fitted."""
+    return PipelineModel.load(path)
+
+
 def batch_score(
     df: DataFrame, text_col: str, scorer: Callable[[pd.Series], pd.Series], *, out: str = "answer",
 ) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 BINS_PER_OCTAVE = 256
 # Exponent offset so that every finite double gets a positive code.
 _EXP_OFFSET = 1100
+# bin of a row without an order key, which sorts before all others
+NULL_BIN = -(1 << 62)
 
 
 def float_bin(x: Column | str, per_octave: int = BINS_PER_OCTAVE) -> Column:
@@ -144,7 +146,7 @@ def last_value(
     """
     b = "__bin"
     binned, keys = null_safe_keys(df, list(group_cols))
-    binned = binned.withColumn(b, bin_col)
+    binned = binned.withColumn(b, F.coalesce(bin_col.cast("long"), F.lit(NULL_BIN)))
     order = F.struct(*order_cols)
     lasts = binned.groupBy(*keys, b).agg(*[
         F.max_by(F.col(v), F.when(F.col(v).isNotNull(), order)).alias(f"__end_{v}") for v in value_cols])
@@ -173,7 +175,7 @@ def next_value(
     """
     b = "__bin"
     binned, keys = null_safe_keys(df, list(group_cols))
-    binned = binned.withColumn(b, bin_col)
+    binned = binned.withColumn(b, F.coalesce(bin_col.cast("long"), F.lit(NULL_BIN)))
     first = (F.max_by if descending else F.min_by)(F.struct(*value_cols), F.struct(*order_cols))
     firsts = binned.groupBy(*keys, b).agg(first.alias("__first"))
     over_bins = Window.partitionBy(*keys).orderBy(F.col(b).desc() if descending else F.col(b).asc())

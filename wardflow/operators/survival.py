@@ -107,6 +107,7 @@ def _matrix(column: pa.Array, p: int) -> np.ndarray:
 
 
 def _weight(beta: np.ndarray) -> Column:
+    """exp(x.b)."""
     return F.exp(sum((F.get("x", F.lit(i)) * F.lit(float(b)) for i, b in enumerate(beta)), F.lit(0.0)))
 
 
@@ -170,10 +171,9 @@ def _row_sums(rows: DataFrame, beta: np.ndarray) -> np.ndarray:
 
         return _total(rows.select("e", "x", "h", "b"), 1 + p + p * p, at_rows)
     e = F.col("e").cast("double")
-    rows = rows.select("x", e.alias("e"), (_weight(beta) * (F.col("h") - e * F.col("b"))).alias("v"))
+    rows = rows.select("x", e.alias("e"), _weight(beta).alias("w"), "h", "b").withColumn("v", F.col("w") * (F.col("h") - F.col("e") * F.col("b")))
     x = [F.get("x", F.lit(i)) for i in range(p)]
-    eta = sum((c * F.lit(float(b)) for c, b in zip(x, beta)), F.lit(0.0))
-    got = rows.agg(F.sum(F.col("e") * eta), *[F.sum(c * (F.col("e") - F.col("v"))) for c in x],
+    got = rows.agg(F.sum(F.col("e") * F.log("w")), *[F.sum(c * (F.col("e") - F.col("v"))) for c in x],
                    *[F.sum(F.col("v") * x[i] * x[j]) for i in range(p) for j in range(i + 1)]).first()
     info = np.zeros((p, p))
     for (i, j), value in zip([(i, j) for i in range(p) for j in range(i + 1)], got[1 + p:]):
@@ -185,7 +185,8 @@ def _step_sums(data: DataFrame, beta: np.ndarray, efron: bool):
     """Log-likelihood, gradient, information and number of events at ``beta``."""
     p = len(beta)
     cols = ["s0"] + [f"s1_{i}" for i in range(p)]
-    risk = prefix_sum(_time_table(data, beta), ["__g"], ["__t"], cols, float_bin("__t"), descending=True, prefix="r_")
+    table = _time_table(data, beta).persist()  # read by both levels of the prefix sums
+    risk = prefix_sum(table, ["__g"], ["__t"], cols, float_bin("__t"), descending=True, prefix="r_")
     risk = risk.select("__t", "d", "d0", F.array(*[f"d1_{i}" for i in range(p)]).cast("array<double>").alias("d1"), F.col("r_s0").alias("r0"),
                        F.array(*[f"r_s1_{i}" for i in range(p)]).cast("array<double>").alias("r1"))
     steps = _hazards(risk, p, efron).persist()
@@ -199,6 +200,7 @@ def _step_sums(data: DataFrame, beta: np.ndarray, efron: bool):
         rows = _row_sums(data.join(hazard, "t").select("e", "x", "h", "b"), beta)
     finally:
         steps.unpersist()
+        table.unpersist()
     info = rows[1 + p:].reshape(p, p) - times[2:].reshape(p, p)
     return rows[0] - times[0], rows[1: 1 + p], (info + info.T) / 2, times[1]
 

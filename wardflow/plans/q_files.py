@@ -15,6 +15,7 @@ from wardflow.session import ensure_checkpoint_dir
 from wardflow.sources.tables import (
     parse_id_text,
     read_csv,
+    read_csv_checked,
     read_table,
     read_with_provenance,
     write_csv,
@@ -85,3 +86,28 @@ def f4_minimum_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))
     stay = read_table(spark, sf_dir, "events").groupBy("user_id").agg((seconds / F.lit(86400.0)).alias("los"))
     return double_round(minimum_stay(stay, "los"))
+
+
+@register(
+    "s4_malformed_lines",
+    """
+SELECT kind, count(*) AS n, round(coalesce(sum(balance), 0), 2) AS balance FROM (
+  SELECT CASE c_custkey % 10 WHEN 1 THEN 'number of fields' WHEN 2 THEN 'number of fields' WHEN 3 THEN 'unclosed quote'
+              WHEN 4 THEN 'value' ELSE 'good' END AS kind,
+         CASE WHEN c_custkey % 10 IN (1, 2, 3, 4) THEN NULL ELSE c_acctbal END AS balance FROM customer)
+GROUP BY kind""",
+)
+def s4_malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written lines of which some are short, long, unclosed or no number, read into good rows and a quarantine."""
+    path = shared_folder(spark, "lines")
+    key, name = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    balance, damage = F.call_function("format_number", F.col("c_acctbal"), F.lit("0.00")), F.col("c_custkey") % 10
+    line = (F.when(damage == 1, F.concat_ws(",", key, name)).when(damage == 2, F.concat_ws(",", key, name, balance, F.lit("more")))
+            .when(damage == 3, F.concat_ws(",", key, F.concat(F.lit('"'), name), balance))
+            .when(damage == 4, F.concat_ws(",", key, name, F.lit("n/a"))).otherwise(F.concat_ws(",", key, name, balance)))
+    rows = read_table(spark, sf_dir, "customer").select(line.alias("line"))
+    write_text(spark.createDataFrame([("id,segment,balance",)], "line string").unionByName(rows).coalesce(1), "line", path)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("segment", T.StringType()), T.StructField("balance", T.DoubleType())])
+    good, bad = read_csv_checked(spark, path, schema)
+    both = good.select(F.lit("good").alias("kind"), "balance").unionByName(bad.select(F.col("reason").alias("kind"), F.lit(None).cast("double").alias("balance")))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("balance"), F.lit(0.0)), 2).alias("balance"))

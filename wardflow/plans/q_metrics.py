@@ -114,6 +114,25 @@ def m1_roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return double_round(roc_points(line_predictions(spark, sf_dir), ["l_linestatus"], "label", "score"))
 
 
+@register(
+    "m1_roc_reduced",
+    f"""
+WITH {ORDER_PRED_SQL},
+{_hist_sql("model")},
+c AS (SELECT model, score, pos, neg, lead(pos) OVER w AS np, lead(neg) OVER w AS nn, row_number() OVER w AS i,
+             sum(pos) OVER w AS cp, sum(neg) OVER w AS cn,
+             sum(pos) OVER (PARTITION BY model) AS p_tot, sum(neg) OVER (PARTITION BY model) AS n_tot
+      FROM h WINDOW w AS (PARTITION BY model ORDER BY score DESC))
+SELECT model, round(score, 6) AS threshold, round(cn / n_tot, 6) AS fpr, round(cp / p_tot, 6) AS tpr FROM c
+WHERE i = 1 OR np IS NULL OR np <> pos OR nn <> neg
+UNION ALL
+SELECT DISTINCT model, CAST('inf' AS DOUBLE), 0.0, 0.0 FROM h""",
+)
+def m1_roc_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 as a plot shows it: points inside straight runs are left out."""
+    return double_round(roc_points(order_predictions(spark, sf_dir), ["model"], "label", "score", drop_intermediate=True))
+
+
 # --- M2 / M3 AUC and average precision ----------------------------------------------------
 
 @register(

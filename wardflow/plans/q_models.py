@@ -18,11 +18,14 @@ from wardflow.operators.ml import (
     fit_classifier,
     fit_glm_logit,
     length_scorer,
+    load_model,
     positive_probability,
     predictions_table,
     prepare_columns,
+    save_model,
 )
 from wardflow.operators.sampling import class_balanced_sample
+from wardflow.plans.q_files import shared_folder
 from wardflow.plans.q_timeline import flagship
 from wardflow.plans.registry import register
 from wardflow.sources.tables import read_table
@@ -77,6 +80,16 @@ def l4_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(spark, sf_dir, positive_probability(model, test), "gbt", "baseline_stats", 0)
 
 
+@register("l5_saved_model")
+def l5_saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted pipeline is saved to the shared folder, read back and scores the test rows (compared with the fitted one in the tests)."""
+    data, numeric = feature_table(spark, sf_dir)
+    train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
+    path = shared_folder(spark, "model")
+    save_model(fit_classifier(train, "label", numeric, CATEGORICAL, estimator="logistic", reg=0.1), path)
+    return _predictions(spark, sf_dir, positive_probability(load_model(path), test), "logistic_saved", "stats", 0)
+
+
 @register("l6_few_shot_fit")
 def l6_few_shot_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     data, numeric = feature_table(spark, sf_dir)

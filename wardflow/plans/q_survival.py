@@ -16,9 +16,14 @@ from wardflow.operators.survival import (
     coefficient_table,
     concordance,
     fit_cox,
+    hazard_as_of,
     horizon_label,
+    nelson_aalen,
+    predicted_risk,
     survival_at,
 )
+from wardflow.operators.metrics import auc
+from wardflow.operators.ml import predictions_table
 from wardflow.plans.registry import register
 from wardflow.plans.shapes import double_round
 from wardflow.sources.tables import read_table
@@ -117,6 +122,53 @@ def v4_survival_at_h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return double_round(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "risk"))
 
 
+def split_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows by order, so an order's lines stay together; the test rows' horizon is their shipping delay in tenths of a week."""
+    li = read_table(spark, sf_dir, "lineitem").join(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"),
+                                                    F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *COVARIATES, (F.col("l_quantity") / F.lit(10.0)).alias("dur"),
+                     (F.col("l_returnflag") == "R").alias("event"),
+                     (F.datediff("l_shipdate", "o_orderdate") / F.lit(24.5)).alias("horizon"))
+    return rows.filter("l_orderkey % 5 <> 0"), rows.filter("l_orderkey % 5 = 0")
+
+
+_SPLIT_SQL = """r AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / CAST(10 AS DOUBLE) AS dur, l_returnflag = 'R' AS event,
+         date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) / CAST(24.5 AS DOUBLE) AS horizon
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@register(
+    "v4_hazard_as_of",
+    f"""
+WITH {_SPLIT_SQL},
+t AS (SELECT dur AS time, count(*) AS n, count(*) FILTER (WHERE event) AS d FROM r WHERE l_orderkey % 5 <> 0 GROUP BY dur),
+k AS (SELECT time, d / (sum(n) OVER (ORDER BY time DESC)) AS step FROM t),
+h AS (SELECT time, sum(step) OVER (ORDER BY time) AS cum_hazard FROM k)
+SELECT r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey, round(r.horizon, 6) AS horizon, round(coalesce(h.cum_hazard, 0), 6) AS cum_hazard
+FROM (SELECT * FROM r WHERE l_orderkey % 5 = 0) r ASOF LEFT JOIN h ON r.horizon >= h.time""",
+)
+def v4_hazard_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training rows' hazard as of each test row's own horizon."""
+    train, test = split_rows(spark, sf_dir)
+    out = hazard_as_of(test, nelson_aalen(train, "dur", "event"), "horizon")
+    return double_round(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "horizon", "cum_hazard"))
+
+
+@register("v4_held_out_predictions")
+def v4_held_out_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4 + L7: fit on the training rows, risk of the test rows by their own horizon, as a predictions table
+    with the run's AUC against the event by that horizon (fit and risk are compared with NumPy in the tests)."""
+    train, test = split_rows(spark, sf_dir)
+    model = fit_cox(train, "dur", "event", COVARIATES, penalizer=PENALIZER)
+    scored = predicted_risk(test, train, model, "dur", "event", "horizon").withColumn(
+        "label", (F.col("event") & (F.col("dur") <= F.col("horizon"))).cast("int")).withColumn(
+        "line", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    run = auc(scored, [], "label", "risk").first()["auc"]
+    table = predictions_table(scored, model_name="cox", model_args="own_horizon", num_shots=0, id_col="line", label_col="label", prob_col="risk")
+    return double_round(table.withColumn("auc", F.lit(run).cast("double")))
+
+
 @register("v5_concordance")
 def v5_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concordance of the Cox risk score (exact; checked against brute-force

@@ -6,9 +6,11 @@ Parquet is the default format; CSV always with an explicit schema (never
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,6 +106,45 @@ def read_csv_by_name(spark: SparkSession, paths: str | Sequence[str], schema: T.
     return out
 
 
+def read_csv_checked(
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, *, file_col: str = "file_name"
+) -> tuple[DataFrame, DataFrame]:
+    """S4/S6 for files that may hold malformed lines: (good rows, quarantine).
+
+    Every non-blank line but the header is in exactly one of both. Good rows have
+    the schema's columns, matched by each file's header, and ``file_col``; the
+    quarantine has (``file_col``, line, reason). Reasons: ``unclosed quote`` (an odd number
+    of quotes), ``number of fields`` (shorter or longer than the header) and ``value`` (a
+    field that its type cannot hold). A record is one line; lines equal to the
+    header are left out.
+    """
+    types = {f.name: f.dataType for f in schema.fields}
+    good, bad = [], []
+    for header, files in header_families(spark, paths).items():
+        names = next(csv.reader([header]))
+        lines = spark.read.text(files).select("value", F.col("_metadata.file_name").alias("__file")).filter(
+            (F.trim("value") != "") & (F.col("value") != header))
+
+        def parsed(as_text: bool, names=names) -> Column:
+            fields = [T.StructField(n, T.StringType() if as_text else types.get(n, T.StringType())) for n in names]
+            fields.append(T.StructField("__bad", T.StringType()))
+            return F.from_csv("value", T.StructType(fields).toDDL(),
+                              {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad", "escape": '"'})
+
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        reason = (F.when(quotes % 2 == 1, "unclosed quote").when(F.col("__text")["__bad"].isNotNull(), "number of fields")
+                  .when(F.col("__typed")["__bad"].isNotNull(), "value"))
+        rows = lines.select("*", parsed(True).alias("__text"), parsed(False).alias("__typed")).withColumn("reason", reason)
+        good.append(rows.filter("reason IS NULL").select(
+            *[(F.col("__typed")[n] if n in names else F.lit(None).cast(t)).alias(n) for n, t in types.items()], F.col("__file").alias(file_col)))
+        bad.append(rows.filter("reason IS NOT NULL").select(F.col("__file").alias(file_col), F.col("value").alias("line"), "reason"))
+    if not good:
+        text = T.StringType()
+        return (spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(file_col, text)])),
+                spark.createDataFrame([], T.StructType([T.StructField(c, text) for c in (file_col, "line", "reason")])))
+    return reduce(DataFrame.unionByName, good), reduce(DataFrame.unionByName, bad)
+
+
 def read_with_provenance(
     spark: SparkSession, path_groups: Sequence[str | Sequence[str]], schema: T.StructType, *, file_col: str = "file_name"
 ) -> DataFrame:
