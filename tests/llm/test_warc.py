@@ -66,3 +66,11 @@ def test_small_payloads_and_empty_table(spark, tmp_path):
 def test_large_member_ends_with_the_separator():
     raw = X.member("response", "1", None, None, "A", os.urandom(1 << 24), level=0)
     assert raw[-1] == 0 and len(gzip.decompress(raw)) > 1 << 24
+
+
+def test_a_length_that_is_no_number_is_no_record():
+    from wardflow.llm import warc
+
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: "
+    assert warc.parse(head + b"x\r\n\r\nabc") is None and warc.parse(head + b"-1\r\n\r\nabc") is None
+    assert warc.parse(head + b"2\r\n\r\nabc")[-1] == b"ab" and warc.parse(head + b"\r\n\r\nabc")[-1] == b""

@@ -59,7 +59,7 @@ def member(record_type: str, record_id: str, refers_to: str | None, uri: str | N
 
 
 def parse(raw: bytes) -> tuple | None:
-    """(type, id, refers to, uri, digest, payload) of a decoded record, or None if it is none."""
+    """(type, id, refers to, uri, digest, payload) of a decoded record, or None if it is none (a length that is no number included)."""
     head, found, block = raw.partition(b"\r\n\r\n")
     if not found or not head.startswith(b"WARC/"):
         return None
@@ -67,7 +67,10 @@ def parse(raw: bytes) -> tuple | None:
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
-    block = block[: int(fields.get("content-length") or 0)]
+    length = fields.get("content-length") or "0"
+    if not (length.isascii() and length.isdigit()):
+        return None
+    block = block[: int(length)]
     if fields.get("content-type", "").startswith("application/http"):
         block = block.partition(b"\r\n\r\n")[2]
     inner = lambda x: x.removeprefix("<urn:page:").removesuffix(">") if x else None
