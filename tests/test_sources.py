@@ -111,3 +111,54 @@ def test_malformed_lines_go_to_the_quarantine(spark, tmp_path):
         ("a.csv", "5,w,high", "value"), ("b.csv", "low,9", "value")]
     none = read_csv_checked(spark, str(tmp_path / "c.csv"), schema)
     assert [d.count() for d in none] == [0, 0]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_tables_align_and_attach_without_exchange(spark, tmp_path):
+    from wardflow.operators.timeline import align_full_join, align_on_spine, attach, key_spine
+    from wardflow.sources.tables import write_bucketed
+
+    keys = ["e", "t"]
+    plain = [spark.createDataFrame([(e, t, float(e + t + k)) for e in range(7) for t in range(9) if (e * t + k) % (k + 2) == 0] + [(None, 1, 0.5)],
+                                   f"e long, t long, v{k} double") for k in range(3)]
+    side = spark.createDataFrame([(e, f"s{e}") for e in range(0, 7, 2)], "e long, s string")
+
+    def stored(df, on, tag):
+        return write_bucketed(df, f"bucket_test_{tag}", str(tmp_path / tag), on, buckets=4)
+
+    series = [stored(p, keys, f"series{k}") for k, p in enumerate(plain)]
+    rows, static = stored(plain[0], ["e"], "rows"), stored(side, ["e"], "static")
+    spine = stored(key_spine(series, keys), keys, "spine")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        aligned, attached = align_on_spine(spine, series, keys), attach(rows, static, "e")
+        assert "Exchange" not in plan_of(aligned) and "Exchange" not in plan_of(attached)
+        assert "Exchange" in plan_of(align_full_join(plain, keys))
+        order = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+        assert order(aligned) == order(align_full_join(plain, keys).dropna(subset=keys))
+        assert order(attached) == order(attach(plain[0], side, "e"))
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert len(list((tmp_path / "rows").glob("*.parquet"))) <= 4
+
+
+def test_counts_come_from_the_write(spark, tmp_path):
+    from wardflow.sources.tables import write_counted
+
+    df = spark.range(1000).select("id", F.when(F.col("id") % 4 > 0, F.col("id")).alias("x")).repartition(5)
+    done = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "counted")
+    facts = write_counted(df, str(tmp_path / "a"), bad=F.col("id") >= 990, nulls=["x", "id"])
+    jobs = len(done.getJobIdsForGroup("counted"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert facts == {"rows": 1000, "bad_rows": 10, "null_share.x": 0.25, "null_share.id": 0.0}
+    assert jobs <= 2 and spark.read.parquet(str(tmp_path / "a")).count() == 1000
+    with pytest.raises(ValueError, match="at least 1"):
+        write_counted(df.filter("id < 0"), str(tmp_path / "b"), nulls=["x"])
+    assert write_counted(df.filter("id < 0"), str(tmp_path / "c"), nulls=["x"], min_rows=0)["null_share.x"] == 0.0

@@ -101,6 +101,23 @@ def align_union(series: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
 
 
+def key_spine(series: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Every key that some series holds, once; keys with a null part are left out."""
+    stacked = reduce(DataFrame.unionByName, [s.select(*keys) for s in series])
+    return stacked.dropna(subset=list(keys)).distinct()
+
+
+def align_on_spine(spine: DataFrame, series: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """J2 over stored tables: every series is left-joined to the spine of all keys.
+
+    Equal to ``align_full_join`` on rows without null keys. A left join keeps the
+    spine's partitioning, which chained full joins lose; with the spine and all
+    series stored by ``write_bucketed`` on ``keys`` in as many buckets, any
+    number of series aligns without a shuffle.
+    """
+    return reduce(lambda a, b: a.join(b, on=list(keys), how="left"), series, spine)
+
+
 def attach(df: DataFrame, side: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
     """Attach per-entity columns by key (AQE picks broadcast or SMJ)."""
     return df.join(side, on=on, how=how)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardflow.operators.timeline import minimum_stay
+from wardflow.operators.timeline import align_on_spine, attach, key_spine, minimum_stay
 from wardflow.plans.registry import register
-from wardflow.plans.shapes import double_round
+from wardflow.plans.shapes import SERIES, double_round
 from wardflow.session import ensure_checkpoint_dir
 from wardflow.sources.tables import (
     parse_id_text,
@@ -18,6 +18,8 @@ from wardflow.sources.tables import (
     read_csv_checked,
     read_table,
     read_with_provenance,
+    write_bucketed,
+    write_counted,
     write_csv,
     write_id_text,
     write_parquet,
@@ -111,3 +113,56 @@ def s4_malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = read_csv_checked(spark, path, schema)
     both = good.select(F.lit("good").alias("kind"), "balance").unionByName(bad.select(F.col("reason").alias("kind"), F.lit(None).cast("double").alias("balance")))
     return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("balance"), F.lit(0.0)), 2).alias("balance"))
+
+
+BUCKETS = 16
+
+
+def stored(df: DataFrame, keys: list[str], *, sort: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` as a bucketed table of its own below the shared folder."""
+    name = f"stored_{uuid.uuid4().hex}"
+    return write_bucketed(df, name, shared_folder(df.sparkSession, name), keys, sort=sort, buckets=BUCKETS)
+
+
+@register(
+    "j2_bucketed_align",
+    "SELECT user_id, ts, " + ", ".join(f"max(value) FILTER (WHERE event_type = '{s}') AS {s}" for s in SERIES)
+    + " FROM events WHERE event_type IN (" + ", ".join(f"'{s}'" for s in SERIES) + ") AND user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL",
+)
+def j2_bucketed_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series stored by (entity, time) and aligned on the spine of their keys; reading them shuffles nothing."""
+    events = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
+    keys = ["user_id", "ts"]
+    series = [stored(events.filter(F.col("event_type") == s).groupBy(*keys).agg(F.max("value").alias(s)), keys) for s in SERIES]
+    return align_on_spine(stored(key_spine(series, keys), keys), series, keys)
+
+
+@register(
+    "j1_bucketed_attach",
+    """
+SELECT c.c_mktsegment AS segment, count(*) AS n, round(sum(o.o_totalprice), 2) AS total
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1""",
+)
+def j1_bucketed_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and static columns stored by entity, attached without a shuffle, then summed by segment."""
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity"), "o_orderdate", "o_totalprice")
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("segment"))
+    both = attach(stored(o, ["entity"], sort=("o_orderdate",)), stored(c, ["entity"]), "entity")
+    return both.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@register(
+    "s12_counted_write",
+    """
+SELECT 'rows' AS fact, CAST(count(*) AS DOUBLE) AS value FROM events
+UNION ALL SELECT 'bad_rows', count(*) FILTER (WHERE value < 0) FROM events
+UNION ALL SELECT 'null_share.value', round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0 END), 6) FROM events
+UNION ALL SELECT 'stored_rows', count(*) FROM events""",
+)
+def s12_counted_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts about the events counted by the write itself, beside the rows read back."""
+    path = shared_folder(spark, "events")
+    facts = write_counted(read_table(spark, sf_dir, "events"), path, bad=F.col("value") < 0, nulls=["value"])
+    rows = spark.createDataFrame([(k, round(float(v), 6)) for k, v in facts.items()], "fact string, value double")
+    back = spark.read.parquet(path).agg(F.lit("stored_rows").alias("fact"), F.count(F.lit(1)).cast("double").alias("value"))
+    return rows.unionByName(back)

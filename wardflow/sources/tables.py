@@ -10,7 +10,7 @@ import csv
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -231,6 +231,49 @@ def write_sorted(df: DataFrame, path: str, entity: str, time: str, *, partitions
        .write.mode("overwrite").parquet(path))
 
 
+def write_bucketed(
+    df: DataFrame, name: str, path: str, keys: Sequence[str], *, sort: Sequence[str] = (), buckets: int | None = None
+) -> DataFrame:
+    """S3/O1: store ``df`` bucketed by ``keys`` and sorted inside buckets by ``keys`` and ``sort``
+    (files under ``path``, table ``name`` in the session's catalogue), and return the stored table.
+
+    Tables with the same bucket keys and number of buckets join and aggregate on
+    these keys without a shuffle, however often they are read. One shuffle at
+    write time gives one file per bucket. A key's rows share a bucket: where one
+    entity may hold a large part of the rows, bucket by (entity, time) for
+    alignment, and attach per-entity columns to the plain table (skew splitting
+    works on shuffles only). Rows with null keys are kept, in one bucket. Choose
+    ``buckets`` so that a bucket fits a task; default: the shuffle partitions.
+    """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    order = [*keys, *[c for c in sort if c not in keys]]
+    (df.repartition(n, *keys).sortWithinPartitions(*order).write.mode("errorifexists").format("parquet")
+       .bucketBy(n, *keys).sortBy(*order).option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
+def write_counted(
+    df: DataFrame, path: str, *, bad: Column | None = None, nulls: Sequence[str] = (), min_rows: int = 1
+) -> dict[str, float]:
+    """Write Parquet and return ``rows``, ``bad_rows`` and ``null_share.<column>``,
+    counted while the rows are written (no count job, no second read).
+
+    The counts sit right before the write, behind every shuffle, so each written
+    task is counted once even when lost tasks run again. Fewer than ``min_rows``
+    rows raise ``ValueError`` after the write. The null share of no rows is 0.
+    """
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(bad if bad is not None else F.lit(False)).alias("bad_rows"),
+              *[F.count_if(F.col(c).isNull()).alias(f"null.{c}") for c in nulls]]
+    df.observe(seen, *counts).write.mode("overwrite").parquet(path)
+    got = seen.get
+    rows = int(got["rows"])
+    if rows < min_rows:
+        raise ValueError(f"{rows} rows written to {path}, at least {min_rows} expected")
+    return {"rows": rows, "bad_rows": int(got["bad_rows"]),
+            **{f"null_share.{c}": int(got[f"null.{c}"]) / rows if rows else 0.0 for c in nulls}}
+
+
 def shape(df: DataFrame, *, debug: bool = False) -> tuple[int, int] | None:
     """(rows, columns) as a progress fact - runs a count job, so only when
     ``debug`` is set; otherwise returns None without touching the data."""
