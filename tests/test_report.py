@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from wardflow.operators.report import ci_cell, flag_best, keep_max, result_table, table_one
+from wardflow.operators.report import ci_cell, flag_best, keep_max, result_table, sort_by_label, table_one
 
 
 def test_table_one_counts_missing_and_overall(spark):
@@ -15,6 +15,40 @@ def test_table_one_counts_missing_and_overall(spark):
     assert v.n == 2 and v.mean == 2.0 and v.n_missing == 1 and abs(v.sd - 2 ** 0.5) < 1e-12
 
 
+def test_table_one_reads_its_input_once(spark, tmp_path):
+    import statistics
+
+    rows = [(f"g{k % 3}", "ab"[k % 2], None if k % 5 == 0 else k % 4 == 1, *[None if (k + j) % 7 == 0 else float(k * j) for j in range(6)]) for k in range(60)]
+    columns = [f"v{j}" for j in range(6)]
+    spark.createDataFrame(rows, "g string, c string, d boolean, " + ", ".join(f"{c} double" for c in columns)).write.parquet(str(tmp_path / "t"))
+    out = table_one(spark.read.parquet(str(tmp_path / "t")), "g", ["c", "d"], columns)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Join") == 0
+    got = {(r.group, r.variable, r.level): r for r in out.collect()}
+    for g in ("g0", "g1", "g2", "Overall"):
+        mine = [r for r in rows if g in (r[0], "Overall")]
+        assert got[g, "n", None].n == len(mine)
+        known = [r[2] for r in mine if r[2] is not None]
+        assert got[g, "d", "true"].n == sum(known) and got[g, "d", "true"].n_missing == len(mine) - len(known)
+        assert abs(got[g, "d", "false"].pct - 100 * known.count(False) / len(known)) < 1e-9
+        for j, c in enumerate(columns):
+            values = [r[3 + j] for r in mine if r[3 + j] is not None]
+            cell = got[g, c, None]
+            assert (cell.n, cell.n_missing) == (len(values), len(mine) - len(values))
+            assert abs(cell.mean - statistics.mean(values)) < 1e-9 and abs(cell.sd - statistics.stdev(values)) < 1e-9
+    assert table_one(spark.read.parquet(str(tmp_path / "t")).limit(0), "g", ["c"], ["v1"]).count() == 0
+
+
+def test_rows_sort_by_a_derived_label_then_shots(spark):
+    rows = [("Zeta b", 2), ("alpha a", 10), (None, 1), ("alpha a", 2), ("Zeta a", 1)]
+    df = spark.createDataFrame(rows, "name string, shots int")
+    last_word = F.substring_index("name", " ", -1)
+    got = sort_by_label(df, last_word, then=["shots", F.col("name").desc()], out="label")
+    assert [(r.label, r.shots, r.name) for r in got.collect()] == [
+        (None, 1, None), ("a", 1, "Zeta a"), ("a", 2, "alpha a"), ("a", 10, "alpha a"), ("b", 2, "Zeta b")]
+    assert sort_by_label(df, last_word).columns == ["name", "shots"]
+
+
 def test_result_table_grid_best_and_missing(spark):
     m = spark.createDataFrame(
         [("c1", 1, "M1", 0.7, 0.6, 0.8), ("c1", 1, "M2", 0.7, 0.5, 0.9), ("c1", 2, "M1", 0.6, None, 0.7)],

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,51 +35,37 @@ def table_one(
 
     Rows: ``variable='n'`` (group size); per categorical (variable, level):
     ``n`` and ``pct`` of the non-missing values; per continuous variable:
-    ``mean``, ``sd`` (sample), plus ``n_missing`` for every variable. Each row
-    is counted for its group and for ``Overall`` by exploding the group key
-    (one aggregation instead of a grouping-sets union).
+    ``mean``, ``sd`` (sample), plus ``n_missing`` for every variable. A column
+    named in both lists gives both kinds of rows.
+
+    One pass and one aggregation for any number of columns: a row becomes one
+    entry per variable, counted for its group and for ``Overall`` and combined
+    before the shuffle. The shares then come from the aggregated rows, in one
+    window over the levels of a variable.
     """
-    grp = F.explode(F.array(F.col(group).cast("string"), F.lit(OVERALL))).alias("group")
-    base = df.select(grp, *[F.col(c) for c in set(categorical) | set(continuous)])
-    sizes = base.groupBy("group").agg(F.count(F.lit(1)).alias("n")).select(
-        "group", F.lit("n").alias("variable"), F.lit(None).cast("string").alias("level"),
-        F.col("n"), F.lit(None).cast("double").alias("pct"), F.lit(None).cast("double").alias("mean"),
-        F.lit(None).cast("double").alias("sd"), F.lit(0).cast("long").alias("n_missing"),
+    entry = "struct<kind:int,variable:string,level:string,x:double>"
+
+    def item(kind: int, variable: str, level: Column | None = None, x: Column | None = None) -> Column:
+        null = F.lit(None)
+        return F.struct(F.lit(kind), F.lit(variable), null if level is None else level, null if x is None else x).cast(entry)
+
+    entries = [item(0, "n"), *[item(1, c, level=F.col(c)) for c in categorical], *[item(2, c, x=F.col(c)) for c in continuous]]
+    base = df.select(F.array(F.col(group).cast("string"), F.lit(OVERALL)).alias("__groups"), F.array(*entries).alias("__entries"))
+    long = base.select("__groups", F.inline("__entries")).select(F.explode("__groups").alias("group"), "kind", "variable", "level", "x")
+    cells = long.groupBy("group", "kind", "variable", "level").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("x").alias("valued"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+    of_variable = Window.partitionBy("group", "kind", "variable")
+    levels, numbers = F.col("kind") == 1, F.col("kind") == 2
+    missing = F.coalesce(F.sum(F.when(F.col("level").isNull(), F.col("rows"))).over(of_variable), F.lit(0))
+    named = F.sum(F.when(F.col("level").isNotNull(), F.col("rows"))).over(of_variable)
+    cells = cells.select("*", missing.alias("missing"), named.alias("named")).filter(~levels | F.col("level").isNotNull())
+    return cells.select(
+        "group", "variable", "level",
+        F.when(numbers, F.col("valued")).otherwise(F.col("rows")).alias("n"),
+        F.when(levels, F.lit(100.0) * F.col("rows") / F.col("named")).alias("pct"),
+        "mean", "sd",
+        F.when(levels, F.col("missing")).when(numbers, F.col("rows") - F.col("valued")).otherwise(F.lit(0)).cast("long").alias("n_missing"),
     )
-    parts = [sizes]
-    if categorical:
-        long = base.select(
-            "group",
-            F.explode(F.array(*[
-                F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in categorical
-            ])).alias("__v"),
-        ).select("group", "__v.variable", "__v.level")
-        counts = long.groupBy("group", "variable", "level").agg(F.count(F.lit(1)).alias("n"))
-        totals = counts.groupBy("group", "variable").agg(
-            F.sum(F.when(F.col("level").isNotNull(), F.col("n"))).alias("__nonnull"),
-            F.sum(F.when(F.col("level").isNull(), F.col("n"))).alias("__missing"),
-        )
-        cat = counts.filter(F.col("level").isNotNull()).join(totals, ["group", "variable"], "inner").select(
-            "group", "variable", "level", "n",
-            (F.lit(100.0) * F.col("n") / F.col("__nonnull")).alias("pct"),
-            F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("sd"),
-            F.coalesce(F.col("__missing"), F.lit(0)).cast("long").alias("n_missing"),
-        )
-        parts.append(cat)
-    for c in continuous:
-        parts.append(
-            base.groupBy("group").agg(
-                F.count(F.col(c)).alias("n"), F.avg(F.col(c)).alias("mean"), F.stddev_samp(F.col(c)).alias("sd"),
-                F.count_if(F.col(c).isNull()).alias("n_missing"),
-            ).select(
-                "group", F.lit(c).alias("variable"), F.lit(None).cast("string").alias("level"), "n",
-                F.lit(None).cast("double").alias("pct"), "mean", "sd", "n_missing",
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
 
 def long_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -146,6 +132,16 @@ def result_table(
     return grid.select(*row_cols, *[F.coalesce(F.col(mod), F.lit("--")).alias(mod) for mod in models])
 
 
+def sort_by_label(df: DataFrame, label: Column, *, then: Sequence[Column | str] = (), out: str | None = None) -> DataFrame:
+    """O2: rows ordered by a derived label (``labels.model_label``, ``condition_label``) in code point
+    order, then by ``then`` (the number of shots, say); null labels first. ``out`` keeps the label
+    as a column. Spark sorts by range partitions, so the order holds for a table of any size
+    when it is written or collected; it is no window."""
+    name = out or "__label"
+    ordered = df.withColumn(name, label).orderBy(F.col(name).asc_nulls_first(), *then)
+    return ordered if out else ordered.drop(name)
+
+
 def contains_ci(c: Column | str, text: str) -> Column:
     """case-insensitive substring test; null -> false."""
     col = F.col(c) if isinstance(c, str) else c

@@ -16,7 +16,7 @@ from wardflow.functions.labels import (
     model_label_sql,
 )
 from wardflow.operators.metrics import auc, bootstrap_auc, threshold_metrics
-from wardflow.operators.report import flag_best, keep_max, long_metrics, result_table, table_one
+from wardflow.operators.report import flag_best, keep_max, long_metrics, result_table, sort_by_label, table_one
 from wardflow.plans.q_metrics import ORDER_PRED_SQL, bootstrap_sql, order_predictions
 from wardflow.plans.registry import register
 from wardflow.plans.shapes import STATIC_SQL, double_round, static_info
@@ -247,6 +247,24 @@ def x6_x7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
                     condition_label("model_args").alias("condition_label"))
 
 
+@register(
+    "o2_sorted_by_label",
+    f"""
+WITH r AS (
+  SELECT {_list_sql(_NAME_STEMS)}[p_partkey % {len(_NAME_STEMS)} + 1] || ' ' || p_brand AS model_name, p_size AS num_shots, p_retailprice
+  FROM part)
+SELECT {model_label_sql("model_name")} AS model_label, num_shots, count(*) AS n, round(avg(p_retailprice), 4) AS mean_price
+FROM r GROUP BY 1, 2 ORDER BY 1, 2""",
+)
+def o2_sorted_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs by (derived model label, shots), sorted by both."""
+    part = read_table(spark, sf_dir, "part")
+    names = _run_names(part).join(part.select("p_partkey", "p_size", "p_retailprice"), "p_partkey")
+    runs = names.groupBy(model_label("model_name").alias("model_label"), F.col("p_size").alias("num_shots")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("mean_price"))
+    return sort_by_label(runs, F.col("model_label"), then=["num_shots"])
+
+
 # --- X8 condition of the few-shot tabular files -----------------------------------------------
 
 _TABULAR_ARGS = """CASE o_orderkey % 4 WHEN 0 THEN 'tabpfn' WHEN 1 THEN 'tabpfn_' || lower(replace(o_orderpriority, ' ', '-'))
