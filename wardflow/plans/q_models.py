@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardflow.functions.text import parse_probability, parse_probability_sql
+from wardflow.operators.levels import encode_levels, fit_on_levels, level_coefficients, level_counts, level_table
 from wardflow.operators.metrics import bootstrap_auc
 from wardflow.operators.ml import (
     batch_score,
@@ -25,6 +26,7 @@ from wardflow.operators.ml import (
     save_model,
 )
 from wardflow.operators.sampling import class_balanced_sample
+from wardflow.operators.scoring import score_in_waves
 from wardflow.plans.q_files import shared_folder
 from wardflow.plans.q_timeline import flagship
 from wardflow.plans.registry import register
@@ -111,3 +113,58 @@ def l8_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = batch_score(d, "text", length_scorer, out="answer")
     return scored.select("doc_id", "answer", parse_probability("answer").alias("probability"))
+
+
+LEVEL_COLUMNS = ["l_partkey", "l_linestatus", "l_suppkey"]
+
+
+@register(
+    "l1_level_table",
+    """
+WITH l AS (SELECT DISTINCT 'l_partkey' AS variable, CAST(l_partkey AS VARCHAR) AS level FROM lineitem
+           UNION ALL SELECT DISTINCT 'l_linestatus', l_linestatus FROM lineitem
+           UNION ALL SELECT DISTINCT 'l_suppkey', CAST(l_suppkey AS VARCHAR) FROM lineitem),
+m AS (SELECT *, level = min(level) OVER (PARTITION BY variable) AS reference FROM l WHERE level IS NOT NULL)
+SELECT variable, level, CASE WHEN reference THEN 0
+       ELSE row_number() OVER (PARTITION BY variable, reference ORDER BY md5(level || ':42'), level) END AS position FROM m""",
+)
+def l1_level_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered levels of three columns, of which parts and suppliers grow with the data."""
+    return level_table(read_table(spark, sf_dir, "lineitem").select(*LEVEL_COLUMNS), LEVEL_COLUMNS)
+
+
+@register("l1_level_coefficients")
+def l1_level_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A logistic fit with one sparse entry per row and column of levels; coefficients by level name (checked in the tests)."""
+    numeric, categorical = ["l_quantity", "l_discount"], ["l_linestatus", "l_suppkey"]
+    rows = read_table(spark, sf_dir, "lineitem").select(
+        *[F.col(c).cast("double").alias(c) for c in numeric], *categorical, (F.col("l_returnflag") == "R").cast("double").alias("label"))
+    levels = level_table(rows, categorical).persist()
+    counts = level_counts(levels)
+    model = fit_on_levels(encode_levels(rows, levels, counts), "label", numeric, counts, reg=0.01, max_iter=20)
+    return level_coefficients(model, numeric, levels, counts)
+
+
+MAX_TEXT = 2000
+
+
+def limited_length_scorer():
+    """A stand-in model with a context limit: scores like ``length_scorer``, raises on texts beyond ``MAX_TEXT``."""
+    def score(texts):
+        if texts.fillna("").str.len().max() > MAX_TEXT:
+            raise ValueError("text too long")
+        return length_scorer(texts)
+
+    return score
+
+
+@register(
+    "l8_scored_in_waves",
+    f"""
+SELECT doc_id, CASE WHEN length(text) <= {MAX_TEXT} THEN printf('%.2f', (length(text) % 100) / 100.0) END AS answer,
+       CASE WHEN length(text) > {MAX_TEXT} THEN 'ValueError: text too long' END AS error FROM documents""",
+)
+def l8_scored_in_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts scored in restartable waves by a model that refuses long ones; the other rows of a refused batch are answered."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_in_waves(d, "doc_id", "text", limited_length_scorer, shared_folder(spark, "scored"), waves=4).select("doc_id", "answer", "error")
