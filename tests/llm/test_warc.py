@@ -40,6 +40,8 @@ def test_round_trip_over_any_byte_ranges(spark, tmp_path, split, level):
     try:
         X.write_warc(df, path, level=level)
         read = X.read_warc(spark, path).collect()
+        if split != "700":  # a second pass over some thousand ranges takes a minute
+            assert X.damaged_members(spark, path).collect() == []
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
@@ -74,3 +76,36 @@ def test_a_length_that_is_no_number_is_no_record():
     head = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: "
     assert warc.parse(head + b"x\r\n\r\nabc") is None and warc.parse(head + b"-1\r\n\r\nabc") is None
     assert warc.parse(head + b"2\r\n\r\nabc")[-1] == b"ab" and warc.parse(head + b"\r\n\r\nabc")[-1] == b""
+
+
+@pytest.mark.parametrize("split", ["300", "5000", "128m"])
+def test_damaged_members_are_listed_and_spoil_no_other(spark, tmp_path, split):
+    rnd = random.Random(6)
+    good = [X.member("response", str(k), None, "http://a/", "D", rnd.randbytes(400)) for k in range(12)]
+    flipped = bytearray(good[3])
+    flipped[len(flipped) // 2] ^= 0xFF
+    other = gzip.compress(b"something else entirely", mtime=0)
+    length = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: ten\r\n\r\nabc", mtime=0)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(b"".join([*good[:3], bytes(flipped), *good[4:6], other, X.EMPTY_MEMBER, good[6], length, *good[7:9]]))
+    (tmp_path / "w" / "b.warc").write_bytes(good[9] + good[10][:150])
+    (tmp_path / "w" / "c.warc").write_bytes(good[11])
+    (tmp_path / "w" / "d.warc").write_bytes(b"")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        records = X.read_warc(spark, str(tmp_path / "w")).collect()
+        damage = X.damaged_members(spark, str(tmp_path / "w")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(int(r.record_id) for r in records) == [0, 1, 2, 4, 5, 6, 7, 8, 9, 11]
+    files = {}
+    for r in damage:
+        files.setdefault(os.path.basename(r.path), []).append((r.reason, bytes(r.raw)))
+    assert set(files) == {"a.warc", "b.warc"}
+    assert files["b.warc"] == [(X.TRUNCATED, good[10][:150])]
+    lost = [raw for _, raw in files["a.warc"]]
+    assert other in lost and length in lost and bytes(flipped) == b"".join(raw for raw in lost if raw not in (other, length))
+    assert {reason for reason, raw in files["a.warc"] if raw == length} == {X.NO_RECORD}

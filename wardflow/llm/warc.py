@@ -11,7 +11,8 @@ the gzip magic, so each task scans its range for the magic and owns what starts
 inside. A candidate counts if its decoded start is a WARC header; one that the
 magic inside its own data cut short takes the next pieces. Pieces of a member
 that the end of a range parted are put together per file in a second, small
-step. Archives must not be named ``*.gz``, else Spark's reader inflates them as
+step. A member whose data is damaged gives no record and spoils no other;
+``damaged_members`` lists what gave none. Archives must not be named ``*.gz``, else Spark's reader inflates them as
 one stream before they can be split.
 """
 
@@ -35,6 +36,8 @@ MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+DAMAGE = "path string, range_start long, reason string, raw binary"
+BROKEN, TRUNCATED, NO_RECORD, NO_MEMBER = "broken data", "file ends inside", "no WARC record", "no member"
 RECORD = "record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload binary"
 
 
@@ -101,6 +104,12 @@ class Member:
     def record(self) -> tuple | None:
         return parse(b"".join(self.parts))
 
+    def reason(self, record: tuple | None) -> str | None:
+        """What is wrong with a finished member (None: nothing; an empty member holds nothing to lose)."""
+        if self.decoder.unused_data:
+            return NO_MEMBER
+        return NO_RECORD if record is None and any(self.parts) else None
+
 
 def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html",
                least_bytes: int = 0, level: int = 6) -> None:
@@ -144,7 +153,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (record fields, path, start, seq, kind, raw): records of a range, and what it cannot finish or place.
 
     kind 0: a record; 1: a member that goes on behind the range; 2: a piece that
-    no member of the range wants.
+    no member of the range wants; 3: damage, with the reason as its record type.
     """
     names = ["record_type", "record_id", "refers_to", "target_uri", "payload_digest", "payload", "path", "start", "seq", "kind", "raw"]
     types = [pa.string()] * 5 + [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -175,7 +184,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             piece = MAGIC + piece
             if open_member is not None:
                 if not open_member.feed(piece):
-                    open_member = None  # broken data: look for the next member
+                    # look for the next member
+                    rows.append((BROKEN, *nothing[1:], path, start, seq, 3, b"".join(open_member.raw)))
+                    open_member = None
             if open_member is None:
                 fresh = Member()
                 if fresh.feed(piece):
@@ -187,6 +198,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 record = open_member.record()
                 if record is not None:
                     rows.append((*record, path, start, seq, 0, None))
+                reason = open_member.reason(record)
+                if reason:
+                    lost = open_member.decoder.unused_data or b"".join(open_member.raw)
+                    rows.append((reason, *nothing[1:], path, start, seq, 3, lost))
                 open_member = None
             if len(rows) >= 256:
                 yield flush()
@@ -195,29 +210,75 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _join_pieces(rows: pd.DataFrame) -> pd.DataFrame:
-    """Records of one file that the ends of byte ranges parted."""
-    out, open_member = [], None
-    for kind, raw in rows.sort_values(["start", "seq"])[["kind", "raw"]].itertuples(index=False):
+def _joined(rows: pd.DataFrame) -> Iterator[tuple[tuple | None, tuple | None]]:
+    """(record, None) or (None, damage) of what the ends of byte ranges parted in one file."""
+    open_member, at = None, 0
+    for start, kind, raw in rows.sort_values(["start", "seq"])[["start", "kind", "raw"]].itertuples(index=False):
         if kind == 1:
-            open_member = Member()
+            if open_member is not None:
+                yield None, (at, BROKEN, b"".join(open_member.raw))
+            open_member, at = Member(), start
             open_member.feed(raw)
-        elif open_member is not None and not open_member.feed(raw):
+        elif open_member is None:
+            yield None, (start, NO_MEMBER, raw)
+        elif not open_member.feed(raw):
+            yield None, (at, BROKEN, b"".join(open_member.raw))
+            yield None, (start, NO_MEMBER, raw)
             open_member = None
         if open_member is not None and open_member.done:
-            out.append(open_member.record())
+            record = open_member.record()
+            if record is not None:
+                yield record, None
+            reason = open_member.reason(record)
+            if reason:
+                yield None, (at, reason, open_member.decoder.unused_data or b"".join(open_member.raw))
             open_member = None
+    if open_member is not None:
+        yield None, (at, TRUNCATED, b"".join(open_member.raw))
+
+
+def _join_pieces(rows: pd.DataFrame) -> pd.DataFrame:
+    """Records of one file that the ends of byte ranges parted."""
     columns = ["record_type", "record_id", "refers_to", "target_uri", "payload_digest", "payload"]
-    return pd.DataFrame([x for x in out if x], columns=columns)
+    return pd.DataFrame([record for record, _ in _joined(rows) if record], columns=columns)
+
+
+def _join_damage(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pieces of one file that belong to no record."""
+    path = rows["path"].iloc[0]
+    return pd.DataFrame([(path, *damage) for _, damage in _joined(rows) if damage], columns=["path", "range_start", "reason", "raw"])
+
+
+def _scanned(spark: SparkSession, path: str) -> DataFrame:
+    return _pieces(spark, path).mapInArrow(_scan, RECORD + ", path string, start long, seq long, kind int, raw binary")
+
+
+def _parted(scanned: DataFrame) -> DataFrame:
+    return scanned.filter("kind IN (1, 2)").select("path", "start", "seq", "kind", "raw")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archives under ``path``: type, id, refers_to, target_uri, payload digest and payload."""
-    schema = RECORD + ", path string, start long, seq long, kind int, raw binary"
-    scanned = _pieces(spark, path).mapInArrow(_scan, schema)
+    """Records of the archives under ``path``: type, id, refers_to, target_uri, payload digest and payload.
+
+    Members that are cut off, fail their checksum or hold no WARC record give no row here.
+    """
+    scanned = _scanned(spark, path)
     whole = scanned.filter("kind = 0").select("record_type", "record_id", "refers_to", "target_uri", "payload_digest", "payload")
-    parted = scanned.filter("kind > 0").select("path", "start", "seq", "kind", "raw")
-    return whole.union(parted.groupBy("path").applyInPandas(_join_pieces, RECORD))
+    return whole.union(_parted(scanned).groupBy("path").applyInPandas(_join_pieces, RECORD))
+
+
+def damaged_members(spark: SparkSession, path: str) -> DataFrame:
+    """Bytes of the archives under ``path`` that belong to no record: file, start of the byte range
+    they were found in, reason and the bytes, from the gzip magic on.
+
+    Reasons: ``broken data`` (a member begins and then fails to decode),
+    ``file ends inside`` (cut off), ``no WARC record`` (decodes, but to something else or with
+    a malformed length) and ``no member`` (nothing decodes from there, a failed checksum
+    in a member of one piece included). A sound archive has no rows; empty members are none.
+    """
+    scanned = _scanned(spark, path)
+    found = scanned.filter("kind = 3").select("path", F.col("start").alias("range_start"), F.col("record_type").alias("reason"), "raw")
+    return found.union(_parted(scanned).groupBy("path").applyInPandas(_join_damage, DAMAGE))
 
 
 def scratch_folder(spark: SparkSession) -> str:
