@@ -55,3 +55,19 @@ def test_closing_row_and_start_stop(spark):
     ss = start_stop(b.withColumn("los", F.lit(30.0)).withColumn("died", F.lit(True)), "k", "h",
                     end_value=F.col("los"), event=F.col("died")).orderBy("time_start").collect()
     assert [(r.time_start, r.time_stop, r.event) for r in ss] == [(0.0, 1.0, False), (1.0, 30.0, True)]
+
+
+def test_densified_buckets_carry_over_gaps_to_the_end(spark):
+    import pytest
+
+    rows = [("s", 5.0, None), ("s", 3605.0, 70.0), ("s", 3 * 3600.0, None), ("s", 4 * 3600.0, 80.0), ("s", 9 * 3600.0, 1.0), ("t", 7200.0, 60.0)]
+    df = spark.createDataFrame(rows, "stay string, t double, hr double")
+    m = [Measure("HR", "hr", "mean", 1)]
+    wide = bucket_wide(df, "stay", "t", m, n_buckets=7, forward_fill=True, densify=True).collect()
+    got = {r.stay: [r[f"HR Hour {h}"] for h in range(7)] for r in wide}
+    assert got == {"s": [None, 70.0, 70.0, 70.0, 80.0, 80.0, 80.0], "t": [None, None, 60.0, 60.0, 60.0, 60.0, 60.0]}
+    with pytest.raises(ValueError, match="densify"):
+        bucket_wide(df, "stay", "t", m, densify=True)
+    from wardflow.operators.features import densify_buckets
+    long = spark.createDataFrame([("a", 0, 1.0), ("a", 3, 2.0), ("a", 9, 3.0)], "e string, b long, v double")
+    assert sorted((r.b, r.v) for r in densify_buckets(long, "e", "b", 5).collect()) == [(0, 1.0), (1, 1.0), (2, 1.0), (3, 2.0), (4, 2.0), (9, 3.0)]

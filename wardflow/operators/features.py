@@ -153,6 +153,7 @@ def bucket_wide(
     width: float = 3600.0,
     n_buckets: int = 24,
     forward_fill: bool = False,
+    densify: bool = False,
     name_fmt: str = "{alias} Hour {h}",
     extra: Sequence[Column] = (),
 ) -> DataFrame:
@@ -168,15 +169,20 @@ def bucket_wide(
 
     Forward fill (W2) runs on the per-bucket rows before the pivot: a bucket
     that has a row takes the last non-null value of the measure up to itself;
-    buckets with no row stay null (no densifying, quirk Q7). The window holds
-    at most ``n_buckets`` rows per entity.
+    buckets with no row stay null (quirk Q7), unless ``densify`` is set: then
+    they take it too, from the entity's first bucket to the last of the
+    ``n_buckets``. The windows hold at most ``n_buckets`` rows per entity.
     """
+    if densify and not forward_fill:
+        raise ValueError("densify needs forward_fill")
     names = [m.alias for m in measures]
     per_bucket = bucket_long(df, entity, t, measures, width=width, bucket_col="__bkt").filter(
         (F.col("__bkt") >= 0) & (F.col("__bkt") < n_buckets)
     )
     if forward_fill:
         per_bucket = fill_forward(per_bucket, entity, "__bkt", names)
+    if densify:
+        per_bucket = densify_buckets(per_bucket, entity, "__bkt", n_buckets)
     wide = per_bucket.groupBy(entity).pivot("__bkt", list(range(n_buckets))).agg(
         *[F.first(F.col(n)).alias(n) for n in names]
     )
@@ -229,6 +235,20 @@ def fill_forward(df: DataFrame, entity: str, order: str | Sequence[str], cols: S
     )
 
 
+def densify_buckets(df: DataFrame, entity: str, bucket: str, n_buckets: int) -> DataFrame:
+    """Q7 option: repeats each (entity, bucket) row for the buckets up to the entity's next row, or up to
+    the last bucket, ``n_buckets - 1``.
+
+    Buckets before an entity's first row are not made. ``df`` has one row per
+    (entity, bucket), so a window holds at most ``n_buckets`` rows and the
+    result at most ``n_buckets`` rows per entity; rows of later buckets stay as they are.
+    """
+    ahead = Window.partitionBy(entity).orderBy(bucket)
+    until = F.greatest(F.least(F.coalesce(F.lead(bucket).over(ahead), F.lit(n_buckets)), F.lit(n_buckets)) - 1, F.col(bucket))
+    spread = df.withColumn("__until", until)
+    return spread.select(*[F.explode(F.sequence(F.col(bucket), F.col("__until"))).alias(bucket) if c == bucket else F.col(c) for c in df.columns])
+
+
 forward_fill = fill_forward  # W1/W2 under the reference's name
 
 

@@ -153,6 +153,22 @@ def a9_forward_fill_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_DENSE_SQL = _FILLED_SQL + f""",
+days AS (SELECT f.user_id, unnest(range(f.first_day, {N_DAYS})) AS day FROM (SELECT user_id, min(day) AS first_day FROM pd GROUP BY 1) f),
+grid AS (SELECT d.user_id, d.day, {", ".join("ff." + m.alias for m in MEASURES)}
+         FROM days d ASOF JOIN ff ON d.user_id = ff.user_id AND d.day >= ff.day)
+"""
+
+
+@register("a9_densified_wide", _DENSE_SQL + _pivot_sql("grid"))
+def a9_densified_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 with days that have no row filled as well, from an entity's first day on."""
+    return double_round(
+        bucket_wide(_meas(spark, sf_dir), ENTITY, TIME, MEASURES, width=DAY, n_buckets=N_DAYS,
+                    forward_fill=True, densify=True, name_fmt="{alias}_d{h}")
+    )
+
+
 _A10_SQL = _PER_DAY_SQL + """,
 ent AS (SELECT user_id, """ + _kind_sql("stats") + """ FROM meas GROUP BY user_id),
 wide AS (""" + _pivot_sql("pd") + """)
