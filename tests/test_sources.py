@@ -162,3 +162,14 @@ def test_counts_come_from_the_write(spark, tmp_path):
     with pytest.raises(ValueError, match="at least 1"):
         write_counted(df.filter("id < 0"), str(tmp_path / "b"), nulls=["x"])
     assert write_counted(df.filter("id < 0"), str(tmp_path / "c"), nulls=["x"], min_rows=0)["null_share.x"] == 0.0
+
+
+def test_models_are_fitted_and_applied_after_counted_writes(spark, tmp_path):
+    from wardflow.operators.ml import fit_classifier, positive_probability
+    from wardflow.sources.tables import write_counted
+
+    df = spark.createDataFrame([(k, k % 7 / 7.0, "ab"[k % 2], float(k % 3 == 0)) for k in range(60)], "id long, x double, c string, y double")
+    assert write_counted(df, str(tmp_path / "a"))["rows"] == 60
+    model = fit_classifier(df, "y", ["x"], ["c"], estimator="logistic", reg=0.1)
+    assert len(positive_probability(model, df).collect()) == 60
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and not spark.catalog.listTables("global_temp")

@@ -7,6 +7,7 @@ Parquet is the default format; CSV always with an explicit schema (never
 from __future__ import annotations
 
 import csv
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -259,14 +260,26 @@ def write_counted(
     counted while the rows are written (no count job, no second read).
 
     The counts sit right before the write, behind every shuffle, so each written
-    task is counted once even when lost tasks run again. Fewer than ``min_rows``
+    task is counted once even when lost tasks run again. The write runs in a
+    session of its own with the same settings: a session that has observed a
+    query can no longer send fitted models to tasks (its observation manager is
+    not serialisable), and the caller's session must stay fit for that. Fewer than ``min_rows``
     rows raise ``ValueError`` after the write. The null share of no rows is 0.
     """
     seen = Observation()
     counts = [F.count(F.lit(1)).alias("rows"), F.count_if(bad if bad is not None else F.lit(False)).alias("bad_rows"),
               *[F.count_if(F.col(c).isNull()).alias(f"null.{c}") for c in nulls]]
-    df.observe(seen, *counts).write.mode("overwrite").parquet(path)
-    got = seen.get
+    spark, name = df.sparkSession, f"counted_{uuid.uuid4().hex}"
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    df.createGlobalTempView(name)
+    try:
+        own.table(f"global_temp.{name}").observe(seen, *counts).write.mode("overwrite").parquet(path)
+        got = seen.get
+    finally:
+        spark.catalog.dropGlobalTempView(name)
     rows = int(got["rows"])
     if rows < min_rows:
         raise ValueError(f"{rows} rows written to {path}, at least {min_rows} expected")
