@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wardflow.operators.scan import float_bin, hash_rank, prefix_sum
+from wardflow.operators.scan import float_bin, hash_rank, join_per_key, prefix_sum
 
 
 def test_float_bin_is_monotone(spark):
@@ -68,3 +69,13 @@ def test_last_and_next_value_equal_one_window(spark):
         want = df.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("v", "w")])
         assert sorted(next_value(df, ["g"], ["t"], ["v", "w"], by_bin, descending=down).collect(), key=str) == sorted(want.collect(), key=str)
     assert last_value(df.limit(0), ["g"], ["t"], ["v"], by_bin).collect() == []
+
+
+@pytest.mark.parametrize("lookup", [1, 4, 100_000])
+def test_join_per_key_equals_a_plain_join(spark, monkeypatch, lookup):
+    monkeypatch.setattr("wardflow.operators.scan.LOOKUP_KEYS", lookup)
+    keys = [0.5] * 60 + [1.5] * 30 + [float(k) for k in range(10)] + [None, 99.0]
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, k double").repartition(3)
+    table = rows.filter("k < 99").groupBy("k").count().withColumn("v", F.col("k") * 2)
+    got = join_per_key(rows, table, "k", "count", table.count(), 100).select("id", "v").collect()
+    assert sorted(map(tuple, got)) == [(i, 2 * k) for i, k in enumerate(keys) if k is not None and k < 99]

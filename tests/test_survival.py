@@ -139,3 +139,24 @@ def test_cox_with_many_covariates(spark):
                                "t double, e boolean, " + ", ".join(f"x{i} double" for i in range(p)))
     m = fit_cox(df, "t", "e", [f"x{i}" for i in range(p)], penalizer=0.1, max_iter=3, tol=1e-3)
     assert m.beta[0] > 5 * np.abs(m.beta[1:]).mean() and np.isfinite(m.se).all()
+
+
+def test_cox_rows_do_not_move_by_time(spark, monkeypatch):
+    plans, row_sums = [], S._row_sums
+
+    def seen(rows, beta):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return row_sums(rows, beta)
+
+    df = spark.createDataFrame(cox_rows(random.Random(5), "tied"), "id long, t double, e boolean, x1 double, x2 double").withColumn(
+        "t", F.least("t", F.lit(0.5)))  # most rows share the last time
+    monkeypatch.setattr(S, "_row_sums", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = fit_cox(df, "t", "e", ["x1", "x2"], tol=1e-6)
+        assert plans and all("BroadcastHashJoin" in p for p in plans)
+        # more times than the lookup holds: the frequent ones are still looked up
+        monkeypatch.setattr("wardflow.operators.scan.LOOKUP_KEYS", 3)
+        assert np.allclose(fit_cox(df, "t", "e", ["x1", "x2"], tol=1e-6).beta, want.beta, atol=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

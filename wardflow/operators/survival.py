@@ -10,6 +10,8 @@ With d events at a time, Efron's risk set of event l lacks the part l/d of the
 events' own weight; the sums over l of its reciprocal, of l/d times it and of its
 squares are computed per time, in a loop over l. They give each time's term of the
 information and two hazards: H(t) for all rows and B(t) for the events themselves.
+Rows look up their time's hazards without moving by time (``join_per_key``), so a
+time that many rows share, such as an administrative horizon, is no single task.
 The second pass uses that the sum over event times of the R2 terms is the sum over
 rows of ``w (H(T) - e B(T)) x x'``, so no p x p value per time or row exists. Few
 covariates are summed as columns, many (over ``COLUMNS``) as one matrix per task.
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardflow.operators.scan import float_bin, last_value, prefix_sum
+from wardflow.operators.scan import float_bin, join_per_key, last_value, prefix_sum
 
 # with more covariates than this, x x' is summed as one matrix per task instead of as columns
 COLUMNS = 12
@@ -112,11 +114,11 @@ def _weight(beta: np.ndarray) -> Column:
 
 
 def _time_table(data: DataFrame, beta: np.ndarray) -> DataFrame:
-    """Per distinct time: summed ``w`` and ``w x`` of the rows (s0, s1) and of the events (d0, d1) ending there, and the events' number."""
+    """Per distinct time: the rows' number, summed ``w`` and ``w x`` of the rows (s0, s1) and of the events (d0, d1) ending there, and the events' number."""
     p = range(len(beta))
     rows = data.select("t", "e", "x", _weight(beta).alias("w"))
     return rows.groupBy(F.col("t").alias("__t")).agg(
-        F.count_if("e").alias("d"), F.sum("w").alias("s0"), F.coalesce(F.sum(F.when(F.col("e"), F.col("w"))), F.lit(0.0)).alias("d0"),
+        F.count(F.lit(1)).alias("n"), F.count_if("e").alias("d"), F.sum("w").alias("s0"), F.coalesce(F.sum(F.when(F.col("e"), F.col("w"))), F.lit(0.0)).alias("d0"),
         *[F.sum(F.col("w") * F.get("x", F.lit(i))).alias(f"s1_{i}") for i in p],
         *[F.coalesce(F.sum(F.when(F.col("e"), F.col("w") * F.get("x", F.lit(i)))), F.lit(0.0)).alias(f"d1_{i}") for i in p],
     ).withColumn("__g", F.lit(0))
@@ -136,9 +138,9 @@ def efron_sums(d: int, r0: float, d0: float, efron: bool, step: int = 1 << 20) -
 
 
 def _hazards(risk: DataFrame, p: int, efron: bool) -> DataFrame:
-    """Per time of ``risk(__t, d, d0, d1, r0, r1)``: (__t, h, b), the two hazard steps; per task one row whose ``v``
+    """Per time of ``risk(__t, d, d0, d1, r0, r1, n)``: (__t, n, h, b), the two hazard steps; per task one row whose ``v``
     sums its times' part of the log-likelihood, the events and the information."""
-    schema = "__t double, h double, b double, v array<double>"
+    schema = "__t double, n long, h double, b double, v array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 + p * p)
@@ -151,11 +153,13 @@ def _hazards(risk: DataFrame, p: int, efron: bool) -> DataFrame:
             cross = (sums[:, 4, None] * r1).T @ d1
             total[:2] += sums[:, 0].sum(), d.sum()
             total[2:] += ((sums[:, 3, None] * r1).T @ r1 - cross - cross.T + (sums[:, 5, None] * d1).T @ d1).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(sums[:, 1]), pa.array(sums[:, 2]),
-                                              pa.nulls(len(t), pa.list_(pa.float64()))], names=["__t", "h", "b", "v"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.float64())] * 3 + [pa.array([total], pa.list_(pa.float64()))], names=["__t", "h", "b", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(t), batch.column(6), pa.array(sums[:, 1]), pa.array(sums[:, 2]),
+                                              pa.nulls(len(t), pa.list_(pa.float64()))], names=["__t", "n", "h", "b", "v"])
+        none = pa.nulls(1, pa.float64())
+        yield pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.int64()), none, none, pa.array([total], pa.list_(pa.float64()))],
+                                         names=["__t", "n", "h", "b", "v"])
 
-    return risk.select("__t", "d", "d0", "d1", "r0", "r1").mapInArrow(run, schema)
+    return risk.select("__t", "d", "d0", "d1", "r0", "r1", "n").mapInArrow(run, schema)
 
 
 def _row_sums(rows: DataFrame, beta: np.ndarray) -> np.ndarray:
@@ -181,28 +185,28 @@ def _row_sums(rows: DataFrame, beta: np.ndarray) -> np.ndarray:
     return np.concatenate([[got[0] or 0.0], [v or 0.0 for v in got[1: 1 + p]], info.ravel()])
 
 
-def _step_sums(data: DataFrame, beta: np.ndarray, efron: bool):
-    """Log-likelihood, gradient, information and number of events at ``beta``."""
+def _step_sums(data: DataFrame, beta: np.ndarray, efron: bool, times: int, n: int):
+    """Log-likelihood, gradient, information and number of events at ``beta``; ``data`` has ``n`` rows of ``times`` distinct times."""
     p = len(beta)
     cols = ["s0"] + [f"s1_{i}" for i in range(p)]
     table = _time_table(data, beta).persist()  # read by both levels of the prefix sums
     risk = prefix_sum(table, ["__g"], ["__t"], cols, float_bin("__t"), descending=True, prefix="r_")
-    risk = risk.select("__t", "d", "d0", F.array(*[f"d1_{i}" for i in range(p)]).cast("array<double>").alias("d1"), F.col("r_s0").alias("r0"),
+    risk = risk.select("__t", "n", "d", "d0", F.array(*[f"d1_{i}" for i in range(p)]).cast("array<double>").alias("d1"), F.col("r_s0").alias("r0"),
                        F.array(*[f"r_s1_{i}" for i in range(p)]).cast("array<double>").alias("r1"))
     steps = _hazards(risk, p, efron).persist()
     try:
-        times = np.zeros(2 + p * p)
+        at_times = np.zeros(2 + p * p)
         for r in steps.filter("v IS NOT NULL").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
-            times[r["i"]] = r["x"]
-        marks = steps.filter("v IS NULL").select(F.lit(0).alias("__g"), "__t", "h", "b")
+            at_times[r["i"]] = r["x"]
+        marks = steps.filter("v IS NULL").select(F.lit(0).alias("__g"), "__t", "n", "h", "b")
         hazard = prefix_sum(marks, ["__g"], ["__t"], ["h"], float_bin("__t"), prefix="H_").select(
-            F.col("__t").alias("t"), F.col("H_h").alias("h"), "b")
-        rows = _row_sums(data.join(hazard, "t").select("e", "x", "h", "b"), beta)
+            F.col("__t").alias("t"), "n", F.col("H_h").alias("h"), "b")
+        rows = _row_sums(join_per_key(data, hazard, "t", "n", times, n).select("e", "x", "h", "b"), beta)
     finally:
         steps.unpersist()
         table.unpersist()
-    info = rows[1 + p:].reshape(p, p) - times[2:].reshape(p, p)
-    return rows[0] - times[0], rows[1: 1 + p], (info + info.T) / 2, times[1]
+    info = rows[1 + p:].reshape(p, p) - at_times[2:].reshape(p, p)
+    return rows[0] - at_times[0], rows[1: 1 + p], (info + info.T) / 2, at_times[1]
 
 
 def fit_cox(
@@ -231,11 +235,12 @@ def fit_cox(
     scale = np.array([(stats[f"s_{i}"] or 0.0) or 1.0 for i in range(len(xs))])
     std = base.select("t", "e", F.array(
         *[(F.col(f"x{i}") - F.lit(float(m))) / F.lit(float(s)) for i, (m, s) in enumerate(zip(mean, scale))]).alias("x")).persist()
+    times = std.select("t").distinct().count()
     beta = np.zeros(len(xs))
     converged, it, ll, info, n_events = False, 0, float("nan"), np.eye(len(xs)), 0.0
     try:
         for it in range(1, max_iter + 1):
-            ll, grad, info, n_events = _step_sums(std, beta, ties == "efron")
+            ll, grad, info, n_events = _step_sums(std, beta, ties == "efron", times, n)
             # penalised mean objective: ll/n - penalizer/2 |b|^2
             step = np.linalg.solve(info / n + penalizer * np.eye(len(xs)), grad / n - penalizer * beta)
             beta = beta + step
@@ -243,7 +248,7 @@ def fit_cox(
                 converged = True  # the sums of before the last step hold to its size
                 break
         else:
-            ll, grad, info, n_events = _step_sums(std, beta, ties == "efron")
+            ll, grad, info, n_events = _step_sums(std, beta, ties == "efron", times, n)
     finally:
         std.unpersist()
     cov = np.linalg.inv(info + n * penalizer * np.eye(len(xs)))
