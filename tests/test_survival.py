@@ -160,3 +160,27 @@ def test_cox_rows_do_not_move_by_time(spark, monkeypatch):
         assert np.allclose(fit_cox(df, "t", "e", ["x1", "x2"], tol=1e-6).beta, want.beta, atol=1e-12)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("cells", [7, 40, 250_000])
+@pytest.mark.parametrize("risks", [1, 4, 1000])
+def test_concordance_over_partitions_matches_brute_force(spark, monkeypatch, cells, risks):
+    monkeypatch.setattr(S, "CELLS", cells)
+    rnd = random.Random(cells + risks)
+    rows = [(float(rnd.randint(1, 30)), rnd.random() < 0.5, rnd.randrange(risks) / 7 - 1) for _ in range(150)] * 2
+    got = concordance(spark.createDataFrame(rows, "t double, e boolean, r double"), "t", "e", "r").first()
+    assert abs(got.concordance - brute_c(*zip(*rows))) < 1e-12
+
+
+def test_concordance_groups_hold_cells_not_rows(spark, monkeypatch):
+    sizes, pairs = [], S._cell_pairs
+    monkeypatch.setattr(S, "_cell_pairs", lambda cells, levels: (sizes.append(cells.count()), pairs(cells, levels))[1])
+    df = spark.range(20_000).select((F.col("id") % 3).cast("double").alias("t"), (F.col("id") % 2 == 0).alias("e"),
+                                    (F.col("id") % 5).cast("double").alias("r"))
+    assert concordance(df, "t", "e", "r").first().comparable_pairs > 0 and sizes == [30]
+
+
+def test_no_event_and_no_row(spark):
+    df = spark.createDataFrame([(1.0, False, 1.0), (2.0, False, 2.0), (None, True, 1.0)], "t double, e boolean, r double")
+    assert S.concordance(df, "t", "e", "r").select("concordant_pairs", "comparable_pairs").first() == (None, 0.0)
+    assert concordance(df.limit(0), "t", "e", "r").first() == (None, None, None)

@@ -31,7 +31,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +40,8 @@ from wardflow.operators.scan import float_bin, join_per_key, last_value, prefix_
 
 # with more covariates than this, x x' is summed as one matrix per task instead of as columns
 COLUMNS = 12
+# cells of time and risk that one task of the concordance counts
+CELLS = 250_000
 
 
 def censor(duration: Column, event: Column, horizon: float) -> tuple[Column, Column]:
@@ -338,6 +341,57 @@ def nelson_aalen(df: DataFrame, duration: str, event: str) -> DataFrame:
         F.col("__t").alias("time"), F.col("H_h").alias("cum_hazard"))
 
 
+def pairs_inside(rank: np.ndarray, tau: np.ndarray, count: np.ndarray, levels: int) -> int:
+    """Twice the concordant pairs (equal ranks half) among cells of ``count`` rows, sorted by the risk's ``rank``; an even ``tau`` is an event."""
+    twice = 0
+    for level in range(levels):
+        bit, key = (tau >> level) & 1, tau >> (level + 1)
+        order = np.argsort(key, kind="stable")
+        k, r, c = key[order], rank[order], count[order]
+        data = np.where(bit[order] == 1, c, 0)
+        query = np.where((bit[order] == 0) & (tau[order] % 2 == 0), c, 0)
+        new_key = np.concatenate([[True], k[1:] != k[:-1]])
+        starts = np.flatnonzero(new_key | np.concatenate([[True], r[1:] != r[:-1]]))
+        here, asked = np.add.reduceat(data, starts), np.add.reduceat(query, starts)
+        below = np.cumsum(here) - here
+        below -= np.maximum.accumulate(np.where(new_key[starts], below, 0))
+        twice += int((asked * (2 * below + here)).sum())
+    return twice
+
+
+def _cell_pairs(cells: DataFrame, levels: int) -> DataFrame:
+    """Per partition of ``cells(__r, __tau, __c)``: its totals per tau (data, query), those of its first and last risk for the
+    pairs of a risk that straddles partitions (data: events, query: rows, no tau) and a row with ``twice``, the pairs inside."""
+    schema = "tau long, r double, part int, data long, query long, twice long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
+        if not columns:
+            return
+        r, tau, c = (np.concatenate(x) for x in zip(*columns))
+        part = TaskContext.get().partitionId()
+        risks, rank = np.unique(r, return_inverse=True)
+        order = np.argsort(rank, kind="stable")
+        rank, tau, c = rank[order], tau[order], c[order]
+        events = np.where(tau % 2 == 0, c, 0)
+        values, where = np.unique(tau, return_inverse=True)
+        rows, asked = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
+        np.add.at(rows, where, c)
+        np.add.at(asked, where, events)
+        ends = sorted({0, len(risks) - 1})
+        edge = [rank == i for i in ends]
+        none = len(ends) + 1
+        out = [pa.array(np.concatenate([values, np.zeros(none, np.int64)]), mask=np.arange(len(values) + none) >= len(values)),
+               pa.array(np.concatenate([np.zeros(len(values)), risks[ends], [0.0]])),
+               pa.array(np.full(len(values) + none, part, np.int32)),
+               pa.array(np.concatenate([rows, [events[x].sum() for x in edge], [0]]).astype(np.int64)),
+               pa.array(np.concatenate([asked, [c[x].sum() for x in edge], [0]]).astype(np.int64)),
+               pa.array(np.concatenate([np.zeros(len(values) + none - 1, np.int64), [pairs_inside(rank, tau, c, levels)]]).astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(out, names=["tau", "r", "part", "data", "query", "twice"])
+
+    return cells.select("__r", "__tau", "__c").mapInArrow(run, schema)
+
+
 def concordance(df: DataFrame, duration: str, event: str, risk: str) -> DataFrame:
     """V5: Harrell's concordance index, exact, without forming row pairs.
 
@@ -346,47 +400,48 @@ def concordance(df: DataFrame, duration: str, event: str, risk: str) -> DataFram
     when the risks are equal.
 
     Times are replaced by tau = 2 * dense rank, plus 1 for a censored row, so a
-    pair is comparable iff tau_j > tau_i. Then there is exactly one bit level l
-    where the higher bits agree, tau_i has 0 and tau_j has 1. So every row is a
-    *data* row at the levels where its bit is 1 and every event row a *query* at
-    the levels where its bit is 0, keyed by (l, tau >> (l + 1)). Inside a key,
-    "data rows with lower risk" is a running count in risk order (two-level
-    ``prefix_sum``), and equal risks come from an equi-join on (l, key, risk).
-    Work is (rows + events) x levels, levels = log2(2 * distinct times) rounded up.
+    pair is comparable iff tau_j > tau_i. Rows first collapse to cells of one tau
+    and risk, and the cells are range-partitioned by (risk, tau), so that no
+    task gets the cells of a frequent time or risk. ``_cell_pairs`` counts the
+    pairs inside a partition and leaves its totals per tau. Of a pair from two
+    partitions with different risks the lower risk is in the earlier partition,
+    so those are running totals over the partitions' numbers: tau_j > tau_i iff
+    there is exactly one bit level l where the higher bits agree, tau_i has 0 and
+    tau_j has 1, and per (l, tau >> (l + 1)) the earlier partitions' data (bit 1)
+    meet the queries (events with bit 0). A risk that straddles partitions adds
+    half of its events times its rows in later partitions.
     """
     base = valid_durations(df, duration).filter(F.col(event).isNotNull() & F.col(risk).isNotNull()).select(
         F.col(duration).cast("double").alias("__t"), F.col(event).cast("boolean").alias("__e"),
         F.col(risk).cast("double").alias("__r"),
     )
-    times = base.select("__t").distinct().withColumn("__g", F.lit(0)).withColumn("__one", F.lit(1))
+    times = base.groupBy("__t").agg(F.count(F.lit(1)).alias("__n"), F.count_if("__e").alias("__d")).withColumn(
+        "__g", F.lit(0)).withColumn("__one", F.lit(1)).persist()
+    size = times.agg(F.count(F.lit(1)).alias("times"), F.sum("__n").alias("n"), F.sum("__d").alias("d")).first()
+    n, levels = size["n"] or 0, max(1, math.ceil(math.log2(2 * max(size["times"], 1))))
     ranks = prefix_sum(times, ["__g"], ["__t"], ["__one"], float_bin("__t"), inclusive=False, prefix="tau")
-    ranks = ranks.select("__t", F.col("tau__one").cast("long").alias("__rank"))
-    levels = max(1, math.ceil(math.log2(2 * max(int(times.count()), 1))))
-    rows = base.join(ranks, "__t", "inner").withColumn("__tau", 2 * F.col("__rank") + F.when(F.col("__e"), 0).otherwise(1))
-    lv = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("__l")
-    expanded = rows.select("*", lv)
-    bit = F.call_function("shiftright", F.col("__tau"), F.col("__l")).bitwiseAND(F.lit(1))
-    key = F.call_function("shiftright", F.col("__tau"), F.col("__l") + 1)
-    data = expanded.filter(bit == 1).select("__l", key.alias("__k"), "__r", F.lit(1).alias("__kind"))
-    queries = expanded.filter((bit == 0) & F.col("__e")).select("__l", key.alias("__k"), "__r", F.lit(0).alias("__kind"))
-    both = data.unionByName(queries).withColumn("__isdata", F.col("__kind").cast("long"))
-    ranked = prefix_sum(both, ["__l", "__k"], ["__r", "__kind"], ["__isdata"], float_bin("__r"),
-                        inclusive=False, prefix="below")
-    less = ranked.filter(F.col("__kind") == 0).groupBy("__l", "__k", "__r").agg(
-        F.count(F.lit(1)).alias("__q"), F.max("below__isdata").alias("__less")
-    )
-    equal = data.groupBy("__l", "__k", "__r").agg(F.count(F.lit(1)).alias("__eq"))
-    per_cell = less.join(equal, ["__l", "__k", "__r"], "left")
-    numerator = per_cell.agg(
-        F.sum(F.col("__q") * (F.col("__less") + F.coalesce(F.col("__eq"), F.lit(0)) / 2.0)).alias("num")
-    )
+    ranks = ranks.select("__t", "__n", F.col("tau__one").cast("long").alias("__rank"))
+    cells = base.groupBy("__t", "__e", "__r").agg(F.count(F.lit(1)).alias("__c"))
+    cells = join_per_key(cells, ranks, "__t", "__n", size["times"], n).select(
+        "__r", (2 * F.col("__rank") + F.when(F.col("__e"), 0).otherwise(1)).alias("__tau"), "__c")
+    # one evaluation: the bounds of the partitions are sampled
+    parts = _cell_pairs(cells.repartitionByRange(max(1, math.ceil(n / CELLS)), "__r", "__tau"), levels)
+    leveled = parts.select("*", F.explode(F.when(F.col("tau").isNull(), F.array(F.lit(-1))).otherwise(
+        F.sequence(F.lit(0), F.lit(levels - 1)))).alias("l"))
+    bit = F.call_function("shiftright", F.col("tau"), F.col("l")).bitwiseAND(F.lit(1))
+    keyed = leveled.select(
+        "l", F.when(F.col("l") < 0, 0).otherwise(F.call_function("shiftright", F.col("tau"), F.col("l") + 1)).alias("k"), "r", "part",
+        F.when(F.col("l") < 0, F.col("data")).otherwise(F.col("data") * bit).alias("data"),
+        F.when(F.col("l") < 0, F.col("query")).otherwise(F.col("query") * (1 - bit)).alias("query"), "twice")
+    totals = keyed.filter("data > 0 OR query > 0 OR twice > 0").groupBy("l", "k", "r", "part").agg(
+        F.sum("data").alias("data"), F.sum("query").alias("query"), F.sum("twice").alias("twice"))
+    earlier = Window.partitionBy("l", "k", "r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = totals.withColumn("__earlier", F.coalesce(F.sum("data").over(earlier), F.lit(0)))
+    twice = F.sum(F.col("twice") + F.col("query") * F.col("__earlier") * F.when(F.col("l") < 0, 1).otherwise(2))
+    numerator = pairs.agg(F.when(F.lit(bool(size["d"])), F.coalesce(twice, F.lit(0)) / F.lit(2.0)).alias("num"))
     # comparable pairs: events times rows with a larger tau
-    per_time = rows.groupBy("__tau").agg(F.count(F.lit(1)).alias("__n"), F.count_if("__e").alias("__d")).withColumn(
-        "__g", F.lit(0)
-    )
-    later = prefix_sum(per_time, ["__g"], ["__tau"], ["__n"], F.shiftright("__tau", 12), descending=True, inclusive=False,
-                       prefix="later")
-    denominator = later.agg(F.sum(F.col("__d") * F.col("later__n")).alias("den"))
+    later = prefix_sum(times, ["__g"], ["__t"], ["__n"], float_bin("__t"), descending=True, inclusive=False, prefix="later")
+    denominator = later.agg(F.sum(F.col("__d") * (F.col("later__n") + F.col("__n") - F.col("__d"))).alias("den"))
     both_sums = numerator.select("num", F.lit(None).cast("double").alias("den")).unionByName(
         denominator.select(F.lit(None).cast("double").alias("num"), F.col("den").cast("double"))
     ).agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
