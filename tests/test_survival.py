@@ -184,3 +184,22 @@ def test_no_event_and_no_row(spark):
     df = spark.createDataFrame([(1.0, False, 1.0), (2.0, False, 2.0), (None, True, 1.0)], "t double, e boolean, r double")
     assert S.concordance(df, "t", "e", "r").select("concordant_pairs", "comparable_pairs").first() == (None, 0.0)
     assert concordance(df.limit(0), "t", "e", "r").first() == (None, None, None)
+
+
+@pytest.mark.parametrize("cached", [False, True])
+def test_cox_reads_its_rows_once(spark, cached):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(cox_rows(random.Random(5), "tied"), "id long, t double, e boolean, x1 double, x2 double")
+    df = df.mapInArrow(counted, df.schema)
+    if cached:
+        df = df.persist()
+    m = fit_cox(df, "t", "e", ["x1", "x2"], max_iter=2)
+    if cached:  # the caller's copy is kept for the hazard
+        assert S.baseline_cumulative_hazard(df, m, "t", "e").count() and df.is_cached
+    assert read.value == 300

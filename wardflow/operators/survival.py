@@ -231,13 +231,16 @@ def fit_cox(
         F.col(duration).cast("double").alias("t"), F.col(event).cast("boolean").alias("e"),
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(xs)],
     )
+    cached = df.is_cached  # then the caller's copy serves every pass
+    if not cached:
+        base = base.persist()
     stats = base.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"m_{i}") for i in range(len(xs))],
                      *[F.stddev_samp(f"x{i}").alias(f"s_{i}") for i in range(len(xs))]).collect()[0]
     n = int(stats["n"])
     mean = np.array([stats[f"m_{i}"] or 0.0 for i in range(len(xs))])
     scale = np.array([(stats[f"s_{i}"] or 0.0) or 1.0 for i in range(len(xs))])
     std = base.select("t", "e", F.array(
-        *[(F.col(f"x{i}") - F.lit(float(m))) / F.lit(float(s)) for i, (m, s) in enumerate(zip(mean, scale))]).alias("x")).persist()
+        *[(F.col(f"x{i}") - F.lit(float(m))) / F.lit(float(s)) for i, (m, s) in enumerate(zip(mean, scale))]).alias("x"))
     times = std.select("t").distinct().count()
     beta = np.zeros(len(xs))
     converged, it, ll, info, n_events = False, 0, float("nan"), np.eye(len(xs)), 0.0
@@ -253,7 +256,8 @@ def fit_cox(
         else:
             ll, grad, info, n_events = _step_sums(std, beta, ties == "efron", times, n)
     finally:
-        std.unpersist()
+        if not cached:
+            base.unpersist()
     cov = np.linalg.inv(info + n * penalizer * np.eye(len(xs)))
     return CoxModel(xs, mean, scale, beta, cov, n, n_events, it, converged, ll)
 
