@@ -47,3 +47,18 @@ def test_saved_model_scores_like_the_fitted_one(spark, tmp_path):
         save_model(model, str(tmp_path / kind))
         score = lambda m: [r[0] for r in positive_probability(m, df).orderBy("id").select("predicted_probability").collect()]  # noqa: E731, B023
         assert score(load_model(str(tmp_path / kind))) == score(model)
+
+
+def test_tree_passes_follow_the_rows_not_the_partitions_they_come_in(spark):
+    df = spark.createDataFrame([(k, k % 7 / 7.0, "ab"[k % 2], float(k % 3 == 0)) for k in range(60)], "id long, x double, c string, y double").repartition(40)
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("gbt", "gbt")
+    try:
+        fit_classifier(df, "y", ["x"], ["c"], estimator="gbt")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in status.getJobIdsForGroup("gbt") for s in status.getJobInfo(j).stageIds}
+    # a stage that was skipped, as its shuffle files were there, completed no task
+    ran = [info.numTasks for info in map(status.getStageInfo, stages) if info and info.numCompletedTasks]
+    # only the reads of the given rows run in its 40 partitions, none of the passes
+    assert ran and sum(n >= 40 for n in ran) <= 8

@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "Unknown"
+# a tree fit keeps the partitions of its rows up to FEW_TASKS of them; rows in more are dealt, ROWS_PER_TASK to each
+FEW_TASKS = 16
+ROWS_PER_TASK = 20_000
 
 
 def feature_kind(columns: Sequence[str]) -> str:
@@ -71,6 +74,19 @@ def feature_stages(numeric: Sequence[str], levels: dict[str, list[str]], *, out:
     return [*stages, VectorAssembler(inputCols=list(numeric) + encoded, outputCol=out, handleInvalid="keep")], names
 
 
+def deal_training_rows(train: DataFrame) -> DataFrame:
+    """The training rows, evenly in one partition per ``ROWS_PER_TASK`` rows if they come in more than ``FEW_TASKS``.
+
+    Each of a hundred tree levels passes over the rows and shuffles between as
+    many tasks as the rows have partitions. Features of few entities come in as
+    many partitions as the shuffles of the tables behind them, so a pass would
+    cost the square of that number.
+    """
+    if train.rdd.getNumPartitions() <= FEW_TASKS:
+        return train
+    return train.repartition(max(1, math.ceil(train.count() / ROWS_PER_TASK)))
+
+
 def fit_classifier(
     train: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], *, estimator: str = "logistic",
     seed: int = 42, reg: float = 0.0,
@@ -83,7 +99,7 @@ def fit_classifier(
     else:
         raise ValueError("estimator must be 'logistic' or 'gbt'")
     stages, _ = feature_stages(numeric, learned_levels(train, categorical))
-    return Pipeline(stages=stages + [est]).fit(train)
+    return Pipeline(stages=stages + [est]).fit(deal_training_rows(train) if estimator == "gbt" else train)
 
 
 def positive_probability(model: PipelineModel, df: DataFrame, *, out: str = "predicted_probability") -> DataFrame:
